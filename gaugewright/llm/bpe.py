@@ -8,10 +8,12 @@ across it in the pair. Both tests run on arrays over all words of a batch. Words
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a task remembers at most; the memory is emptied when it is full.
-CACHE_WORDS = 250_000
+#: Words that a Python worker remembers, from task to task; the memory is emptied when it holds more.
+CACHE_WORDS = 800_000
+#: Marks that are a piece of their own after a word of letters.
+STOPS = b".,;:!?"
 #: Characters that a task encodes at once.
 BATCH_CHARS = 8_000_000
 
@@ -52,8 +56,14 @@ class Vocabulary:
         for name, i in (self.ids | self.special).items():
             names[i] = name
         self.names = pa.array(names, pa.string())
-        self.letters = {chr(b): c for b, c in enumerate(byte_letters())}
-        self.longest = max(len(t) for t in self.ids)
+        self.letters = dict(enumerate(byte_letters()))
+        #: Every beginning of a token: its id, or -1 if it is none itself. A space stands for the end of the word.
+        self.begin: dict[str, int] = {}
+        for name, i in self.ids.items():
+            name = name.removesuffix(self.end) + " " if self.end and name.endswith(self.end) else name
+            for j in range(1, len(name)):
+                self.begin.setdefault(name[:j], -1)
+            self.begin[name] = i
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         pairs = np.array([(self.ids[a], self.ids[b]) for a, b in merges], np.int64)
         made = np.array([self.ids[a + b] for a, b in merges], np.int64)
@@ -100,30 +110,31 @@ class Vocabulary:
         return ok
 
     def propose(self, word: str) -> list[int]:
-        """Greedy longest match, from the left."""
-        ids, out, i, n = self.ids, [], 0, len(word)
-        while True:
-            last = ids.get(word[i:] + self.end)
-            if last is not None:
-                out.append(last)
-                return out
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                token = ids.get(word[i:j])
-                if token is not None:
-                    out.append(token)
-                    i = j
+        """Greedy longest match, from the left; only the last token holds the end of the word."""
+        get, out, i, n = self.begin.get, [], 0, len(word)
+        word += " "
+        while i < n:
+            token = -1
+            for j in range(i + 1, n + 2):
+                t = get(word[i:j])
+                if t is None:
                     break
-            else:
+                if t >= 0 and j != n:
+                    token, at = t, j
+            if token < 0:
                 raise ValueError(f"no token for {word[i:]!r}")
+            out.append(token)
+            i = at
+        return out
 
-    def merge_exactly(self, words: list[str]) -> list[list[int]]:
+    def merge_exactly(self, words: list[str]) -> list[bytes]:
         """Merge in each word the lowest rank first, the leftmost of equals, in all words at once."""
         none = np.iinfo(np.int64).max >> 32
         parts = [[*map(self.ids.__getitem__, w[:-1]), self.ids[w[-1] + self.end]] for w in words]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         tokens = np.fromiter((t for p in parts for t in p), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
-        out: list[list[int]] = [[]] * len(words)
+        out = [b""] * len(words)
 
         def ranks(at: np.ndarray) -> np.ndarray:
             after = np.minimum(at + 1, len(tokens) - 1)
@@ -138,8 +149,9 @@ class Vocabulary:
             done = best >> 32 == none
             if done.any():
                 ends = np.append(starts[1:], len(tokens))
-                for i in np.flatnonzero(done).tolist():
-                    out[owner[starts[i]]] = tokens[starts[i] : ends[i]].tolist()
+                raw = tokens.astype("<u4").tobytes()
+                for i, begin, end in zip(owner[starts[done]].tolist(), (4 * starts[done]).tolist(), (4 * ends[done]).tolist(), strict=True):
+                    out[i] = raw[begin:end]
                 stay = np.repeat(~done, ends - starts)
             else:
                 stay = np.ones(len(tokens), bool)
@@ -153,11 +165,12 @@ class Vocabulary:
                 rank[near] = ranks(near)
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Speculate on all pieces, verify all at once, merge the failing ones."""
-        proposed = [self.propose(p) for p in pieces]
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Speculate on all pieces, verify all at once, merge the failing ones. Ids as little-endian unsigned 32-bit numbers."""
+        proposed = list(map(self.propose, pieces))
         counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
+        ends = np.cumsum(counts)
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(ends[-1]))
         owner = np.repeat(np.arange(len(proposed)), counts)
         bad = np.zeros(len(proposed), bool)
         bad[owner[~self.whole[flat]]] = True
@@ -165,10 +178,12 @@ class Vocabulary:
         keys, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         fits = self.compatible(keys >> 32, keys & 0xFFFFFFFF)
         bad[owner[inner[~fits[back]]]] = True
+        raw, bounds = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+        out = [raw[i:j] for i, j in zip([0, *bounds], bounds, strict=False)]
         failed = np.flatnonzero(bad).tolist()
         for i, ids in zip(failed, self.merge_exactly([pieces[i] for i in failed]), strict=True):
-            proposed[i] = ids
-        return proposed
+            out[i] = ids
+        return out
 
     def split(self, word: str) -> list[str | int]:
         """What the normaliser and the pre-tokeniser make of a word: byte-letter pieces, and special ids."""
@@ -180,23 +195,34 @@ class Vocabulary:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
                 part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                out += ["".join(map(self.letters.__getitem__, p.encode().decode("latin-1"))) for p in self.pieces.findall(part)]
             else:
-                low = part.lower()
-                out += [low] if low.isalpha() else ["".join(map(self.letters.__getitem__, p)) for p in self.pieces.findall(low)]
+                part = part.lower()
+            pieces = (part,) if part.isalpha() else self.pieces.findall(part)
+            out += [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
         return out
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
-        words = list(words)
-        parts = [self.split(w.decode()) for w in words]
+        whole: dict[bytes, str] = {}  # words that are one piece
+        mixed: dict[bytes, list[str | int]] = {}
+        for w in words:
+            if w.isalpha():  # ASCII letters only
+                whole[w] = w.decode().lower()
+            elif w[-1] in STOPS and w[:-1].isalpha():
+                mixed[w] = [w[:-1].decode().lower(), chr(w[-1])]
+            else:
+                mixed[w] = self.split(w.decode())
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = list({p for ps in parts for p in ps if isinstance(p, str)} - self.known.keys())
+        new = {*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))} - self.known.keys()
         if new:
-            self.known |= zip(new, (np.array(ids, "<u4").tobytes() for ids in self.encode_pieces(new)), strict=True)
+            new = list(new)
+            self.known |= zip(new, self.encode_pieces(new), strict=True)
         known = self.known
-        return {w: b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps]) for w, ps in zip(words, parts, strict=True)}
+        out = {w: known[p] for w, p in whole.items()}
+        for w, ps in mixed.items():
+            out[w] = b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps])
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -212,6 +238,12 @@ def words_of(text: str) -> list[bytes]:
 class Encoder:
     """Encodes texts in batches with a bounded memory of words. ``encode_words`` maps new words to the bytes of their ids."""
 
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def of(path: str) -> Encoder:
+        """The worker's encoder for a vocabulary."""
+        return Encoder(vocabulary(path).encode_words)
+
     def __init__(self, encode_words, cache_words: int = CACHE_WORDS):
         self.encode_words, self.cache_words, self.known = encode_words, cache_words, {}
 
@@ -221,7 +253,11 @@ class Encoder:
             self.known = {}
         new = {w for words in split for w in words} - self.known.keys()
         if new:
-            self.known |= self.encode_words(new)
+            gc.disable()  # many small lists, none in a cycle
+            try:
+                self.known |= self.encode_words(new)
+            finally:
+                gc.enable()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -260,7 +296,7 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        encoder = Encoder(vocab.encode_words)
+        encoder = Encoder.of(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in chunks(texts):

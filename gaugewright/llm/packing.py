@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, chunks, vocabulary
+from .bpe import Encoder, chunks
 from .staging import written
 
 CAPACITY = 4096
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path).encode_words)
+        encoder = Encoder.of(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in chunks(texts):
