@@ -1,46 +1,5 @@
-"""Tables that a job writes and reads again, in the folder that the whole cluster shares."""
+"""The library's helpers for written tables, under the name that the operators here use."""
 
-from __future__ import annotations
+from ..sources.shared import fresh, new_path, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="gaugewright-"))
-    return f"file://{_OWN[0]}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: this cuts the lineage, survives
-    lost executors, and keeps what comes after from running ``df`` again."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names like ``names`` that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+__all__ = ["fresh", "new_path", "shared_dir", "written"]
