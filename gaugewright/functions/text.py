@@ -39,7 +39,7 @@ def hamming_similarity(a: Column, b: Column) -> Column:
 
 
 def _jaro(a: str, b: str) -> float:
-    """Matching characters within half the longer length, less half of those out of order."""
+    """Matching characters within half the longer length, less half of those out of order, rounded down."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -55,7 +55,7 @@ def _jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     m = len(hits)
-    moved = sum(a[i] != b[j] for (i, _), j in zip(hits, sorted(j for _, j in hits), strict=True)) / 2
+    moved = sum(a[i] != b[j] for (i, _), j in zip(hits, sorted(j for _, j in hits), strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 

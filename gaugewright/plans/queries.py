@@ -66,7 +66,7 @@ def string_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, round(jaro_similarity(p_name, p_type || p_brand), 6) AS jaro, round(CASE WHEN jaro_similarity(p_name, lower(p_type)) > 0.7 THEN jaro_winkler_similarity(p_name, lower(p_type)) ELSE jaro_similarity(p_name, lower(p_type)) END, 6) AS jaro_winkler FROM part")
+@query("SELECT p_partkey, round(jaro_similarity(p_name, p_type || p_brand), 6) AS jaro, round(jaro_winkler_similarity(p_name, lower(p_type)), 6) AS jaro_winkler FROM part")
 def jaro_metrics(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("p_name")
     return table(spark, d, "part").select("p_partkey", F.round(text.jaro_similarity(a, F.concat("p_type", "p_brand")), 6).alias("jaro"), F.round(text.jaro_winkler_similarity(a, F.lower("p_type")), 6).alias("jaro_winkler"))
