@@ -79,6 +79,21 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, in plain array steps: it starts no threads in the driver."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, pivot]] = work[[pivot, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0
+        rows = np.flatnonzero(factors)
+        work[rows] -= factors[rows, None] * work[i]
+    return work[:, n:]
+
+
 def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_columns: int = MAX_COLUMNS) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) that cover ``counts`` pieces of ``sizes`` (ascending, distinct) with few sequences of ``capacity``.
 
@@ -95,19 +110,19 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_colu
         price, pattern = best_pattern(np.maximum(duals, 0), sizes, capacity)
         if price <= 1 + 1e-7:
             break
-        direction, level = inverse @ pattern, inverse @ need
+        direction, level = (inverse * pattern).sum(axis=1), (inverse * need).sum(axis=1)
         ratio = np.where(direction > 1e-9, np.maximum(level, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = pattern
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
         else:
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
             inverse[out] = row
-    level = np.linalg.solve(basis, need)
+    level = (inverted(basis) * need).sum(axis=1)
     plan = [(int(t), basis[:, j].astype(np.int64)) for j, t in enumerate(np.floor(np.maximum(level, 0) + 1e-6)) if t > 0]
     left = counts - sum((t * p for t, p in plan), np.zeros(m, np.int64))
     left = np.maximum(left, 0)
