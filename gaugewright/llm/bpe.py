@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Words that a Python worker remembers, from task to task; the memory is emptied when it holds more.
 CACHE_WORDS = 800_000
@@ -44,6 +45,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -192,11 +194,11 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            else:
-                part = part.lower()
+            if not part.isascii() and max(part) >= "\u0250":
+                # letters whose class depends on the Unicode version: the library's own normaliser and pre-tokeniser decide
+                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+                continue
+            part = unicodedata.normalize("NFC", part).lower()
             pieces = (part,) if part.isalpha() else self.pieces.findall(part)
             out += [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
         return out

@@ -231,7 +231,7 @@ class Model:
 
 def train(pages: Iterable[str]) -> Model:
     """Count over labelled pages (``data-main`` 1 or 0 on every element). Unseen tags take the pooled counts."""
-    pair: dict[str, list[list[float]]] = defaultdict(lambda: [[0.5, 0.5], [0.5, 0.5]])
+    pair: dict[str, list[list[float]]] = defaultdict(lambda: [[0.0, 0.0], [0.0, 0.0]])
     pooled = [[0.5, 0.5], [0.5, 0.5]]
     seen: dict[str, list[float]] = defaultdict(lambda: [0.5, 0.5])
     total = [1.0, 1.0]
@@ -253,8 +253,10 @@ def train(pages: Iterable[str]) -> Model:
         base = total if e.startswith("name ") else kinds[e.split()[0]]
         # lengths and link shares of neighbours go together: they count for less
         odds[e] = (log(b / base[1]) - log(a / base[0])) * (1.0 if e.startswith("name ") else 0.75)
-    chance = {t: (c[0][1] / sum(c[0]), c[1][1] / sum(c[1])) for t, c in pair.items()}
-    return Model(chance, (pooled[0][1] / sum(pooled[0]), pooled[1][1] / sum(pooled[1])), odds)
+    rare = (pooled[0][1] / sum(pooled[0]), pooled[1][1] / sum(pooled[1]))
+    # a tag's own counts, and the pooled chance as one more
+    chance = {t: ((c[0][1] + rare[0]) / (sum(c[0]) + 1), (c[1][1] + rare[1]) / (sum(c[1]) + 1)) for t, c in pair.items()}
+    return Model(chance, rare, odds)
 
 
 def main_text(source: str | None, model: Model) -> str:

@@ -67,7 +67,7 @@ class _Pages:
 
     def comments(self) -> str:
         r = self.r
-        tag = r.choice(("li", "div", "article"))
+        tag = r.choice(("li", "div", "li", "div", "li", "div", "article"))
         each = "".join(self.el(tag, 0, self.el("p", 0, self.words(3, r.choice((20, 60, 200)))), self.named(COMMENT_NAMES, 0.8 if tag != "article" else 1)) for _ in range(r.randint(1, 5)))
         return self.el(r.choice(("section", "div", "ol")), 0, self.el("h3", 0, self.words(1, 3)) + each, self.named(COMMENT_NAMES, 1))
 
@@ -113,8 +113,9 @@ class _Pages:
     def main(self) -> str:
         r = self.r
         inner = self.el("h1", 1, self.words(2, 12)) if r.random() < 0.8 else ""
+        brief = r.random() < 0.2  # some articles are a few words
         for _ in range(r.randint(1, 9)):
-            inner += self.block()
+            inner += self.el("p", 1, self.words(1, 8)) if brief else self.block()
             if r.random() < 0.12:
                 inner += self.extras()
         kind = r.random()
