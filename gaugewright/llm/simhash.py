@@ -6,6 +6,10 @@ least three whole groups, so a grid with one unit cell for each agreement on thr
 every pair in a common cell. In a cell, the Manhattan distance filters and the Hamming distance verifies.
 Large cells are cut into blocks and each pair of blocks is a group of its own; a group gives back a spanning
 forest of its links, never all its pairs, which keeps the components whole.
+
+A distance of 3 bits is far below that of texts which share four fifths of their shingles (some 10 bits). Where near copies
+mean a Jaccard similarity of shingle sets, ``similar_texts`` finds all of them: in any one order of the shingles, two such
+sets share one among the first size - ceil(similarity * size) + 1 of each. These are the cells there, and exact sets verify.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -25,23 +29,39 @@ from .staging import written
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
+#: Near copies of the pipeline: words in a shingle, and the least Jaccard similarity of two texts.
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+#: Texts that tell which shingles are common, and how many of these are known at most. They set the order, so the cost alone.
+COMMON_SAMPLE = 20_000
+COMMON = 100_000
 #: Fingerprints of a cell in one block.
 BLOCK = 1024
 #: Two-bit segments in each of the six groups.
 GROUPS = (6, 5, 5, 6, 5, 5)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """The majority bits of the shingles' hashes, as a signed 64-bit number; 0 without words."""
-    words = text.encode().lower().split() if text else []
+def shingle_hashes(words: list[bytes], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hash of each run of ``width`` words; of all words if they are fewer."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     width = min(width, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([h(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The majority bits of the shingles' hashes, as a signed 64-bit number; 0 without words."""
+    hashes = shingle_hashes(words_of(text), width, seed)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 256:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -171,9 +191,112 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named, "fp").select(key, "fp", "component")
 
 
+def _signature(text: str | None) -> int:
+    """Equal for texts of equal words."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words_of(text)), SEED))
+
+
+def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
+    """The different shingles' hashes in order, as signed numbers."""
+    return np.unique(shingle_hashes(words_of(text), width).view(np.int64))
+
+
+def common_shingles(texts: DataFrame, width: int = COPY_SHINGLE) -> np.ndarray:
+    """Shingles of two or more of a sample of different texts (column ``text_``), the commonest last."""
+    share = -(-max(1, texts.count()) // COMMON_SAMPLE)
+    sample = texts.withColumn("x_", F.xxhash64("text_")).where(F.pmod(F.col("x_"), F.lit(share)) == 0).dropDuplicates(["x_"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"s_": np.concatenate([np.zeros(0, np.int64), *[shingle_set(t, width) for t in pdf["text_"]]])})
+
+    counts = sample.select("text_").mapInPandas(run, "s_ long").groupBy("s_").agg(F.count("*").alias("n_")).where("n_ > 1")
+    return np.array([r["s_"] for r in counts.orderBy(F.desc("n_"), "s_").limit(COMMON).collect()][::-1], np.int64)
+
+
+def first_shingles(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = COPY_SIMILARITY) -> np.ndarray:
+    """Of a set, those that a similar set must share one of: by hash, the common ones (sorted, with their ranks) last."""
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    if not len(common):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    known = common[at] == hashes
+    rare = hashes[~known]
+    return rare[:n] if len(rare) >= n else np.concatenate([rare, hashes[known][np.argsort(rank[at[known]])]])[:n]
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """``key`` and ``component`` of every row: the least key of the texts that links reach. Two texts are linked if the sets
+    of their ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; no such pair is missed.
+
+    A text of fewer words is one shingle; texts without words, null ones included, are copies of each other. First the
+    texts of a cell meet its least one, which joins large clusters in a linear number of pairs; then all others in
+    different components meet.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must lie above 0 and not above 1")
+    picked = docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text_"))
+    common = common_shingles(picked.select("text_"), width)
+    order = np.argsort(common)
+    shared_order = docs.sparkSession.sparkContext.broadcast((common[order], order))
+
+    @F.pandas_udf("sig_ long, size_ int, first_ array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = shingle_set(t, width)
+            rows.append((_signature(t), len(hashes), first_shingles(hashes, *shared_order.value, similarity)))
+        return pd.DataFrame(rows, columns=["sig_", "size_", "first_"])
+
+    rows = written(picked.select("key_", F.xxhash64("text_").alias("x_"), of("text_").alias("r_")).select("key_", "x_", "r_.*"), "first")
+    texts = rows.groupBy("sig_").agg(F.min("key_").alias("least_"), F.min("x_").alias("x_"), F.first("size_").alias("size_"), F.first("first_").alias("first_"))
+    texts = written(texts, "texts")
+    cells = texts.select("sig_", "size_", F.explode("first_").alias("cell_"))
+    many = cells.groupBy("cell_").agg(F.count("*").alias("n_"), F.min(F.struct("sig_", "size_")).alias("top_")).where("n_ > 1")
+    cells = written(cells.join(many, "cell_").select("cell_", "sig_", "size_", "top_"), "cells")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sig = [_signature(t) for t in pdf["text_"]]
+            yield pd.DataFrame({"sig_": sig, "set_": [shingle_set(t, width) for t in pdf["text_"]]})
+
+    one = texts.join(cells.select("sig_").distinct(), "sig_", "left_semi").select("x_")
+    held = picked.withColumn("x_", F.xxhash64("text_")).join(one, "x_", "left_semi").select("text_").mapInPandas(sets, "sig_ long, set_ array<long>")
+    held = written(held.groupBy("sig_").agg(F.first("set_").alias("set_")), "sets")
+
+    def fits(a: str, b: str) -> Column:
+        return (F.col(a) >= similarity * F.col(b) - 1e-9) & (F.col(b) >= similarity * F.col(a) - 1e-9)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(held.select(F.col("sig_").alias("a"), F.col("set_").alias("s")), "a").join(held.select(F.col("sig_").alias("b"), F.col("set_").alias("t")), "b")
+        same = F.size(F.array_intersect("s", "t"))
+        return both.where(same / (F.size("s") + F.size("t") - same) >= similarity).select("a", "b")
+
+    star = cells.where((F.col("sig_") != F.col("top_.sig_")) & fits("size_", "top_.size_")).select(F.col("top_.sig_").alias("a"), F.col("sig_").alias("b"))
+    star = written(verified(star), "star")
+    joined = connected_components(star, "a", "b").withColumnRenamed("node", "sig_")
+    left = written(cells.join(joined, "sig_", "left").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.coalesce("component", "sig_").alias("c")), "cells")
+    right = left.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
+    rest = left.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n")).select("a", "b")
+    linked = connected_components(star.union(verified(rest)), "a", "b").withColumnRenamed("node", "sig_")
+    linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component", "sig_").alias("c_")), "linked")
+    least = linked.groupBy("c_").agg(F.min("least_").alias("component"))
+    named = linked.join(least, "c_").select("sig_", "component")
+    return rows.join(named, "sig_").select(F.col("key_").alias(key), "component")
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the least key. Of repeated rows with this key one stays; rows with a null key
-    stay, since nothing tells them apart. All columns come back as they were."""
-    keep = near_duplicates(docs, key, text).where(F.col(key) == F.col("component")).select(key).distinct()
+    """One row of each group of ``near_duplicates``: that of the least key. Of repeated rows with this key one stays; rows with
+    a null key stay, since nothing tells them apart. All columns come back as they were."""
+    return _least_of_each(docs, near_duplicates(docs, key, text), key)
+
+
+def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """Like ``deduplicate``, of the groups of ``similar_texts``."""
+    return _least_of_each(docs, similar_texts(docs, key, text, width, similarity), key)
+
+
+def _least_of_each(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    keep = groups.where(F.col(key) == F.col("component")).select(key).distinct()
     known = docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi").select(*docs.columns)
     return known.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))

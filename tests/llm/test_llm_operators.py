@@ -199,6 +199,43 @@ def test_links_keep_every_component(spark, block):
     assert partition(brute_components(prints, lambda a, b: (a, b) in found)) == partition(want)
 
 
+def brute_similar(texts):
+    """The components of all pairs with a Jaccard similarity of 0.8 or more, and the number of pairs beyond 3 bits."""
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    near = lambda a, b: not (sets[a] | sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    prints = {k: brute_fingerprint(t) for k, t in texts.items()}
+    far = sum(near(a, b) and (prints[a] ^ prints[b]).bit_count() > 3 for a, b in itertools.combinations(texts, 2))
+    return brute_components(texts, near), far
+
+
+def test_similar_texts_against_all_pairs(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    notice = " ".join(word() for _ in range(12))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {500: "One two", 501: "one  TWO", 502: "one two three"}
+    for i in range(25):
+        words = [word() for _ in range(60)]
+        for j in range(5):
+            copy = words.copy()
+            for at in rng.sample(range(60), rng.randint(0, 4)):
+                copy[at] = word()
+            texts[1000 + 10 * i + j] = " ".join(copy) + " " + notice
+    want, far = brute_similar(texts)
+    assert far > 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component"] for r in simhash.similar_texts(cluttered(df).drop("component")).collect()} == want
+    import corpus_pipeline
+
+    stage = corpus_pipeline.drop_near_duplicates(spark, df.withColumn("n_chars", F.length("text")), "")
+    assert sorted(r["doc_id"] for r in stage.collect()) == sorted(set(want.values())) and stage.columns == ["doc_id", "text", "n_chars"]
+    monkeypatch.setattr(simhash, "COMMON", 3)  # another order, the same result
+    assert {r["doc_id"]: r["component"] for r in simhash.similar_texts(df).collect()} == want
+    assert simhash.similar_texts(df.limit(0)).count() == 0
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 1000, dtype=np.uint64), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
