@@ -4,10 +4,9 @@ Each text gives base counts (words, symbols, repeated lines, repeated 8-word win
 for each host and line the documents that hold the line are counted. Lines above the limit are removed, and a document that
 keeps too little of its text is rejected.
 
-Copies of one text, exact or near, must not pass for many documents that share a line. So a document is also
-known by its company: the least hash of its other lines. Unrelated documents that share boilerplate keep different company;
-copies keep the same. A line is removed when it occurs in company of more than ``limit`` kinds on its host, and these
-are at least half as many as the documents that hold it.
+Copies of one text, exact or near, must not pass for many documents that share a line. So the documents that hold a line
+above the limit are grouped by ``simhash.similar_texts`` (four fifths of the five-word shingles of their whole texts in common),
+and each group counts as one document. Where shared lines make up more than that of unrelated documents, these count as copies too.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import similar_texts
 from .staging import fresh, written
 
 LIMIT = 20
@@ -115,12 +115,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     picked = picked.withColumns({"x_": F.xxhash64("t_"), "host_": F.coalesce(F.concat(F.lit("="), "h_"), F.lit("")), "row_": F.monotonically_increasing_id()})
     base = written(measures(picked, "t_", {c: c for c in ("k_", "x_", "host_", "row_")}), "measures")
 
-    ordered = F.array_sort("line")
-    lines = base.where(F.size("line") > 0).select("row_", "host_", ordered[0].alias("a_"), F.get(ordered, F.lit(1)).alias("b_"), F.explode(F.arrays_zip("line", "line_words")).alias("l_"))
-    lines = lines.select("row_", "host_", F.col("l_.line").alias("line_"), F.col("l_.line_words").alias("words_"), F.when(F.col("a_") != F.col("l_.line"), F.col("a_")).otherwise(F.col("b_")).alias("company_"))
-    company = lines.groupBy("host_", "line_", "company_").agg(F.count("*").alias("n_"))
-    seen = company.groupBy("host_", "line_").agg(F.sum("n_").alias("docs_"), F.count("*").alias("kinds_"))
-    frequent = written(seen.where((F.col("kinds_") > limit) & (2 * F.col("kinds_") >= F.col("docs_"))).select("host_", "line_"), "frequent")
+    lines = base.select("row_", "x_", "host_", F.explode(F.arrays_zip("line", "line_words")).alias("l_"))
+    lines = lines.select("row_", "x_", "host_", F.col("l_.line").alias("line_"), F.col("l_.line_words").alias("words_"))
+    many = lines.groupBy("host_", "line_").agg(F.count("*").alias("n_")).where(F.col("n_") > limit).select("host_", "line_")
+    lines = written(lines.join(many, ["host_", "line_"]), "shared")
+    holders = picked.join(lines.select("x_").distinct(), "x_", "left_semi").select("x_", "t_")
+    groups = similar_texts(holders, "x_", "t_").distinct()
+    frequent = lines.join(groups, "x_").groupBy("host_", "line_").agg(F.count_distinct("component").alias("n_"))
+    frequent = written(frequent.where(F.col("n_") > limit).select("host_", "line_"), "frequent")
     hit = lines.join(frequent, ["host_", "line_"]).groupBy("row_").agg(F.sum("words_").alias("gone_"), F.collect_list("line_").alias("drop_"))
 
     left = F.col("n_words") - F.coalesce("gone_", F.lit(0))

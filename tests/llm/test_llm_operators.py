@@ -313,6 +313,23 @@ def test_copies_do_not_condemn_their_lines(spark):
     assert quality_rules.judge(spark.createDataFrame(near, DOC)).where("not kept").count() == 0
 
 
+def test_all_shared_lines_of_unrelated_documents_go(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(9))
+    rows, want = [], {}
+    for host, (shared, own) in {"a": (2, 1), "b": (3, 1), "c": (5, 2), "d": (5, 3), "e": (8, 2)}.items():
+        common = [line() for _ in range(shared)]
+        for _ in range(25):
+            want[len(rows)] = sorted(map(quality_rules.line_key, common))
+            rows.append((len(rows), "\n".join(common + [line() for _ in range(own)]), "en", host, 1))
+        copied = [line() for _ in range(shared + own)]
+        for _ in range(25):  # copies, exact ones too
+            want[len(rows)] = []
+            rows.append((len(rows), "\n".join(copied), "en", host, 1))
+    got = quality_rules.judge(spark.createDataFrame(rows, DOC)).collect()
+    assert {r["doc_id"]: sorted(r["drop_lines"]) for r in got} == want
+
+
 # ---- 5 and 9: classifiers
 
 
