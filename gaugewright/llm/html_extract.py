@@ -24,7 +24,10 @@ from .html_samples import labelled_pages
 # HTML's void, inline and hidden elements.
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()}
-HIDDEN = {*"script style noscript template textarea title iframe svg math select button canvas audio video object head datalist".split()}
+HIDDEN = {*"script style noscript template textarea title iframe svg math select button canvas audio video object datalist".split()}
+#: Controls that pages leave open: without an end tag of their own they end at a block.
+CONTROLS = {t: re.compile(rf"<(/?){t}\b", re.IGNORECASE) for t in ("select", "button")}
+IN_CONTROL = {"option", "optgroup"}
 #: An open element of the key's tag ends where one of these tags begins.
 CLOSED_BY = {
     "li": {"li"},
@@ -62,7 +65,11 @@ def parse(source: str | None) -> Page:
     if not source:
         return page
     stack, texts, in_link, link_chars, at = [0], [], 0, 0, 0
-    hidden, depth = None, 0
+    hidden, depth, unended = None, 0, False
+
+    def without_end(tag: str, start: int) -> bool:
+        after = CONTROLS[tag].search(source, start) if tag in CONTROLS else None
+        return tag in CONTROLS and not (after and after[1])
 
     def flush() -> None:
         nonlocal link_chars
@@ -100,19 +107,24 @@ def parse(source: str | None) -> Page:
         if not tag:
             continue
         if hidden is not None:
-            if tag == hidden:
+            if unended and tag not in INLINE and tag not in VOID and tag not in HIDDEN and tag not in IN_CONTROL:
+                hidden = None  # a block begins, or one around the control ends
+            elif tag == hidden and tag in CONTROLS:
+                hidden = None if closing else hidden  # a control ends an open one of its kind
+                unended = without_end(tag, at)
+            elif tag == hidden:
+                if not closing and tag in ("svg", "math") and m[0].endswith("/>"):
+                    continue
                 depth += -1 if closing else 1
                 if not depth:
                     hidden = None
             elif tag in ("script", "style") and not closing:
                 raw = tag
-            elif hidden == "head" and tag == "body":
-                hidden = None
-            if hidden is not None or tag != "body":
+            if hidden is not None or tag in HIDDEN:
                 continue
         if tag in HIDDEN:
-            if not closing:
-                hidden, depth = tag, 1
+            if not closing and not (tag in ("svg", "math") and m[0].endswith("/>")):
+                hidden, depth, unended = tag, 1, without_end(tag, at)
                 if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
                     raw = tag
             continue
@@ -126,7 +138,7 @@ def parse(source: str | None) -> Page:
             continue
         flush()
         in_link = 0
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             if label := _LABEL.search(m[3] or m[6] or ""):
                 page.labels[0] = int(label[1])
             continue
@@ -163,7 +175,7 @@ def parse(source: str | None) -> Page:
         page.linked.append(0)
     if raw is None:
         take(len(source))
-        flush()
+    flush()
     return page
 
 

@@ -469,6 +469,21 @@ def test_html_template(html_model):
     assert html_extract.main_text(page, html_model) == "Head & tail\n\nOne two\n\nThree <4\n\nBe."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><svg class="i" viewBox="0 0 1 1"/><article><h1>Head</h1><p>Some words of the text</p><svg><path/></svg></article>',
+        "<html><head><meta charset=utf-8><title>T</title><article><h1>Head</h1><p>Some words of the text</p></article>",
+        "<body><button class=b>Buy<article><h1>Head</h1><p>Some words of the text</p></article><button><div>Sell</div></button>",
+        "<body><div><select><option>One<option>Two</div><article><h1>Head</h1><p>Some words of the text</p></article>",
+        "<body><article><h1>Head</h1><p>Some words of the text<script>var x",
+        "<body><article><h1>Head</h1><p>Some words of the text<style>p{",
+    ],
+)
+def test_html_unclosed_and_cut_off(html_model, page):
+    assert html_extract.main_text(page, html_model) == "Head\n\nSome words of the text"
+
+
 def test_html_held_out_accuracy(html_model):
     right = total = 0
     for source in html_samples.labelled_pages(200, seed=77):
