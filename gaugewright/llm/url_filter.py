@@ -7,8 +7,12 @@ alias takes precedence over a blocked one.
 
 from __future__ import annotations
 
+import html as html_entities
+import re
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,18 +58,49 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return chain
 
 
+_ATTR = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_DELAY = re.compile(r"\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))", re.IGNORECASE | re.DOTALL)
+
+
+def _attributes(tag: str | None) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in _ATTR.findall(tag or ""):
+        found.setdefault(name.lower(), html_entities.unescape("".join(values)))
+    return found
+
+
+def target_of(tag: str, url: str, base: str | None = None) -> str | None:
+    """The URL that a canonical link or a meta refresh of the page ``url`` leads to; ``base`` is the page's base element."""
+    a = _attributes(tag)
+    if tag[1:5].lower() == "link":
+        target = a.get("href", "") if "canonical" in a.get("rel", "").lower().split() else ""
+    else:
+        m = _DELAY.match(a.get("content", "")) if a.get("http-equiv", "").strip().lower() == "refresh" else None
+        target = (m[1] or m[2] or m[3] or "") if m else ""
+    target = re.sub(r"[\t\n\r]", "", target.strip())
+    if not target:
+        return None
+    try:
+        target = urljoin(urljoin(url, _attributes(base).get("href", "").strip()), target)
+    except ValueError:  # not a URL
+        return None
+    return target if "://" in target else None
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): the canonical links and the redirects (meta refresh) that the pages declare."""
+    """(src, dst): the canonical links and the redirects (meta refresh) that the pages declare, resolved against the page's URL."""
     links = F.concat(
-        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1),
-        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1),
-    )
-    found = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), F.explode(links).alias("tag"))
-    target = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")),
+        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\bcanonical\b[^>]*>)"), 1),
+        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\brefresh\b[^>]*>)"), 1),
     )
-    return found.select("src", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("dst")).where("dst is not null and src <> dst")
+    base = F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*>", 0)
+
+    @F.pandas_udf("string")
+    def target(tags: pd.Series, urls: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([target_of(*x) for x in zip(tags, urls, bases, strict=True)], dtype=object)
+
+    found = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), base.alias("base"), F.explode(links).alias("tag"))
+    return found.select("src", target("tag", "src", "base").alias("dst")).where("dst is not null and src <> dst")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:

@@ -398,6 +398,29 @@ def test_aliases(spark):
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_relative_aliases(spark):
+    pages, want = [], set()
+    for host, kind in (("http://a.com", "en"), ("https://b.io:8080", "de")):
+        page = f"{host}/{kind}/x/1?q=2"
+        tags = {
+            '<meta http-equiv="refresh" content="0;url=/new">': f"{host}/new",
+            "<META content='5; URL=\"../up\"' http-equiv=Refresh>": f"{host}/{kind}/up",
+            '<meta http-equiv="refresh" content="0; /plain">': f"{host}/plain",
+            '<link rel="alternate canonical" href="./same?a=1&#38;b=2">': f"{host}/{kind}/x/same?a=1&b=2",
+            "<link href=//c.net/z rel=canonical>": f"{host.split(':')[0]}://c.net/z",
+            '<link rel="not-canonical" href="/no">': None,
+        }
+        pages.append((len(pages), page, "".join(tags)))
+        want |= {(page, t) for t in tags.values() if t}
+    pages += [(8, "http://a.com/new", ""), (9, "https://b.io:8080/new", ""), (10, "https://b.io/new", None), (11, "no scheme", '<link rel=canonical href="/x">')]
+    pages += [(12, "http://d.io/p/", '<base href="/q/"><link rel=canonical href="1">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = url_filter.alias_edges(df)
+    assert {tuple(e) for e in edges.collect()} == want | {("http://d.io/p/", "http://d.io/q/1")}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, edges).collect()}
+    assert [k for k, v in got.items() if v == "block"] == [0, 8]
+
+
 # ---- 2: top-k
 
 
