@@ -33,7 +33,7 @@ DISTANCE = 3
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
 #: Texts that tell which shingles are common, and how many of these are known at most. They set the order, so the cost alone.
-COMMON_SAMPLE = 20_000
+COMMON_SAMPLE = 5_000
 COMMON = 100_000
 #: Fingerprints of a cell in one block.
 BLOCK = 1024
@@ -260,25 +260,34 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
             sig = [_signature(t) for t in pdf["text_"]]
             yield pd.DataFrame({"sig_": sig, "set_": [shingle_set(t, width) for t in pdf["text_"]]})
 
-    one = texts.join(cells.select("sig_").distinct(), "sig_", "left_semi").select("x_")
-    held = picked.withColumn("x_", F.xxhash64("text_")).join(one, "x_", "left_semi").select("text_").mapInPandas(sets, "sig_ long, set_ array<long>")
-    held = written(held.groupBy("sig_").agg(F.first("set_").alias("set_")), "sets")
-
     def fits(a: str, b: str) -> Column:
         return (F.col(a) >= similarity * F.col(b) - 1e-9) & (F.col(b) >= similarity * F.col(a) - 1e-9)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(held.select(F.col("sig_").alias("a"), F.col("set_").alias("s")), "a").join(held.select(F.col("sig_").alias("b"), F.col("set_").alias("t")), "b")
+    def enough(shared: Column, m: str, n: str) -> Column:
+        """Beyond what two sets share of their first shingles, one of them can share its later ones at most."""
+        later = F.greatest(*[F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in (m, n)])
+        return (1 + similarity) * (shared + later) >= similarity * (F.col(m) + F.col(n)) - 1e-9
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = written(pairs, label)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig_")).distinct()
+        one = texts.join(ends, "sig_", "left_semi").select("x_")
+        held = picked.withColumn("x_", F.xxhash64("text_")).join(one, "x_", "left_semi").select("text_").mapInPandas(sets, "sig_ long, set_ array<long>")
+        held = written(held.groupBy("sig_").agg(F.first("set_").alias("set_")), "sets")
+        both = pairs.join(held.select(F.col("sig_").alias("a"), F.col("set_").alias("s")), "a").join(held.select(F.col("sig_").alias("b"), F.col("set_").alias("t")), "b")
         same = F.size(F.array_intersect("s", "t"))
-        return both.where(same / (F.size("s") + F.size("t") - same) >= similarity).select("a", "b")
+        return written(both.where(same / (F.size("s") + F.size("t") - same) >= similarity).select("a", "b"), "verified")
 
-    star = cells.where((F.col("sig_") != F.col("top_.sig_")) & fits("size_", "top_.size_")).select(F.col("top_.sig_").alias("a"), F.col("sig_").alias("b"))
-    star = written(verified(star), "star")
+    star = cells.where((F.col("sig_") != F.col("top_.sig_")) & fits("size_", "top_.size_")).select(F.col("top_.sig_").alias("a"), F.col("sig_").alias("b")).distinct()
+    for end, first, size in (("a", "s", "m"), ("b", "t", "n")):
+        star = star.join(texts.select(F.col("sig_").alias(end), F.col("first_").alias(first), F.col("size_").alias(size)), end)
+    star = verified(star.where(enough(F.size(F.array_intersect("s", "t")), "m", "n")).select("a", "b"), "star")
     joined = connected_components(star, "a", "b").withColumnRenamed("node", "sig_")
     left = written(cells.join(joined, "sig_", "left").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.coalesce("component", "sig_").alias("c")), "cells")
     right = left.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
-    rest = left.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n")).select("a", "b")
-    linked = connected_components(star.union(verified(rest)), "a", "b").withColumnRenamed("node", "sig_")
+    rest = left.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n"))
+    rest = rest.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(enough(F.col("shared"), "m", "n")).select("a", "b")
+    linked = connected_components(star.union(verified(rest, "rest")), "a", "b").withColumnRenamed("node", "sig_")
     linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component", "sig_").alias("c_")), "linked")
     least = linked.groupBy("c_").agg(F.min("least_").alias("component"))
     named = linked.join(least, "c_").select("sig_", "component")
