@@ -104,20 +104,27 @@ def simple_paths(edges: DataFrame, depth: int, per_start: int | None = None, sta
     return found
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by label propagation: each node takes the commonest label around it, of equals the least. Stops after ``rounds``."""
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, community) by label propagation: each node takes the commonest label around it, of equals the least.
+    Ends when no label changes, or after ``rounds`` where labels go round for ever."""
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "links")
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    before = None
     for _ in range(rounds):
         told = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").union(labels.select(F.lit(None).cast(both.schema["dst"].dataType).alias("dst"), F.col("id").alias("src"), "community"))
         counts = told.groupBy("src", "community").agg(F.count("*").alias("n"))
         labels = counts.groupBy("src").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), F.col("community"))).alias("community")).withColumnRenamed("src", "id")
         labels = written(labels, "labels")
+        mark = labels.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
     return labels
 
 
-def indirect_clusters(graph: Graph, depth: int = 3, predicate: Column | None = None, per_start: int = 100) -> DataFrame:
-    """``cluster`` (sorted ids): the different node sets of paths of 1 to ``depth`` edges within communities."""
+def indirect_clusters(graph: Graph, depth: int = 3, predicate: Column | None = None, per_start: int | None = 100) -> DataFrame:
+    """``cluster`` (sorted ids): the different node sets of paths of 1 to ``depth`` edges within communities; all of them if
+    ``per_start`` is None."""
     if depth < 2:
         raise ValueError("the depth must be 2 or more")
     edges = graph.edges if predicate is None else graph.edges.where(predicate)

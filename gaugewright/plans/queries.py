@@ -476,7 +476,7 @@ def indirect_clusters(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     edges = written(graph.similarity_edges(pairs.cosine_pairs(e, 0.4, "vec_id", "embedding"), "similar"), "similar")
     nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.lit("document").alias("type"))
-    return graph.indirect_clusters(graph.Graph(nodes, edges), 2, per_start=20)
+    return graph.indirect_clusters(graph.Graph(nodes, edges), 2, per_start=None)
 
 
 @query(f"""WITH {EMB}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.35),

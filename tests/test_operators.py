@@ -132,6 +132,29 @@ def test_graph(spark, tmp_path):
         graph.indirect_clusters(g, 1)
 
 
+def test_indirect_clusters_of_a_hub_are_whole(spark, tmp_path):
+    from gaugewright.plans import queries
+
+    leaves = np.hstack([np.full((30, 1), 0.45), np.eye(30) * np.sqrt(1 - 0.45**2)])
+    vectors = np.vstack([np.eye(31)[:1], leaves])
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    want = {frozenset({"0", str(i)}) for i in range(1, 31)} | {frozenset({"0", str(i), str(j)}) for i, j in itertools.combinations(range(1, 31), 2)}
+    got = queries.indirect_clusters(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(want) and {frozenset(r["cluster"]) for r in got} == want
+
+
+def test_communities_reach_a_fixed_point(spark):
+    links = [(i, i + 1) for i in range(40)]
+    label, after = None, {i: i for i in range(41)}
+    while label != after:
+        label, after = after, {}
+        for i in label:
+            near = [label[j] for j in (i - 1, i, i + 1) if j in label]
+            after[i] = min(near, key=lambda x: (-near.count(x), x))
+    got = graph.communities(spark.createDataFrame(links, "src long, dst long"))
+    assert {r["id"]: r["community"] for r in got.collect()} == label
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "")], "id long, text string")
     assert rows(splitters.window_chunks(df, 2)) == [(1, 0, "a b"), (1, 1, "c d"), (1, 2, "e")]
