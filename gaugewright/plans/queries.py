@@ -489,7 +489,7 @@ def persona_groups(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scenario_sampling(spark: SparkSession, d: str) -> DataFrame:
     """The feature is the sample: 500 scenarios."""
-    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.slice(F.array_distinct(text.words(F.col("text"))), 1, 3)).alias("term"))
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
     personas = spark.createDataFrame([("editor",), ("student",), ("engineer",)], "persona string")
     return testset.scenarios(nodes.join(F.broadcast(personas), F.lit(True)), 500)
 

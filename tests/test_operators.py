@@ -155,6 +155,14 @@ def test_communities_reach_a_fixed_point(spark):
     assert {r["id"]: r["community"] for r in got.collect()} == label
 
 
+def test_scenarios_take_terms_of_the_whole_text(spark, tmp_path):
+    from gaugewright.plans import queries
+
+    spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.scenario_sampling(spark, f"file://{tmp_path}").collect()
+    assert {r["term"] for r in got} == set("one two three four five six".split()) and len(got) == 18
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "")], "id long, text string")
     assert rows(splitters.window_chunks(df, 2)) == [(1, 0, "a b"), (1, 1, "c d"), (1, 2, "e")]
