@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +29,37 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: this cuts the lineage, survives
-    lost executors, and keeps what comes after from running ``df`` again."""
+    lost executors, and keeps what comes after from running ``df`` again.
+
+    The table stays until ``forget`` or ``forget_all``: a result that is still to be computed may read it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path in _TABLES:
+            _TABLES.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def forget_all(spark: SparkSession) -> int:
+    """Delete all tables that ``written`` has left in this driver: for the end of a job, when its results are saved."""
+    gone = len(_TABLES)
+    while _TABLES:
+        _delete(spark, _TABLES.pop())
+    return gone
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
