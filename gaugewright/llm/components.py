@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import written
+from .staging import forget, written
 
 
-def _towards_min(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all its neighbours. The minima are a table of their own, so that a node
+def _towards_min(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written minima, and (u, v, m): m is the least of u and all its neighbours. The minima are a table of their own, so that a node
     with very many neighbours is a plain skewed join, which adaptive execution splits."""
     least = written(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "least")
-    return edges.join(least, "u")
+    return least, edges.join(least, "u")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -32,10 +32,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = mark
-        both = edges.union(edges.select("v", "u"))
-        large = _towards_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        all_least, both = _towards_min(edges.union(edges.select("v", "u")))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "large")
-        near = _towards_min(large)
+        large_least, near = _towards_min(large)
         small = near.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = written(small.union(near.select("u", F.col("m").alias("v"))).distinct(), "small")
+        last, edges = edges, written(small.union(near.select("u", F.col("m").alias("v"))).distinct(), "small")
+        forget(last, all_least, large, large_least)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

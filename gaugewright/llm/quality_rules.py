@@ -4,9 +4,9 @@ Each text gives base counts (words, symbols, repeated lines, repeated 8-word win
 for each host and line the documents that hold the line are counted. Lines above the limit are removed, and a document that
 keeps too little of its text is rejected.
 
-Copies of one text, exact or near, must not pass for many documents that share a line. So the documents that hold a line
-above the limit are grouped by ``simhash.similar_texts`` (four fifths of the five-word shingles of their whole texts in common),
-and each group counts as one document. Where shared lines make up more than that of unrelated documents, these count as copies too.
+A document is known by its whole sequence of normalised lines, so copies that differ in letter case or spacing at most count
+once. Near copies are documents of their own here: lines that more than the limit of them hold on one host do go, and what is
+left of them must carry them. Near copies as such are the work of ``simhash``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import similar_texts
 from .staging import fresh, written
 
 LIMIT = 20
@@ -67,14 +66,15 @@ def line_key(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the text's different lines: keys and their words."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, int, list[int], list[int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the hash of all lines' keys in their order, and the text's
+    different lines: keys and their words."""
     text = text or ""
     words = text.encode().split()
     lines = [x for x in text.split("\n") if x.strip(WHITE)]
     held: dict[int, int] = {}
-    for line in lines:
-        k = line_key(line)
+    keys = [line_key(line) for line in lines]
+    for k, line in zip(keys, lines, strict=True):
         held[k] = held.get(k, 0) + len(line.encode().split())
     return (
         len(words),
@@ -82,6 +82,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        xxhash.xxh64_intdigest(np.array(keys, np.int64).tobytes()) >> 1,
         list(held),
         list(held.values()),
     )
@@ -91,13 +92,13 @@ def measures(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
     """The counts and lines of each row, with the columns of ``keep`` (new name: name in ``docs``) beside them."""
     fields = [docs.schema[c] for c in keep.values()]
     kinds = ", ".join(f"{new} {f.dataType.simpleString()}" for new, f in zip(keep, fields, strict=True))
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "same_"]
     schema = f"{kinds}, {', '.join(f'{c} long' for c in longs)}, line array<long>, line_words array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*[measure(t) for t in batch.column(len(keep)).to_pylist()], strict=True)) or [()] * 7
-            made = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(x, pa.list_(pa.int64())) for x in rows[5:]]
+            rows = list(zip(*[measure(t) for t in batch.column(len(keep)).to_pylist()], strict=True)) or [()] * 8
+            made = [pa.array(x, pa.int64()) for x in rows[:6]] + [pa.array(x, pa.list_(pa.int64())) for x in rows[6:]]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *longs, "line", "line_words"])
 
     picked = docs.select(*[F.col(c).alias(new) for new, c in keep.items()], F.col(text).cast("string").alias("text_"))
@@ -115,14 +116,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     picked = picked.withColumns({"x_": F.xxhash64("t_"), "host_": F.coalesce(F.concat(F.lit("="), "h_"), F.lit("")), "row_": F.monotonically_increasing_id()})
     base = written(measures(picked, "t_", {c: c for c in ("k_", "x_", "host_", "row_")}), "measures")
 
-    lines = base.select("row_", "x_", "host_", F.explode(F.arrays_zip("line", "line_words")).alias("l_"))
-    lines = lines.select("row_", "x_", "host_", F.col("l_.line").alias("line_"), F.col("l_.line_words").alias("words_"))
+    lines = base.select("row_", "same_", "host_", F.explode(F.arrays_zip("line", "line_words")).alias("l_"))
+    lines = lines.select("row_", "same_", "host_", F.col("l_.line").alias("line_"), F.col("l_.line_words").alias("words_"))
+    # rows first, which combine before the shuffle; then the different documents of the few lines that so many rows hold
     many = lines.groupBy("host_", "line_").agg(F.count("*").alias("n_")).where(F.col("n_") > limit).select("host_", "line_")
     lines = written(lines.join(many, ["host_", "line_"]), "shared")
-    holders = picked.join(lines.select("x_").distinct(), "x_", "left_semi").select("x_", "t_")
-    groups = similar_texts(holders, "x_", "t_").distinct()
-    frequent = lines.join(groups, "x_").groupBy("host_", "line_").agg(F.count_distinct("component").alias("n_"))
-    frequent = written(frequent.where(F.col("n_") > limit).select("host_", "line_"), "frequent")
+    documents = lines.select("host_", "line_", "same_").distinct()  # a step of its own: one line may be in a third of all rows
+    frequent = documents.groupBy("host_", "line_").agg(F.count("*").alias("n_")).where(F.col("n_") > limit).select("host_", "line_")
+    frequent = written(frequent, "frequent")
     hit = lines.join(frequent, ["host_", "line_"]).groupBy("row_").agg(F.sum("words_").alias("gone_"), F.collect_list("line_").alias("drop_"))
 
     left = F.col("n_words") - F.coalesce("gone_", F.lit(0))
