@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from .sample import per_class
 
-#: Labelled texts of each class that the fit takes, about, and the length up to which it takes them.
+#: Labelled texts of each class that the fit takes, about, whatever their lengths.
 SAMPLE = 1500
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 64_000
 BLOCK_BYTES = 1_500
 LEVEL = 3
@@ -77,13 +76,14 @@ def _dictionary(texts: list[str]) -> bytes:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` rows of each label (1 good, 0 bad) with a text of 1 to SAMPLE_CHARS characters.
+    """Learn from about ``sample`` rows of each label (1 good, 0 bad) with a text that is not empty, of any length
+    (``sample.BYTES`` bounds what they hold together).
 
     Half of them make the dictionaries, half the calibration. Where a class has no such row, the score is the share of
     good rows, or one half without any."""
-    rows = labelled.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    rows = labelled.where((F.length(text) > 0) & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in per_class(rows, "y", sample, "k"):
+    for r in per_class(rows, "y", sample, "k", "t"):
         texts[r.y].append(r.t)
     if min(len(texts[0]), len(texts[1])) < 2:
         n = len(texts[0]) + len(texts[1])
@@ -96,7 +96,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with ``into``, from 0 to 1, from the whole text; a null or empty text has no size and gets the score of a difference of 0."""
+    """``docs`` with ``into``, from 0 to 1, from the whole text; a null or empty text has no size and gets the score of a difference of 0.
+
+    A column named ``into`` is replaced; all others pass as they are, repeated rows row by row. An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -112,6 +114,8 @@ def held_out(key: str = "doc_id"):  # noqa: ANN201
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """``key``, ``text`` and ``label`` of the rows that have a label of 0 or 1 and are not held out. Null keys and labels take no
+    part; a key with several texts or labels gives a row for each pair of them. Other columns, whatever their names, are not read."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("label_key"), F.col(label).alias("label"))
     rows = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.join(known, rows["key"] == known["label_key"]).select("key", "text", "label")

@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 30
 
 
-def per_class(rows: DataFrame, label: str, size: int, key: str) -> list:
-    """About ``size`` rows of each class (all, if it has fewer), chosen by the hash of their key, in a fixed order.
+#: Bytes of text that a sample holds, about.
+BYTES = 64 << 20
+
+
+def per_class(rows: DataFrame, label: str, size: int, key: str, text: str, most_bytes: int = BYTES, most_rows: int | None = None) -> list:
+    """About ``size`` rows of each class (all, if it has fewer), chosen by the hash of their key and text, in a fixed order.
+    Where these would hold more than ``most_bytes`` of ``text`` together, about, the share is lowered for rows of every length alike.
+    ``most_rows`` bounds the rows of all classes together, about.
 
     The counts decide a share per class, so no class is sorted or gathered anywhere; only the chosen rows move."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(label).agg(F.count("*"), F.sum(F.octet_length(text))).collect()}
     if not counts:
         return []
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(BUCKETS))
+    if most_rows is not None:
+        size = max(1, min(size, most_rows // len(counts)))
+    shares = {value: min(1.0, size / n) for value, (n, _) in counts.items()}
+    scale = min(1.0, most_bytes / max(1.0, sum(shares[value] * held for value, (_, held) in counts.items())))
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(BUCKETS))
     want = F.lit(False)
-    for value, n in counts.items():
-        want = want | ((F.col(label) == F.lit(value)) & (spot < int(BUCKETS * min(1.0, size / n))))
-    return sorted(rows.where(want).collect(), key=lambda r: (str(r[label]), str(r[key])))
+    for value, share in shares.items():
+        want = want | ((F.col(label) == F.lit(value)) & (spot < int(BUCKETS * share * scale)))
+    return sorted(rows.where(want).collect(), key=lambda r: (str(r[label]), str(r[key]), str(r[text])))
