@@ -9,6 +9,7 @@ across it in the pair. Both tests run on arrays over all words of a batch. Words
 from __future__ import annotations
 
 import gc
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -23,8 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words that a Python worker remembers, from task to task; the memory is emptied when it holds more.
-CACHE_WORDS = 800_000
+#: Bytes that a Python worker's memory of words holds, from task to task; it is emptied when it holds more.
+CACHE_BYTES = 128 << 20
+#: What an entry takes besides its bytes, about; and the longest word, in bytes, that is remembered.
+ENTRY_BYTES = 160
+LONGEST_KEPT = 256
+#: Words of more letters are merged one by one, with a heap.
+LONG_WORD = 400
 #: Marks that are a piece of their own after a word of letters.
 STOPS = b".,;:!?"
 #: Characters that a task encodes at once.
@@ -83,7 +89,8 @@ class Vocabulary:
         for ok, token, (a, b) in zip(alone.tolist(), made.tolist(), pairs.tolist(), strict=True):
             whole[token] = ok and whole[a] and whole[b]
         self.whole = whole  # whether a token encodes to itself
-        self.known: dict[str, bytes] = {}  # the ids of pieces
+        self.known = Memory()  # the ids of pieces
+        self.rank_of = dict(zip(keys.tolist(), range(len(made)), strict=True))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair, whether no merge crosses its boundary (with ``before``: none of a lower rank than that).
@@ -167,6 +174,30 @@ class Vocabulary:
                 rank[near] = ranks(near)
         return out
 
+    def merge_long(self, word: str) -> bytes:
+        """The same merges in one long word: neighbours are linked, and a heap holds the pairs by rank, then place."""
+        tokens = [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + self.end]]
+        n, rank_of, made = len(tokens), self.rank_of.get, self.made.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(tokens[i] << 32 | tokens[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            j = after[i]
+            if tokens[i] < 0 or j >= n or rank_of(tokens[i] << 32 | tokens[j]) != rank:
+                continue  # one of the two has been merged since
+            tokens[i], tokens[j] = made[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(tokens[i] << 32 | tokens[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(tokens[h] << 32 | tokens[i])) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Speculate on all pieces, verify all at once, merge the failing ones. Ids as little-endian unsigned 32-bit numbers."""
         proposed = list(map(self.propose, pieces))
@@ -183,8 +214,12 @@ class Vocabulary:
         raw, bounds = flat.astype("<u4").tobytes(), (4 * ends).tolist()
         out = [raw[i:j] for i, j in zip([0, *bounds], bounds, strict=False)]
         failed = np.flatnonzero(bad).tolist()
-        for i, ids in zip(failed, self.merge_exactly([pieces[i] for i in failed]), strict=True):
+        short = [i for i in failed if len(pieces[i]) <= LONG_WORD]
+        for i, ids in zip(short, self.merge_exactly([pieces[i] for i in short]), strict=True):
             out[i] = ids
+        for i in failed:
+            if len(pieces[i]) > LONG_WORD:
+                out[i] = self.merge_long(pieces[i])
         return out
 
     def split(self, word: str) -> list[str | int]:
@@ -214,19 +249,36 @@ class Vocabulary:
                 mixed[w] = [w[:-1].decode().lower(), chr(w[-1])]
             else:
                 mixed[w] = self.split(w.decode())
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = {*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))} - self.known.keys()
+        pieces = {*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))}
+        new = list(pieces - self.known.keys())
+        known = {p: self.known[p] for p in pieces & self.known.keys()}
         if new:
-            new = list(new)
-            self.known |= zip(new, self.encode_pieces(new), strict=True)
-        known = self.known
+            found = dict(zip(new, self.encode_pieces(new), strict=True))
+            self.known.remember(found)
+            known |= found
         out = {w: known[p] for w, p in whole.items()}
         for w, ps in mixed.items():
             out[w] = b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps])
         return out
 
 
+class Memory(dict):
+    """Words and their ids; ``remember`` leaves long words out and starts anew when CACHE_BYTES are reached."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def remember(self, found: dict) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        for word, ids in found.items():
+            if len(word) <= LONGEST_KEPT:
+                self[word] = ids
+                self.held += len(word) + len(ids) + ENTRY_BYTES
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -246,22 +298,24 @@ class Encoder:
         """The worker's encoder for a vocabulary."""
         return Encoder(vocabulary(path).encode_words)
 
-    def __init__(self, encode_words, cache_words: int = CACHE_WORDS):
-        self.encode_words, self.cache_words, self.known = encode_words, cache_words, {}
+    def __init__(self, encode_words, cache_bytes: int = CACHE_BYTES):
+        self.encode_words, self.known = encode_words, Memory(cache_bytes)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [words_of(t) if t else [] for t in texts]
-        if len(self.known) > self.cache_words:
-            self.known = {}
-        new = {w for words in split for w in words} - self.known.keys()
+        words = {w for ws in split for w in ws}
+        new = words - self.known.keys()
+        known = self.known
         if new:
             gc.disable()  # many small lists, none in a cycle
             try:
-                self.known |= self.encode_words(new)
+                found = self.encode_words(new)
             finally:
                 gc.enable()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            known = {w: self.known[w] for w in words - new} | found
+            self.known.remember(found)
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
