@@ -4,12 +4,13 @@ Every document is tokenised and cut into full pieces of the sequence length and
 size classes, make a histogram. A linear program over patterns (how many pieces of each class share a sequence) covers it
 with the fewest sequences: its dual prices go into a knapsack over the capacity, which finds the
 pattern to add next. The solution is rounded down, a greedy fill covers what is left, and the pieces of a class, in the order
-of their rank, take the slots of the patterns. Only the histogram comes to the driver; it has as many rows as there
-are classes and salts, whatever the input.
+of their rank, take the slots of the patterns. Only the number of pieces of each class comes to the driver: with classes of
+16 tokens up to 4096 these are 256 numbers, whatever the input. The ranks are numbered where the pieces are.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,10 @@ UNIT = 16
 END_ID = 2
 #: Pieces that are ranked together, about.
 RANKED_TOGETHER = 200_000
-MAX_COLUMNS = 4000
+#: Sequences above the linear program's bound at which no further column is generated.
+GAP = 0.5
+#: Columns without a better objective, as degenerate steps give them, after which the search ends with a warning of the gap.
+STALLED = 500
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,10 +98,12 @@ def inverted(matrix: np.ndarray) -> np.ndarray:
     return work[:, n:]
 
 
-def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_columns: int = MAX_COLUMNS) -> list[tuple[int, np.ndarray]]:
+def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, stalled: int = STALLED) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) that cover ``counts`` pieces of ``sizes`` (ascending, distinct) with few sequences of ``capacity``.
 
-    Revised simplex: the basis starts with one pattern per size; a pattern whose price under the duals is over 1 enters.
+    Revised simplex: the basis starts with one pattern per size; a pattern whose price under the duals is over 1 enters. The
+    objective divided by the best price is a lower bound of the optimum, so the search knows its gap. It ends when
+    the gap is below GAP sequences; there is no limit on columns.
     """
     m = len(sizes)
     if not m:
@@ -105,15 +111,22 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_colu
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
     need = counts.astype(float)
-    for step in range(max_columns):
+    step, lowest, bound, since = 0, np.inf, 0.0, 0
+    while True:
         duals = inverse.sum(axis=0)  # of cost 1 per sequence
         price, pattern = best_pattern(np.maximum(duals, 0), sizes, capacity)
-        if price <= 1 + 1e-7:
+        level = (inverse * need).sum(axis=1)
+        objective = float(np.maximum(level, 0).sum())
+        bound = max(bound, objective / max(price, 1.0))
+        if price <= 1 + 1e-7 or objective - bound < GAP:
             break
-        direction, level = (inverse * pattern).sum(axis=1), (inverse * need).sum(axis=1)
+        since = 0 if objective < lowest - 1e-9 else since + 1
+        lowest = min(lowest, objective)
+        direction = (inverse * pattern).sum(axis=1)
         ratio = np.where(direction > 1e-9, np.maximum(level, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        if not np.isfinite(ratio[out]) or since > stalled:
+            logging.getLogger(__name__).warning("column generation ended %.1f sequences above its bound of %.1f", objective - bound, bound)
             break
         basis[:, out] = pattern
         if step % 50 == 49:
@@ -122,6 +135,7 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_colu
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
             inverse[out] = row
+        step += 1
     level = (inverted(basis) * need).sum(axis=1)
     plan = [(int(t), basis[:, j].astype(np.int64)) for j, t in enumerate(np.floor(np.maximum(level, 0) + 1e-6)) if t > 0]
     left = counts - sum((t * p for t, p in plan), np.zeros(m, np.int64))
@@ -160,34 +174,32 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT,
     pieces = written(pieces, "pieces")
     salts = max(64, pieces.count() // RANKED_TOGETHER)
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
-    histogram = pieces.groupBy("size", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["size", "salt"])
-    counts = histogram.groupby("size")["n"].sum()
-    sizes = counts.index.to_numpy(np.int64)
-    runs = slots(cutting_stock(sizes, counts.to_numpy(np.int64), -(-capacity // unit)))
-    firsts = {(int(s), int(t)): int(f) for s, t, f in zip(histogram["size"], histogram["salt"], histogram.groupby("size")["n"].cumsum() - histogram["n"], strict=True)}
-    shared = spark.sparkContext.broadcast(({int(s): r for s, r in zip(sizes, runs, strict=True)}, firsts))
+    histogram = written(pieces.groupBy("size", "salt").agg(F.count("*").alias("n")), "histogram")
+    counts = {r["size"]: r["n"] for r in histogram.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    sizes = np.array(sorted(counts), np.int64)
+    runs = slots(cutting_stock(sizes, np.array([counts[s] for s in sizes.tolist()], np.int64), -(-capacity // unit)))
+    shared = spark.sparkContext.broadcast({int(s): r for s, r in zip(sizes, runs, strict=True)})
 
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("piece")) - 1)
+    earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = histogram.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    number = F.row_number().over(Window.partitionBy("size", "salt").orderBy("piece")) - 1
+    ranked = pieces.withColumn("number", number).join(firsts, ["size", "salt"]).withColumn("rank", F.col("first") + F.col("number"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_size, first = shared.value
         for pdf in frames:
             out = np.zeros(len(pdf), np.int64)
-            if len(pdf):
-                offset = np.array([first[k] for k in zip(pdf["size"].tolist(), pdf["salt"].tolist(), strict=True)])
-                rank = pdf["rank"].to_numpy(np.int64) + offset
-                size = pdf["size"].to_numpy()
-                for s in np.unique(size):
-                    begins, sequence, each = by_size[int(s)]
-                    at = np.flatnonzero(size == s)
-                    run = np.searchsorted(begins, rank[at], "right") - 1
-                    out[at] = sequence[run] + (rank[at] - begins[run]) // each[run]
-            yield pdf.drop(columns=["size", "salt", "rank"]).assign(sequence_id=out)
+            size, rank = pdf["size"].to_numpy(), pdf["rank"].to_numpy(np.int64)
+            for s in np.unique(size):
+                begins, sequence, each = shared.value[int(s)]
+                at = np.flatnonzero(size == s)
+                run = np.searchsorted(begins, rank[at], "right") - 1
+                out[at] = sequence[run] + (rank[at] - begins[run]) // each[run]
+            yield pdf.drop(columns=["size", "rank"]).assign(sequence_id=out)
 
     kept = ["key", "start", "length", "ids_crc32", "doc_tokens", "piece"]
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, piece long, sequence_id long"
-    placed = ranked.select(*kept, "size", "salt", "rank").mapInPandas(place, schema)
+    placed = ranked.select(*kept, "size", "rank").mapInPandas(place, schema)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
