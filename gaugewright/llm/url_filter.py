@@ -2,7 +2,7 @@
 
 Rules on host and path prefix allow or block a URL; the longest that fits wins. URLs joined by redirects or canonical links are
 aliases: connected components over these edges carry decisions to members that no rule fits. There an allowed
-alias takes precedence over a blocked one.
+alias takes precedence over a blocked one. A node is a URL with its scheme and host in lower case and without its fragment.
 """
 
 from __future__ import annotations
@@ -58,6 +58,13 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return chain
 
 
+def node_of(url: Column) -> Column:
+    """The URL as a node of the graph: scheme and host in lower case (A-Z), no fragment."""
+    whole = F.regexp_replace(url, r"(?s)#.*$", "")
+    head = F.regexp_extract(whole, r"(?s)^.*?://[^/?]*", 0)
+    return F.concat(F.translate(head, UPPER, LOWER), F.substr(whole, F.length(head) + 1))
+
+
 _ATTR = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _DELAY = re.compile(r"\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))", re.IGNORECASE | re.DOTALL)
 
@@ -100,7 +107,8 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
         return pd.Series([target_of(*x) for x in zip(tags, urls, bases, strict=True)], dtype=object)
 
     found = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), base.alias("base"), F.explode(links).alias("tag"))
-    return found.select("src", target("tag", "src", "base").alias("dst")).where("dst is not null and src <> dst")
+    found = found.select(node_of(F.col("src")).alias("src"), node_of(target("tag", "src", "base")).alias("dst"))
+    return found.where("dst is not null and src <> dst")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
@@ -116,6 +124,7 @@ def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES, u
         df = df.withColumns({"host": host_of(F.col(of)), "path": path_of(F.col(of))})
         return df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
 
+    edges = edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
     groups = written(connected_components(edges), "aliases")
     decided = ruled(groups, "node").withColumn("own", own)
     by_group = decided.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
@@ -124,5 +133,5 @@ def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES, u
 
     rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "alias_")]
     out = ruled(pages.select(*rest), url)
-    out = out.join(alias, F.col(url) == F.col("alias_"), "left")
+    out = out.join(alias, node_of(F.col(url)) == F.col("alias_"), "left")
     return out.withColumn("verdict", F.coalesce(own, F.when(F.col("alias_").isNotNull(), F.lit("block")), F.lit("allow"))).select(*rest, "host", "path", "rule", "verdict")
