@@ -55,7 +55,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +81,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive in ARRIVALS parts, by the hash of their id; after each, tiers are compacted. Each document's shard in the last version."""
+    """The documents arrive in ARRIVALS parts, by the hash of their id, written in one pass; after each, tiers are compacted.
+    Each document's shard in the last version."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, staging.new_path(spark, "shards"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
-    for arrival in range(ARRIVALS):
-        store.append(docs.where(part == arrival))
+    for _ in store.append_parts(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)), ARRIVALS):
         store.compact()
-        store.sweep()
     return store.placed("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 

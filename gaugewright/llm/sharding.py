@@ -3,7 +3,12 @@
 Arrivals are appended as small Parquet shards. Shards of similar size form a tier; when a tier has enough of them they are merged
 into files of the target size. The manifest lists the live shards of a version. A new version is a file that is written
 aside and renamed to its number, which fails if another writer was first; readers take the highest number, so they
-see a version whole or not at all. Files that no manifest names are left over from failed writers and are swept on request.
+see a version whole or not at all. That holds where a rename does not replace an existing file: on HDFS and on local and other
+POSIX file systems through Hadoop, not on object stores, where a rename is a copy and the store needs one writer. Files that
+no manifest names are left over from failed writers and are swept on request.
+
+The rows are stored as they are: nulls, ties, repeated rows and columns of any name stay, and an empty arrival is a version without
+new rows.
 """
 
 from __future__ import annotations
@@ -13,14 +18,18 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import fresh
+
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Shards whose sizes lie within this factor are of one tier.
 TIER_FACTOR = 4
 FLOOR_BYTES = 1 << 20
+#: Times that a writer starts over when another one commits first.
+ATTEMPTS = 5
 
 
 @dataclass(frozen=True)
@@ -39,7 +48,7 @@ def tier_of(size: int) -> int:
 
 
 def plan_merges(shards: list[Shard], target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> list[list[Shard]]:
-    """Runs of a tier with ``fan_in`` shards or more below three quarters of the target, each run cut so that it fills whole files."""
+    """The tiers with ``fan_in`` shards or more below three quarters of the target, each with its shards in the order of arrival."""
     tiers: dict[int, list[Shard]] = {}
     for s in shards:
         if s.bytes < 0.75 * target:
@@ -98,51 +107,82 @@ class ShardStore:
             raise Conflict(f"version {version} is there already") from e
         return version
 
-    def _write(self, df: DataFrame, folder: str, arrival: int) -> list[Shard]:
-        df.write.parquet(f"{self.root}/{folder}")
-        files = [(f.getPath().getName(), f.getLen()) for f in self.fs.listStatus(self._path(folder))]
+    def _files(self, folder: str, arrival: int) -> list[Shard]:
+        path = self._path(folder)
+        files = [(f.getPath().getName(), f.getLen()) for f in self.fs.listStatus(path)] if self.fs.exists(path) else []
         return [Shard(f"{folder}/{n}", int(size), arrival) for n, size in sorted(files) if n.endswith(".parquet")]
 
+    def _arrive(self, folder: str) -> int:
+        """Commit the files of ``folder`` as the next arrival."""
+        for attempt in range(ATTEMPTS):
+            version, live = self.manifest()
+            try:
+                return self.commit(version, live + self._files(folder, max((s.arrival for s in live), default=0) + 1))
+            except Conflict:  # the files are written: only their place in the order changes
+                if attempt == ATTEMPTS - 1:
+                    self.fs.delete(self._path(folder), True)
+                    raise
+        raise AssertionError
+
     def append(self, df: DataFrame) -> int:
         """Write ``df`` as new shards and commit them beside the live ones; an empty ``df`` adds no rows but counts as an arrival."""
-        version, live = self.manifest()
-        arrival = max((s.arrival for s in live), default=0) + 1
-        new = self._write(df, f"shards/a{arrival:06d}-{uuid.uuid4().hex}", arrival)
-        return self.commit(version, live + new)
+        folder = f"shards/a-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return self._arrive(folder)
+
+    def append_parts(self, df: DataFrame, part: Column, parts: int):  # noqa: ANN201
+        """The rows as ``parts`` arrivals by ``part`` (0 to ``parts`` - 1), written in one pass; yields the version after each commit."""
+        root = f"shards/p-{uuid.uuid4().hex}"
+        (name,) = fresh(df, "part")
+        df.withColumn(name, part).write.partitionBy(name).parquet(f"{self.root}/{root}")
+        for i in range(parts):
+            yield self._arrive(f"{root}/{name}={i}")
 
     def compact(self) -> int:
-        """Merge until no tier has ``fan_in`` shards to merge. Whole files are read and joined end to end: no row is shuffled."""
-        version, live = self.manifest()
-        while runs := plan_merges(live, self.target, self.fan_in):
-            for run in runs:
-                total = sum(s.bytes for s in run)
-                files = max(1, round(total / self.target))
-                merged = self._write(self.read(run).coalesce(files), f"shards/c{version + 1:06d}-{uuid.uuid4().hex}", max(s.arrival for s in run))
-                gone = set(run)
-                live = [s for s in live if s not in gone] + merged
-                version = self.commit(version, live)
-        return version
+        """Merge until no tier has ``fan_in`` shards to merge. Whole files are read and joined end to end: no row is shuffled.
+        Where another writer commits first, the merged files are deleted and the merges are planned anew."""
+        for attempt in range(ATTEMPTS):
+            version, live = self.manifest()
+            try:
+                while runs := plan_merges(live, self.target, self.fan_in):
+                    for run in runs:
+                        files = max(1, round(sum(s.bytes for s in run) / self.target))
+                        folder = f"shards/c-{uuid.uuid4().hex}"
+                        self.read(run).coalesce(files).write.parquet(f"{self.root}/{folder}")
+                        gone = set(run)
+                        live = [s for s in live if s not in gone] + self._files(folder, max(s.arrival for s in run))
+                        version = self.commit(version, live)
+                return version
+            except Conflict:
+                self.fs.delete(self._path(folder), True)
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
 
     def read(self, shards: list[Shard] | None = None) -> DataFrame:
         """The rows of the given shards, or of the live ones."""
         shards = self.manifest()[1] if shards is None else shards
         if not shards:
             raise ValueError("the store is empty")
-        return self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
+        # without the folders' names as columns
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{s.path}" for s in shards])
 
     def sweep(self, keep_versions: int = 1) -> int:
         """Delete the shards that none of the last ``keep_versions`` manifests names. Only while nobody writes or reads older versions."""
         named = {s.path for v in self.versions()[-keep_versions:] for s in self.manifest(v)[1]}
-        gone = 0
-        for folder in self.fs.listStatus(self._path("shards")):
-            for f in self.fs.listStatus(folder.getPath()):
-                name = f"shards/{folder.getPath().getName()}/{f.getPath().getName()}"
-                if name.endswith(".parquet") and name not in named:
-                    gone += bool(self.fs.delete(f.getPath(), False))
+        gone, at = 0, self.fs.listFiles(self._path("shards"), True)
+        start = len(self.fs.makeQualified(self._path("")).toString()) + 1
+        old = []
+        while at.hasNext():
+            path = at.next().getPath()
+            if path.getName().endswith(".parquet") and path.toString()[start:] not in named:
+                old.append(path)
+        for path in old:
+            gone += bool(self.fs.delete(path, False))
         return gone
 
     def placed(self, key: str, *columns) -> DataFrame:  # noqa: ANN002
         """Each live row's ``key``, the given columns, its shard's path, and the version."""
         version, live = self.manifest()
-        where = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/[^/]+/[^/]+)$", 1)
+        where = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/[0-9a-z-]+/(?:[^/]+/)?[^/]+)$", 1)
         return self.read(live).select(key, *columns, where.alias("shard"), F.lit(version).cast("long").alias("version"))
