@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Bytes that a Python worker's memory of words holds, from task to task; it is emptied when it holds more.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
 #: What an entry takes besides its bytes, about; and the longest word, in bytes, that is remembered.
 ENTRY_BYTES = 160
 LONGEST_KEPT = 256
@@ -34,7 +34,7 @@ LONG_WORD = 400
 #: Marks that are a piece of their own after a word of letters.
 STOPS = b".,;:!?"
 #: Characters that a task encodes at once.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 def byte_letters() -> list[str]:
@@ -249,33 +249,36 @@ class Vocabulary:
                 mixed[w] = [w[:-1].decode().lower(), chr(w[-1])]
             else:
                 mixed[w] = self.split(w.decode())
-        pieces = {*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))}
-        new = list(pieces - self.known.keys())
-        known = {p: self.known[p] for p in pieces & self.known.keys()}
-        if new:
-            found = dict(zip(new, self.encode_pieces(new), strict=True))
-            self.known.remember(found)
-            known |= found
+        self.known.room()
+        known = self.known
+        new = list({*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))} - known.keys())
+        found = dict(zip(new, self.encode_pieces(new), strict=True)) if new else {}
+        known |= found
         out = {w: known[p] for w, p in whole.items()}
         for w, ps in mixed.items():
             out[w] = b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps])
+        known.settle(found)
         return out
 
 
 class Memory(dict):
-    """Words and their ids; ``remember`` leaves long words out and starts anew when CACHE_BYTES are reached."""
+    """Words and their ids. What a batch adds stays for the batch; then ``settle`` drops its long words and counts the others.
+    ``room`` starts anew where CACHE_BYTES are reached."""
 
     def __init__(self, most: int = CACHE_BYTES):
         super().__init__()
         self.most, self.held = most, 0
 
-    def remember(self, found: dict) -> None:
+    def room(self) -> None:
         if self.held > self.most:
             self.clear()
             self.held = 0
+
+    def settle(self, found: dict) -> None:
         for word, ids in found.items():
-            if len(word) <= LONGEST_KEPT:
-                self[word] = ids
+            if len(word) > LONGEST_KEPT:
+                self.pop(word, None)
+            else:
                 self.held += len(word) + len(ids) + ENTRY_BYTES
 
 
@@ -303,19 +306,20 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [words_of(t) if t else [] for t in texts]
-        words = {w for ws in split for w in ws}
-        new = words - self.known.keys()
-        known = self.known
+        self.known.room()
+        new = {w for ws in split for w in ws} - self.known.keys()
+        found = {}
         if new:
             gc.disable()  # many small lists, none in a cycle
             try:
                 found = self.encode_words(new)
             finally:
                 gc.enable()
-            known = {w: self.known[w] for w in words - new} | found
-            self.known.remember(found)
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            self.known |= found
+        get = self.known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in split]
+        self.known.settle(found)
+        return out
 
 
 def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:

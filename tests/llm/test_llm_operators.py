@@ -106,7 +106,9 @@ def test_long_words_merge_as_the_library_does():
 def test_memory_of_words_is_bounded_by_bytes():
     memory = bpe.Memory(50_000)
     for i in range(1000):
-        memory.remember({f"word{i}": b"1234", f"{i}" * 300: b"x"})
+        memory.room()
+        memory |= (found := {f"word{i}": b"1234", f"{i}" * 300: b"x"})
+        memory.settle(found)
         assert memory.held <= 50_000 + 400 and not any(len(w) > bpe.LONGEST_KEPT for w in memory)
     encoder = bpe.Encoder(bpe.vocabulary(PATH).encode_words, cache_bytes=2_000)
     texts = [f"some words {i} here" for i in range(200)]
