@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import written
+from .staging import forget, written
 
 SHINGLE = 3
 SEED = 42
@@ -229,9 +229,9 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     """``key`` and ``component`` of every row: the least key of the texts that links reach. Two texts are linked if the sets
     of their ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; no such pair is missed.
 
-    A text of fewer words is one shingle; texts without words, null ones included, are copies of each other. First the
-    texts of a cell meet its least one, which joins large clusters in a linear number of pairs; then all others in
-    different components meet.
+    A text of fewer words is one shingle; texts without words, null ones included, are copies of each other. The texts of a
+    cell first meet its head, which joins large clusters in a linear number of pairs; only texts of a cell that are
+    still in different components meet each other.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must lie above 0 and not above 1")
@@ -251,9 +251,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     rows = written(picked.select("key_", F.xxhash64("text_").alias("x_"), of("text_").alias("r_")).select("key_", "x_", "r_.*"), "first")
     texts = rows.groupBy("sig_").agg(F.min("key_").alias("least_"), F.min("x_").alias("x_"), F.first("size_").alias("size_"), F.first("first_").alias("first_"))
     texts = written(texts, "texts")
-    cells = texts.select("sig_", "size_", F.explode("first_").alias("cell_"))
-    many = cells.groupBy("cell_").agg(F.count("*").alias("n_"), F.min(F.struct("sig_", "size_")).alias("top_")).where("n_ > 1")
-    cells = written(cells.join(many, "cell_").select("cell_", "sig_", "size_", "top_"), "cells")
+    cells = texts.select("sig_", "size_", F.posexplode("first_").alias("at_", "cell_"))
+    many = cells.groupBy("cell_").agg(F.count("*").alias("n_")).where("n_ > 1")
+    cells = written(cells.join(many, "cell_").select("cell_", "sig_", "size_", "at_"), "shared")
+    # in a large cluster, a text without edits of its own shares most of its first shingles and lies in the middle
+    weights = cells.groupBy("sig_").agg(F.count("*").alias("w_"))
+    cells = written(cells.join(weights, "sig_"), "cells")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -268,27 +271,48 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
         later = F.greatest(*[F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in (m, n)])
         return (1 + similarity) * (shared + later) >= similarity * (F.col(m) + F.col(n)) - 1e-9
 
+    def ahead(m: str, i: str, n: str, j: str) -> Column:
+        """Whether two sets whose first common shingle has these places in their orders have enough shingles from there on."""
+        from_there = F.least(F.col(m) - F.col(i), F.col(n) - F.col(j))
+        return (1 + similarity) * from_there >= similarity * (F.col(m) + F.col(n)) - 1e-9
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of two sizes that fit, without those that the first shingles refute."""
+        for end, first, size in (("a", "s", "m"), ("b", "t", "n")):
+            pairs = pairs.join(texts.select(F.col("sig_").alias(end), F.col("first_").alias(first), F.col("size_").alias(size)), end)
+        return pairs.where(enough(F.size(F.array_intersect("s", "t")), "m", "n")).select("a", "b")
+
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = written(pairs, label)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig_")).distinct()
+        ends = pairs.select(F.col("a").alias("sig_")).union(pairs.select("b")).distinct()
         one = texts.join(ends, "sig_", "left_semi").select("x_")
         held = picked.withColumn("x_", F.xxhash64("text_")).join(one, "x_", "left_semi").select("text_").mapInPandas(sets, "sig_ long, set_ array<long>")
         held = written(held.groupBy("sig_").agg(F.first("set_").alias("set_")), "sets")
         both = pairs.join(held.select(F.col("sig_").alias("a"), F.col("set_").alias("s")), "a").join(held.select(F.col("sig_").alias("b"), F.col("set_").alias("t")), "b")
         same = F.size(F.array_intersect("s", "t"))
-        return written(both.where(same / (F.size("s") + F.size("t") - same) >= similarity).select("a", "b"), "verified")
-
-    star = cells.where((F.col("sig_") != F.col("top_.sig_")) & fits("size_", "top_.size_")).select(F.col("top_.sig_").alias("a"), F.col("sig_").alias("b")).distinct()
-    for end, first, size in (("a", "s", "m"), ("b", "t", "n")):
-        star = star.join(texts.select(F.col("sig_").alias(end), F.col("first_").alias(first), F.col("size_").alias(size)), end)
-    star = verified(star.where(enough(F.size(F.array_intersect("s", "t")), "m", "n")).select("a", "b"), "star")
-    joined = connected_components(star, "a", "b").withColumnRenamed("node", "sig_")
-    left = written(cells.join(joined, "sig_", "left").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.coalesce("component", "sig_").alias("c")), "cells")
-    right = left.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
-    rest = left.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n"))
-    rest = rest.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(enough(F.col("shared"), "m", "n")).select("a", "b")
-    linked = connected_components(star.union(verified(rest, "rest")), "a", "b").withColumnRenamed("node", "sig_")
-    linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component", "sig_").alias("c_")), "linked")
+        out = written(both.where(same / (F.size("s") + F.size("t") - same) >= similarity).select("a", "b"), "verified")
+        forget(pairs, held)
+        return out
+
+    def joined(links: DataFrame, label: str) -> DataFrame:
+        """The cells of two components or more under the links found so far, with each text's component."""
+        found = connected_components(links, "a", "b").withColumnRenamed("node", "sig_")
+        found = written(cells.join(found, "sig_", "left").withColumn("c_", F.coalesce("component", "sig_")).drop("component"), label)
+        apart = found.groupBy("cell_").agg(F.min("c_").alias("low_"), F.max("c_").alias("high_")).where("low_ < high_").select("cell_")
+        return found.join(apart, "cell_")
+
+    # the texts of a cell meet its head: a few pairs a text, which join most of a large cluster
+    top = cells.groupBy("cell_").agg(F.max(F.struct("w_", "sig_", "size_")).alias("h_"))
+    star = cells.join(top, "cell_").where((F.col("sig_") != F.col("h_.sig_")) & fits("size_", "h_.size_"))
+    links = verified(likely(star.select(F.least("sig_", "h_.sig_").alias("a"), F.greatest("sig_", "h_.sig_").alias("b")).distinct()), "star")
+    # then the texts of a cell that are still in different components meet
+    rest = written(joined(links, "joined").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.col("at_").alias("i"), F.col("c_").alias("c")), "apart")
+    right = rest.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("i").alias("j"), F.col("c").alias("d"))
+    rest = rest.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n") & ahead("m", "i", "n", "j"))
+    rest = likely(rest.select("a", "b").distinct())
+    linked = connected_components(links.union(verified(rest, "rest")), "a", "b").withColumnRenamed("node", "sig_")
+    linked = linked.withColumnRenamed("component", "component_")
+    linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component_", "sig_").alias("c_")), "linked")
     least = linked.groupBy("c_").agg(F.min("least_").alias("component"))
     named = linked.join(least, "c_").select("sig_", "component")
     return rows.join(named, "sig_").select(F.col("key_").alias(key), "component")
