@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Bytes that a Python worker's memory of words holds, from task to task; it is emptied when it holds more.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 144 << 20
 #: What an entry takes besides its bytes, about; and the longest word, in bytes, that is remembered.
 ENTRY_BYTES = 160
 LONGEST_KEPT = 256
@@ -34,7 +34,7 @@ LONG_WORD = 400
 #: Marks that are a piece of their own after a word of letters.
 STOPS = b".,;:!?"
 #: Characters that a task encodes at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 
 
 def byte_letters() -> list[str]:
