@@ -13,12 +13,14 @@ from ..functions import ngram, sets, text, vector
 from ..operators import judge, tools
 from ..operators.aggregate import nan_mean
 from ..operators.schema import kind_of, parse_requirements, to_current_names
+from .judge_metrics import JUDGED
+from .judging import Judge
 
 
 @dataclass(frozen=True)
 class Metric:
     """``score``: a column of the row's columns (fused with the other metrics into one projection), or ``transform``:
-    from rows with ``row_id`` to row_id and score. ``domain``: allowed values, or (low, high)."""
+    from rows with ``row_id`` to row_id and score, or ``judged``: the same with a judge and the key's name. ``domain``: allowed values, or (low, high)."""
 
     name: str
     requires: list[str]
@@ -26,6 +28,7 @@ class Metric:
     transform: Callable[[DataFrame], DataFrame] | None = None
     kinds: tuple[str, ...] = ("single",)
     domain: tuple | list | None = None
+    judged: Callable[[DataFrame, Judge, str], DataFrame] | None = None  # asks a model
 
 
 def _c(name: str) -> Column:
@@ -56,6 +59,9 @@ METRICS: dict[str, Metric] = {
 }
 
 
+METRICS |= {name: Metric(name, requires, kinds=kinds, judged=judged) for name, (requires, judged, kinds) in JUDGED.items()}
+
+
 def validate(df: DataFrame, metrics: list[Metric]) -> None:
     """Fail before any job runs: missing columns, or a kind that a metric does not score."""
     kind = kind_of(df)
@@ -83,15 +89,19 @@ class Result:
         return self.scores.select(self.key, *self.metrics).unpivot([self.key], self.metrics, "metric", "score")
 
 
-def evaluate(df: DataFrame, metrics: list[str | Metric], key: str = "row_id") -> Result:
-    """Score each row with each metric. ``key`` must tell rows apart. Column metrics become one projection; the others are joined by key."""
+def evaluate(df: DataFrame, metrics: list[str | Metric], key: str = "row_id", judge: Judge | None = None) -> Result:
+    """Score each row with each metric. ``key`` must tell rows apart. Column metrics become one projection; the others are joined by
+    key. ``judge`` asks the model for the metrics that need one; a row that it has no answer for is NaN."""
     df = to_current_names(df)
     chosen = [METRICS[m] if isinstance(m, str) else m for m in metrics]
     validate(df, chosen)
+    if lost := [m.name for m in chosen if m.judged and judge is None]:
+        raise ValueError(f"a judge is needed for {', '.join(lost)}")
     scored = df.select("*", *[m.score().alias(m.name) for m in chosen if m.score])
     for m in chosen:
-        if m.transform:
-            part = m.transform(df).select(F.col(key).alias("_key"), F.col("score").alias(m.name))
+        if m.transform or m.judged:
+            made = m.transform(df) if m.transform else m.judged(df, judge, key)
+            part = made.select(F.col(key).alias("_key"), F.col("score").alias(m.name))
             scored = scored.join(part, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(m.name, F.coalesce(m.name, text.nan()))
     return Result(scored, [m.name for m in chosen], key)
 

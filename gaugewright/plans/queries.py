@@ -560,9 +560,16 @@ def text_helpers(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", text.camel_to_snake(F.initcap("c_mktsegment")).alias("snake"), chain.alias("rating"))
 
 
+def _more() -> None:
+    """The queries of other modules register themselves."""
+    from . import judge_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)
