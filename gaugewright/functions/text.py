@@ -92,7 +92,7 @@ def string_similarity(a: Column, b: Column, measure: str = "levenshtein") -> Col
 
 # Patterns of the extractors and of quoted spans.
 LINKS = r"(?i)\b(?:https?://|www\.)\S+\b"
-EMAILS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+EMAILS = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 HEADINGS = r"(?m)^(#{1,6})\s+(.*)$"
 QUOTED = "[\"'`´](.*?)[\"'`´]"
 

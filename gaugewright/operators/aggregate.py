@@ -91,13 +91,16 @@ def binary_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
 def agreement(df: DataFrame, gold: str, pred: str, weights: str | None = None) -> DataFrame:
     """agreement rate and Cohen's kappa (unweighted, or ``quadratic`` for numeric ranks) from the confusion counts."""
     cells = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
-    weight = (F.col("g") != F.col("p")).cast("double") if weights is None else F.pow(F.col("g") - F.col("p"), F.lit(2)).cast("double")
-    total = cells.agg(F.sum("n").alias("total"))
-    seen = cells.agg(F.sum(weight * F.col("n")).alias("off"), F.sum(F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0.0)).alias("same"))
-    left = cells.groupBy("g").agg(F.sum("n").alias("a"))  # as many rows as there are labels
-    right = cells.groupBy("p").agg(F.sum("n").alias("b"))
-    chance = left.join(right, F.lit(True)).agg(F.sum(weight * F.col("a") * F.col("b")).alias("chance"))
-    one = total.join(seen, F.lit(True)).join(chance, F.lit(True))
+    n, g, p = F.col("n"), F.col("g"), F.col("p")
+    if weights is None:
+        sums = cells.agg(F.sum("n").alias("total"), F.sum(F.when(g != p, n).otherwise(0.0)).alias("off"), F.sum(F.when(g == p, n).otherwise(0.0)).alias("same"))
+        sides = cells.select(g.alias("label"), n.alias("a"), F.lit(0.0).alias("b")).union(cells.select(p, F.lit(0.0), n))
+        agreed = sides.groupBy("label").agg((F.sum("a") * F.sum("b")).alias("ab")).agg(F.coalesce(F.sum("ab"), F.lit(0.0)).alias("ab"))
+        one = sums.join(agreed, F.lit(True)).withColumn("chance", F.col("total") * F.col("total") - F.col("ab"))  # two rows of one row each
+    else:  # the sum over all pairs of (g - p) squared, from moments
+        moments = {"total": n, "off": F.pow(g - p, F.lit(2)) * n, "same": F.when(g == p, n).otherwise(0.0), "g1": g * n, "g2": g * g * n, "p1": p * n, "p2": p * p * n}
+        one = cells.agg(*[F.sum(c.cast("double")).alias(k) for k, c in moments.items()])
+        one = one.withColumn("chance", F.col("g2") * F.col("total") - 2 * F.col("g1") * F.col("p1") + F.col("p2") * F.col("total"))
     kappa = F.when(F.col("chance") == 0, F.lit(1.0)).otherwise(1 - F.col("off") * F.col("total") / F.col("chance"))
     return one.select((F.col("same") / F.col("total")).alias("agreement"), kappa.alias("kappa"))
 
@@ -112,14 +115,18 @@ def length_histogram(df: DataFrame, n_tokens: Column) -> DataFrame:
 def frequent_items(items: DataFrame, item: str, share: float = 0.05) -> DataFrame:
     """The commonest ``share`` of the different items (one at least) with their counts; of equals the smaller item.
 
-    The cutoff is a count, so only the items at the cutoff are ranked against each other, and no table is sorted as a whole."""
+    The cutoff is a count: items above it are kept without ranking, and of those at it the smallest, by one sort with a limit."""
     counts = items.groupBy(item).agg(F.count("*").alias("n"))
     sizes = counts.groupBy("n").agg(F.count("*").alias("k"))  # one row for each different count
     ranked = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranked.withColumn("most", F.greatest(F.lit(1), F.floor(F.sum("k").over(Window.partitionBy()) * share))).where("before < most")
-    kept = counts.join(F.broadcast(ranked.select(F.col("n").alias("_n"), "before", "most", "k")), F.col("n") == F.col("_n"))
-    within = kept.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(item)))
-    return within.where(F.col("before") + F.col("r") <= F.col("most")).select(item, "n")
+    ranked = ranked.withColumn("most", F.greatest(F.lit(1), F.floor(F.sum("k").over(Window.partitionBy()) * share)))
+    cut = ranked.where("before < most").orderBy("n").first()
+    if cut is None:
+        return counts.limit(0)
+    if cut["before"] + cut["k"] <= cut["most"]:
+        return counts.where(F.col("n") >= cut["n"])
+    at = counts.where(F.col("n") == cut["n"]).orderBy(item).limit(cut["most"] - cut["before"])
+    return counts.where(F.col("n") > cut["n"]).union(at)
 
 
 def mean_rank_agreement(df: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -139,3 +146,23 @@ def compare_experiments(tables: dict[str, DataFrame], key: str, value: str) -> D
     odd = reduce(lambda a, b: a | b, [F.col(f"`n {name}`") != 1 for name in tables])
     checked = F.when(odd, F.raise_error(F.concat(F.lit("an id is repeated or missing in an experiment: "), F.col(key).cast("string"))).cast("string"))
     return wide.withColumn("_checked", checked).where("_checked is null").select(key, *tables)
+
+
+def named_with_mode(name: str, mode: str | None) -> str:
+    """The key of a score in a result: ``name``, with its mode if it has one."""
+    return f"{name}(mode={mode})" if mode else name
+
+
+def validation_summary(checks: DataFrame, ok: str = "valid", reason: str = "error") -> DataFrame:
+    """Of checked queries: how many, how many are valid, their share, and the reasons of the others with their counts."""
+    reasons = checks.where(~F.col(ok)).groupBy(reason).agg(F.count("*").alias("k"))
+    listed = reasons.agg(F.array_sort(F.collect_list(F.struct("k", F.col(reason).alias("reason")))).alias("reasons"))  # one row for each kind of error
+    totals = checks.agg(F.count("*").alias("total"), F.count(F.when(F.col(ok), 1)).alias("valid"))
+    return totals.join(listed, F.lit(True)).select("total", "valid", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).alias("share"), "reasons")
+
+
+def label_set_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Of rows with sets of labels (arrays): whether they are equal, and the F1 of each; order and repeats do not count."""
+    tp = F.size(F.array_intersect(gold, pred))
+    a, b = F.size(F.array_distinct(gold)), F.size(F.array_distinct(pred))
+    return df.withColumns({"exact": ((tp == a) & (tp == b)).cast("double"), "f1": F.when(a + b == 0, F.lit(1.0)).otherwise(2 * tp / (a + b))})

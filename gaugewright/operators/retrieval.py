@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .sampling import top_k
 
 
@@ -14,22 +15,42 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(found).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
+def wanted_tokens(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, len, token, n) of the documents' tokens that are among ``terms`` (column token), with the document's length; written, so
+    that no text is taken apart again."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = docs.select(F.col(key), found.alias("_f")).select(key, F.size("_f").alias("len"), F.explode("_f").alias("token"))
+    return written(rows.join(terms.select("token").distinct(), "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("n")), "tokens")
+
+
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, doc, score, rank): how many of a query's words, repeats counted, the document has; only positive scores."""
-    d = tokens(docs, doc, text).select(doc, F.col("token").alias("_t"))
-    q = tokens(queries, query, text)
+    q = written(tokens(queries, query, text), "terms")
+    d = wanted_tokens(docs, q, doc, text).select(doc, F.col("token").alias("_t"))
     hits = q.join(d, F.col("token") == F.col("_t")).groupBy(query, doc).agg(F.sum("n").alias("score"))
     return top_k(hits, query, "score", k, doc)
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank) by BM25 with the idf ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    d = tokens(docs, doc, text)
-    lengths = d.groupBy(doc).agg(F.sum("n").alias("len"))
-    size = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avg")).first()
-    df = d.groupBy("token").agg(F.count("*").alias("df"))
-    wanted = tokens(queries, query, text).select(query, "token", F.col("n").alias("qn")).join(df, "token")
+    """(query, doc, score, rank) by BM25 with the idf ln(1 + (N - df + 0.5) / (df + 0.5)). Scores equal to nine places are ties, which go
+    to the smaller document. Only the queries' terms leave the texts."""
+    q = written(tokens(queries, query, text), "terms").select(query, "token", F.col("n").alias("qn"))
+    d = wanted_tokens(docs, q, doc, text)
+    length = F.size(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
+    size = docs.select(length.alias("len")).where("len > 0").agg(F.count("*").alias("N"), F.avg("len").alias("avg")).first()
+    wanted = q.join(d.groupBy("token").agg(F.count("*").alias("df")), "token")
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / (size["avg"] or 1.0)))
     idf = F.log(1 + (size["N"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = wanted.join(d, "token").join(lengths, doc).groupBy(query, doc).agg(F.sum(F.col("qn") * idf * tf).alias("score"))
+    hits = wanted.join(d, "token").groupBy(query, doc).agg(F.round(F.sum(F.col("qn") * idf * tf), 9).alias("score"))
     return top_k(hits, query, "score", k, doc)
+
+
+def chunked(docs: DataFrame, size: int = 1000, overlap: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, chunk, text): windows of ``size`` characters that share ``overlap`` with the one before; equal chunk texts are kept once,
+    those of the least document and place."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - overlap - 1), F.lit(step))
+    cut = docs.where(F.length(text) > 0).select(doc, F.col(text).alias("_t"), F.posexplode(starts).alias("chunk", "_at"))
+    cut = cut.select(doc, "chunk", F.substring(F.col("_t"), F.col("_at") + 1, F.lit(size)).alias(text))
+    first = cut.groupBy(F.col(text)).agg(F.min(F.struct(F.col(doc), F.col("chunk"))).alias("_f"))
+    return first.select(F.col(f"_f.{doc}").alias(doc), F.col("_f.chunk").alias("chunk"), text)

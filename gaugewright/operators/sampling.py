@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task ranks, about.
+RANKED_TOGETHER = 50_000
+
+
 def shuffled(key: str, seed: int = 42) -> Column:
     """A fixed random order of keys, the same in SQL: md5 of seed and key."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
@@ -33,30 +37,31 @@ def stratified_sample(df: DataFrame, n: int, group: str, key: str, seed: int = 4
     if n > total:
         raise ValueError(f"{n} rows are asked for, the table has {total}")
     quota = {k: min(c, round(n * c / total)) for k, c in counts.items()}
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(shuffled(key, seed), key))
     take = F.lit(0)
     for k, q in quota.items():
         take = F.when(F.col(group).eqNullSafe(F.lit(k)), F.lit(q)).otherwise(take)
-    ranked = df.withColumn("_r", rank).withColumn("_take", take)
-    chosen = ranked.where("_r <= _take")
+    ranked = global_rank(df, shuffled(key, seed), key, group).withColumn("_take", take)
+    chosen = ranked.where("_rank < _take")
     if sum(quota.values()) < n:
-        rest = ranked.where("_r > _take").orderBy(shuffled(key, seed), key).limit(n - sum(quota.values()))
+        rest = ranked.where("_rank >= _take").orderBy(shuffled(key, seed), key).limit(n - sum(quota.values()))
         chosen = chosen.unionByName(rest)
-    return chosen.drop("_r", "_take")
+    return chosen.drop("_rank", "_take")
 
 
-def global_rank(df: DataFrame, order: Column, key: str, buckets: int = 256) -> DataFrame:
-    """``df`` with ``_rank`` from 0 in the order of a hex hash: rows are ranked within the hash's first byte, and the buckets' sizes
-    before it are added. No task sees more than one bucket."""
-    keyed = df.withColumn("_order", order).withColumn("_bucket", F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"))
-    sizes = {r[0]: r[1] for r in keyed.groupBy("_bucket").count().collect()}  # 256 rows at most
-    before, start = {}, 0
-    for b in range(buckets):
-        before[b] = start
-        start += sizes.get(b, 0)
-    offset = F.element_at(F.array(*[F.lit(before[b]) for b in range(buckets)]), F.col("_bucket") + 1)
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key)) - 1
-    return keyed.withColumn("_rank", (rank + offset).cast("long")).drop("_order", "_bucket")
+def global_rank(df: DataFrame, order: Column, key: str, by: str | None = None) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in the order of a hex hash, over all rows or within each ``by``. Rows are ranked within a bucket of
+    the hash's first digits, as many as keep a bucket at RANKED_TOGETHER rows, about; the buckets' sizes before it are added."""
+    digits, n = 2, df.count() // RANKED_TOGETHER
+    while 16**digits < n:
+        digits += 1
+    group = F.col(by) if by else F.lit(0)
+    keyed = df.withColumns({"_order": order, "_by": group}).withColumn("_bucket", F.substring("_order", 1, digits))
+    before = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_by", "_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(F.col("_by").alias("_by2"), F.col("_bucket").alias("_bucket2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_by", "_bucket").orderBy("_order", key)) - 1
+    ranked = keyed.withColumn("_in", within).join(sizes, (F.col("_bucket") == F.col("_bucket2")) & F.col("_by").eqNullSafe(F.col("_by2")))
+    return ranked.withColumn("_rank", (F.col("_in") + F.col("_before")).cast("long")).drop("_order", "_by", "_bucket", "_by2", "_bucket2", "_before", "_in")
 
 
 def train_test_split(df: DataFrame, test_size: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +81,8 @@ def batches(df: DataFrame, size: int, key: str, seed: int = 42, drop_last: bool
 
 def stratified_batches(df: DataFrame, n_batches: int, group: str, key: str, seed: int = 42) -> DataFrame:
     """``df`` with ``batch``: each class dealt round robin, so every batch has its share."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(shuffled(key, seed), key))
-    return df.withColumn("batch", F.pmod(rank - 1, F.lit(n_batches)))
+    ranked = global_rank(df, shuffled(key, seed), key, group)
+    return ranked.withColumn("batch", F.pmod("_rank", F.lit(n_batches))).drop("_rank")
 
 
 def top_k(scored: DataFrame, group: str, score: str, k: int, tie: str, least: float | None = None) -> DataFrame:

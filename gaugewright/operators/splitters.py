@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,15 @@ def _adjusted(chunks: list[str], least: int, most: int) -> list[str]:
     for c in chunks:
         w = c.split()
         parts += [" ".join(w[i : i + most]) for i in range(0, len(w), most)]
-    out, held = [], ""
+    out, held, n = [], [], 0
     for p in parts:
-        held = f"{held} {p}".strip()
-        if len(held.split()) >= least:
-            out.append(held)
-            held = ""
+        held.append(p)
+        n += len(p.split())
+        if n >= least:
+            out.append(" ".join(held))
+            held, n = [], 0
     if held:
-        if out:
-            out[-1] = f"{out[-1]} {held}"
-        else:
-            out.append(held)
+        out[-1:] = [" ".join([*out[-1:], *held])]
     return out
 
 
@@ -41,13 +40,16 @@ def headline_chunks(docs: DataFrame, least: int = 300, most: int = 1000, key: st
     """(key, pos, chunk): a text cut where its headlines first occur, in the order of their places, then evened out. A text of
     fewer than ``least`` words, or one without headlines, stays one chunk."""
 
-    @F.udf("array<string>")
-    def cut(t: str | None, heads: list[str] | None) -> list[str]:
+    def chunks(t: str | None, heads: list[str] | None) -> list[str]:
         if not t or len(t.split()) < least:
             return [t or ""]
-        places = sorted({0, *(at for h in heads or [] if h and (at := t.find(h)) > 0)})
+        places = sorted({0, *(at for h in heads if h and (at := t.find(h)) > 0)} if heads is not None else {0})
         return _adjusted([t[a:b] for a, b in zip(places, [*places[1:], len(t)], strict=True)], least, most)
 
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([chunks(t, h) for t, h in zip(texts, heads, strict=True)])
+
     return docs.select(key, F.posexplode(cut(F.col(text), F.col(headlines))).alias("pos", "chunk"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .pairs import cosine_pairs
 from .sampling import global_rank, shuffled
 
@@ -14,12 +15,24 @@ LENGTHS = ("LONG", "MEDIUM", "SHORT")
 
 
 def persona_groups(nodes: DataFrame, threshold: float = 0.75, key: str = "id", vector: str = "summary_embedding", summary: str = "summary") -> DataFrame:
-    """(group, id, representative): each document joins the least document that is similar enough to it; the longest summary of a
-    group speaks for it. Documents without a vector or a summary are left out."""
-    rows = nodes.where(F.col(vector).isNotNull() & F.col(summary).isNotNull())
-    pairs = cosine_pairs(rows, threshold, key, vector)
-    first = pairs.groupBy(F.col("dst").alias("_id")).agg(F.min("src").alias("group"))
-    joined = rows.select(F.col(key).alias("id"), F.col(summary).alias("summary")).join(first, F.col("id") == F.col("_id"), "left").withColumn("group", F.coalesce("group", "id"))
+    """(group, id, representative). Greedy, in the order of ids: a document that no earlier leader is similar to (above ``threshold``)
+    leads a group of its own and of all later documents similar to it; so one may be in several groups. The longest summary speaks for
+    a group. Documents without a vector or a summary are left out; vectors count as of length 1.
+
+    Each round decides, for all documents at once, those whose earlier similar ones are all decided."""
+    rows = written(nodes.where(F.col(vector).isNotNull() & F.col(summary).isNotNull()).select(F.col(key).alias("id"), F.col(summary).alias("summary"), F.col(vector).alias("v")), "documents")
+    pairs = written(cosine_pairs(rows, threshold, "id", "v").where(F.col("similarity") > threshold).select("src", "dst"), "pairs")
+    state = rows.select("id", F.lit(None).cast("boolean").alias("leads"))
+    while True:
+        above = pairs.join(state.withColumnsRenamed({"id": "src", "leads": "up"}), "src").groupBy(F.col("dst").alias("id"))
+        above = above.agg(F.max(F.coalesce("up", F.lit(False))).alias("led"), F.max(F.col("up").isNull()).alias("open"))
+        known = F.coalesce("leads", F.when(F.coalesce("led", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)))
+        state = written(state.join(above, "id", "left").select("id", known.alias("leads")), "state")
+        if not state.where("leads is null").limit(1).count():
+            break
+    leaders = state.where("leads").select("id")
+    joined = pairs.join(leaders, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("group"), F.col("dst").alias("id")).union(leaders.select(F.col("id").alias("group"), "id"))
+    joined = joined.join(rows.select("id", "summary"), "id")
     speaker = joined.groupBy("group").agg(F.max_by("id", F.struct(F.length("summary"), "id")).alias("representative"))
     return joined.select("group", "id").join(speaker, "group")
 

@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
-from ..operators.aggregate import agreement
+from ..operators.aggregate import agreement, mse
+from ..operators.pairs import nearest
 from ..operators.sampling import top_k, train_test_split
+from ..sources.shared import written
 
 
 def few_shot_examples(queries: DataFrame, examples: DataFrame, k: int = 3, threshold: float = 0.0) -> DataFrame:
-    """(query_id, example_id, similarity, rank): the k nearest examples of each query by cosine, at or above the threshold. The examples
-    are a prompt's small set: broadcast if the optimiser finds them small."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    e = examples.select("example_id", F.col("embedding").alias("_e"))
-    pairs = q.join(e, F.size("_q") == F.size("_e")).select("query_id", "example_id", cosine(F.col("_q"), F.col("_e")).alias("similarity"))
-    return top_k(pairs, "query_id", "similarity", k, "example_id", threshold)
+    """(query_id, example_id, similarity, rank): the k nearest examples of each query by cosine, at or above the threshold."""
+    q = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v"))
+    e = examples.select(F.col("example_id").alias("id"), F.col("embedding").alias("v"))
+    found = nearest(q, e, k).withColumnRenamed("row_id", "example_id").withColumn("_s", F.round("similarity", 12))
+    return top_k(found, "query_id", "_s", k, "example_id", threshold).drop("_s")
+
+
+def examples_with_fallback(queries: DataFrame, examples: DataFrame, k: int = 3, threshold: float = 0.7) -> DataFrame:
+    """Like ``few_shot_examples``; a query without a vector, or without an example that is near enough, gets the k latest
+    examples (those of the highest ids), with a null similarity."""
+    found = few_shot_examples(queries.where("embedding is not null"), examples, k, threshold)
+    rest = queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    last = examples.select("example_id").orderBy(F.desc("example_id")).limit(k).collect()  # k rows
+    if not last:
+        return found
+    backup = F.array(*[F.struct(F.lit(r["example_id"]).alias("example_id"), F.lit(None).cast("double").alias("similarity"), F.lit(i).alias("rank")) for i, r in enumerate(last, 1)])
+    return found.unionByName(rest.select("query_id", F.inline(backup)))
 
 
 def align(annotated: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], key: str, gold: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -27,6 +39,32 @@ def align(annotated: DataFrame, score: Callable[[DataFrame, DataFrame], DataFram
     return agreement(score(test, train), gold, "pred")
 
 
+def align_numeric(annotated: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], key: str, gold: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """The same for numbers: Pearson correlation and mean squared error of ``pred`` and ``gold``."""
+    train, test = train_test_split(annotated, test_size, key, seed)
+    return score(test, train).agg(F.corr(gold, "pred").alias("pearson"), mse(F.col(gold), F.col("pred")).alias("mse"))
+
+
+def optimised(seeds: list[str], losses: Callable[[list[str]], DataFrame], rewrite: Callable[[str, str | None], str], rounds: int = 3, higher_is_better: bool = True, least: int = 10) -> tuple[str, float]:
+    """A genetic search for an instruction: (the best, its value). ``losses`` scores candidates over the annotated rows: (candidate, row,
+    value), one Spark job a round. The better half stays; each survivor is rewritten alone (mutation) and with the survivor whose
+    results differ most from its own (crossover)."""
+    pool = list(dict.fromkeys(seeds))
+    for turn in range(rounds + 1):
+        table = written(losses(pool), "losses")
+        if turn == 0 and table.select("row").distinct().count() < least:
+            raise ValueError(f"{least} annotated rows or more are needed")
+        means = {r["candidate"]: r["value"] for r in table.groupBy("candidate").agg(F.avg("value").alias("value")).collect()}  # one row per candidate
+        order = sorted(means, key=lambda c: (-means[c] if higher_is_better else means[c], c))
+        if turn == rounds:
+            return order[0], means[order[0]]
+        kept = order[: max(1, len(order) // 2)]
+        results = table.where(F.col("candidate").isin(kept)).groupBy("candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: (x["value"] > 0).cast("int")).alias("results"))
+        partners = {r["candidate"]: r["partner"] for r in farthest_partners(results).collect()} if len(kept) > 1 else {}
+        pool = list(dict.fromkeys([*kept, *(rewrite(c, None) for c in kept), *(rewrite(c, partners.get(c)) for c in kept if c in partners)]))
+    raise AssertionError
+
+
 def best_candidate(losses: DataFrame, higher_is_better: bool) -> DataFrame:
     """(candidate, value) of the best mean; of equals the smaller name. The direction is explicit: accuracy rises, squared error falls."""
     means = losses.groupBy("candidate").agg(F.avg("value").alias("value"))

@@ -247,13 +247,13 @@ def similar_strings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH i AS (SELECT DISTINCT l_suppkey AS id, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS id, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 c AS (SELECT item, count(*) AS n FROM i GROUP BY item), noisy AS (SELECT item FROM (SELECT *, row_number() OVER (ORDER BY n DESC, item) AS rk, count(*) OVER () AS k FROM c) WHERE rk <= greatest(1, floor(k * 0.05))),
 l AS (SELECT id, lower(item) AS item FROM i WHERE item NOT IN (SELECT item FROM noisy)), s AS (SELECT id, count(*) AS n FROM l GROUP BY id),
 h AS (SELECT a.id AS src, b.id AS dst, count(*) AS hits FROM l a JOIN l b ON a.id < b.id AND 1 - levenshtein(a.item, b.item) / greatest(length(a.item), length(b.item)) >= 0.87 GROUP BY ALL)
 SELECT src, dst, round(hits / (x.n * y.n), 6) AS score FROM h JOIN s x ON src = x.id JOIN s y ON dst = y.id WHERE hits / (x.n * y.n) >= 0.01""")
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity > 49").select("l_suppkey", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     sold = lines.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     nodes = sold.groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("p_brand").alias("items"))
     return pairs.overlap_pairs(nodes, 0.01, 0.87).select("src", "dst", F.round("score", 6).alias("score"))
@@ -330,12 +330,14 @@ def conversation_render(spark: SparkSession, d: str) -> DataFrame:
     return convs.select("conv_id", schema.rendered_conversation(F.col("user_input")).alias("rendered"))
 
 
-@query("""WITH p AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS turns, CAST(sum(CASE WHEN role = before THEN 1 ELSE 0 END) AS BIGINT) AS repeats, CAST(sum(CASE WHEN role = 'assistant' AND before IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unprompted FROM p GROUP BY conv_id""")
+@query("""WITH p AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS turns, CAST(sum(CASE WHEN role = before THEN 1 ELSE 0 END) AS BIGINT) AS repeats, CAST(sum(CASE WHEN role = 'assistant' AND before IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unprompted, count(*) FILTER (WHERE role = 'tool') = 0 AS valid FROM p GROUP BY conv_id""")
 def conversation_checks(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, d, "conversations").select("conv_id", "role", before.alias("before"))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), n(F.col("role") == F.col("before")).alias("repeats"), n((F.col("role") == "assistant") & F.col("before").isNull()).alias("unprompted"))
+    counts = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), n(F.col("role") == F.col("before")).alias("repeats"), n((F.col("role") == "assistant") & F.col("before").isNull()).alias("unprompted"))
+    held = schema.assemble_conversations(table(spark, d, "conversations")).select("conv_id", schema.valid_conversation(F.col("user_input")).alias("valid"))
+    return counts.join(held, "conv_id", "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
 
 
 @query("""WITH c AS (SELECT quality AS g, 1 - toxic AS p, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n) AS total FROM c), a AS (SELECT g, sum(n) AS a FROM c GROUP BY g), b AS (SELECT p, sum(n) AS b FROM c GROUP BY p)
@@ -479,8 +481,7 @@ def indirect_clusters(spark: SparkSession, d: str) -> DataFrame:
     return graph.indirect_clusters(graph.Graph(nodes, edges), 2, per_start=None)
 
 
-@query(f"""WITH {EMB}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.35),
-g AS (SELECT vec_id AS id, coalesce((SELECT min(src) FROM p WHERE dst = vec_id), vec_id) AS grp FROM e) SELECT grp AS "group", id, max(id) OVER (PARTITION BY grp) AS representative FROM g""")
+@query()
 def persona_groups(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("summary_embedding"), F.lit("same").alias("summary"))
     return testset.persona_groups(nodes, 0.35)
@@ -504,10 +505,10 @@ def keyword_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {BM}, l AS (SELECT doc_id, sum(n) AS len FROM d GROUP BY 1), z AS (SELECT count(*) AS nn, avg(len) AS av FROM l), f AS (SELECT token, count(*) AS df FROM d GROUP BY 1),
 h AS (SELECT item_id, doc_id, sum(q.n * ln(1 + (nn - df + 0.5) / (df + 0.5)) * d.n * 2.5 / (d.n + 1.5 * (0.25 + 0.75 * len / av))) AS s FROM q JOIN d USING (token) JOIN f USING (token) JOIN l USING (doc_id), z GROUP BY ALL)
-SELECT item_id, CAST(rk AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rk FROM h) WHERE rk <= 5""")
+SELECT item_id, doc_id, CAST(rk AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM h) WHERE rk <= 5""")
 def bm25_retrieval(spark: SparkSession, d: str) -> DataFrame:
     out = retrieval.bm25_top_k(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, query="item_id")
-    return out.select("item_id", "rank", F.round("score", 5).alias("score"))
+    return out.select("item_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query("SELECT doc_id, quality AS first, toxic AS second FROM labels")
@@ -553,11 +554,11 @@ def sql_normalisation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", records.normalised_sql(raw).alias("sql"))
 
 
-@query("""SELECT c_custkey, regexp_replace(lower(regexp_replace(c_mktsegment, '([a-z])([A-Z])', '\\1_\\2', 'g')), ' ', '', 'g') AS snake, CASE WHEN contains(c_name, '0') THEN 0.0 WHEN contains(c_name, '1') THEN 0.5 ELSE 1.0 END AS rating FROM customer""")
+@query("""SELECT c_custkey, regexp_replace(lower(regexp_replace(c_mktsegment, '([a-z])([A-Z])', '\\1_\\2', 'g')), ' ', '', 'g') AS snake,
+CASE WHEN contains(c_name, '2') THEN 1.0 WHEN contains(c_name, '1') THEN 0.5 WHEN contains(c_name, '0') THEN 0.0 END AS rating FROM customer""")
 def text_helpers(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    chain = F.when(F.contains("c_name", F.lit("0")), 0.0).when(F.contains("c_name", F.lit("1")), 0.5).otherwise(1.0)
-    return c.select("c_custkey", text.camel_to_snake(F.initcap("c_mktsegment")).alias("snake"), chain.alias("rating"))
+    rating = text.parsed_rating(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", text.camel_to_snake(F.initcap("c_mktsegment")).alias("snake"), F.when(~F.isnan(rating), rating).alias("rating"))
 
 
 def _more() -> None:

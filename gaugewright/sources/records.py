@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 from ..operators.schema import TOOL_CALL
 
 
@@ -53,14 +55,19 @@ def paired_lookups(traces: DataFrame, conv: str, order: str, kind: str, value: s
     return ranked.groupBy(conv, "n").agg(F.max(F.when(F.col(kind) == "lookup", F.col(value))).alias("lookup"), F.max(F.when(F.col(kind) == "output", F.col(value))).alias("output"))
 
 
-def trace_tree(runs: DataFrame, levels: int = 4) -> DataFrame:
-    """(run_id, root, depth) of runs with parents (run_id, parent_run_id): one join per level."""
-    level = runs.where(F.col("parent_run_id").isNull()).select("run_id", F.col("run_id").alias("root"), F.lit(0).alias("depth"))
-    found = level
-    for d in range(1, levels):
-        level = runs.select("run_id", "parent_run_id").join(level.select(F.col("run_id").alias("_p"), "root"), F.col("parent_run_id") == F.col("_p")).select("run_id", "root", F.lit(d).alias("depth"))
+def trace_tree(runs: DataFrame) -> DataFrame:
+    """(run_id, root, depth) of runs with parents (run_id, parent_run_id): one join per level, until a level is empty. A run whose
+    parents never reach a root is not in the table."""
+    links = written(runs.select("run_id", "parent_run_id"), "runs")
+    level = links.where(F.col("parent_run_id").isNull()).select("run_id", F.col("run_id").alias("root"), F.lit(0).alias("depth"))
+    found, depth = level, 0
+    while True:
+        depth += 1
+        parents = level.select(F.col("run_id").alias("parent_run_id"), "root")
+        level = written(links.join(parents, "parent_run_id").select("run_id", "root", F.lit(depth).alias("depth")), "level")
+        if not level.limit(1).count():
+            return found
         found = found.union(level)
-    return found
 
 
 def normalised_sql(query: Column) -> Column:
