@@ -144,5 +144,12 @@ RULES: dict[str, Callable[[dict], dict]] = {
     "sql_equivalence": lambda g: {"equivalent": " ".join(g["response"].lower().split()) == " ".join(g["reference"].lower().split())},
     "image_faithful": lambda g: {"verdict": all(any(w in p["value"] for p in g["contexts"]) for w in g["response"].split())},
     "image_relevant": lambda g: {"verdict": any(w in p["value"] for p in g["contexts"] for w in g["response"].split())},
+    "summary": lambda g: {"text": ". ".join(sentences(g["text"])[:2])},
+    "title": lambda g: {"text": " ".join(g["text"].split()[:4])},
+    "headlines": lambda g: {"headlines": [" ".join(s.split()[:3]) for s in sentences(g["text"])[1:6]]},
+    "topic": lambda g: {"text": (sentences(g["text"]) or [""])[0]},
+    "themes": lambda g: {"themes": sorted({w.strip(".,").lower() for w in g["text"].split() if len(w) > 9})[:10]},
+    "persona": lambda g: {"name": "Reader of " + " ".join(g["summary"].split()[:2]), "role_description": g["summary"], "themes": g["summary"].lower().split()[:5]},
+    "question_answer": lambda g: {"query": f"What of {g['term']}?", "answer": (sentences(g["contexts"][0]) or [""])[0]},
     "repair": lambda g: {},
 }
