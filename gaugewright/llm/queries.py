@@ -87,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, staging.new_path(spark, "shards"))
     for _ in store.append_parts(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)), ARRIVALS):
         store.compact()
+        store.sweep(leftovers=False)
     return store.placed("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 

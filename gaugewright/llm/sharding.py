@@ -167,15 +167,20 @@ class ShardStore:
         # without the folders' names as columns
         return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{s.path}" for s in shards])
 
-    def sweep(self, keep_versions: int = 1) -> int:
-        """Delete the shards that none of the last ``keep_versions`` manifests names. Only while nobody writes or reads older versions."""
-        named = {s.path for v in self.versions()[-keep_versions:] for s in self.manifest(v)[1]}
+    def sweep(self, keep_versions: int = 1, leftovers: bool = True) -> int:
+        """Delete the shards that none of the last ``keep_versions`` manifests names: with ``leftovers`` all of them, which is for times
+        when nobody writes or reads older versions; without, only those that an earlier manifest names, so that files which are
+        still to be committed stay."""
+        versions = self.versions()
+        named = {s.path for v in versions[-keep_versions:] for s in self.manifest(v)[1]}
+        older = {s.path for v in versions[:-keep_versions] for s in self.manifest(v)[1]} if not leftovers else None
         gone, at = 0, self.fs.listFiles(self._path("shards"), True)
         start = len(self.fs.makeQualified(self._path("")).toString()) + 1
         old = []
         while at.hasNext():
             path = at.next().getPath()
-            if path.getName().endswith(".parquet") and path.toString()[start:] not in named:
+            name = path.toString()[start:]
+            if name.endswith(".parquet") and name not in named and (older is None or name in older):
                 old.append(path)
         for path in old:
             gone += bool(self.fs.delete(path, False))
