@@ -33,6 +33,10 @@ LONGEST_KEPT = 256
 LONG_WORD = 400
 #: Marks that are a piece of their own after a word of letters.
 STOPS = b".,;:!?"
+#: Words whose ids are gathered at once.
+GATHERED = 1_000_000
+#: From here on, the class of a letter depends on the Unicode version.
+RARE = "\u0250"
 #: Characters that a task encodes at once.
 BATCH_CHARS = 8_000_000
 
@@ -229,7 +233,7 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii() and max(part) >= "\u0250":
+            if not part.isascii() and max(part) >= RARE:
                 # letters whose class depends on the Unicode version: the library's own normaliser and pre-tokeniser decide
                 out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
                 continue
@@ -241,20 +245,33 @@ class Vocabulary:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
         whole: dict[bytes, str] = {}  # words that are one piece
+        ended: dict[bytes, str] = {}  # words that are one piece and a mark after it
         mixed: dict[bytes, list[str | int]] = {}
         for w in words:
             if w.isalpha():  # ASCII letters only
                 whole[w] = w.decode().lower()
-            elif w[-1] in STOPS and w[:-1].isalpha():
-                mixed[w] = [w[:-1].decode().lower(), chr(w[-1])]
-            else:
-                mixed[w] = self.split(w.decode())
+                continue
+            stopped = w[-1] in STOPS
+            core = w[:-1] if stopped else w
+            if core.isalpha():
+                ended[w] = core.decode().lower()
+                continue
+            if not core.isascii() and (text := core.decode()).isalpha() and max(text) < RARE:
+                text = unicodedata.normalize("NFC", text).lower()
+                if text.isalpha():
+                    (ended if stopped else whole)[w] = text.encode().decode("latin-1").translate(self.letters)
+                    continue
+            mixed[w] = self.split(w.decode())
         self.known.room()
         known = self.known
-        new = list({*whole.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))} - known.keys())
+        pieces = {*whole.values(), *ended.values(), *map(chr, STOPS)}
+        pieces.update(p for ps in mixed.values() for p in ps if isinstance(p, str))
+        new = list(pieces - known.keys())
         found = dict(zip(new, self.encode_pieces(new), strict=True)) if new else {}
         known |= found
-        out = {w: known[p] for w, p in whole.items()}
+        out = dict(zip(whole, map(known.__getitem__, whole.values()), strict=True))
+        marks = {m: known[chr(m)] for m in STOPS}
+        out |= {w: known[p] + marks[w[-1]] for w, p in ended.items()}
         for w, ps in mixed.items():
             out[w] = b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps])
         known.settle(found)
@@ -275,11 +292,10 @@ class Memory(dict):
             self.held = 0
 
     def settle(self, found: dict) -> None:
-        for word, ids in found.items():
-            if len(word) > LONGEST_KEPT:
-                self.pop(word, None)
-            else:
-                self.held += len(word) + len(ids) + ENTRY_BYTES
+        long = [w for w in found if len(w) > LONGEST_KEPT] if max(map(len, found), default=0) > LONGEST_KEPT else ()
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        for w in long:
+            self.held -= len(w) + len(self.pop(w)) + ENTRY_BYTES
 
 
 @lru_cache(maxsize=4)
@@ -287,13 +303,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Cut at ASCII white space (what bytes.split takes); other white space stays inside words, for the pre-tokeniser."""
-    return text.encode().split()
-
-
 class Encoder:
-    """Encodes texts in batches with a bounded memory of words. ``encode_words`` maps new words to the bytes of their ids."""
+    """Encodes texts in batches with a bounded memory of words, which are cut at ASCII white space (other white space stays inside, for
+    the pre-tokeniser). ``encode_words`` maps new words to the bytes of their ids."""
 
     @staticmethod
     @lru_cache(maxsize=1)
@@ -305,21 +317,35 @@ class Encoder:
         self.encode_words, self.known = encode_words, Memory(cache_bytes)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [words_of(t) if t else [] for t in texts]
+        """The ids of each text. The batch's different words are numbered in Arrow, looked up once each, and gathered by number."""
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.large_binary()).to_pylist()
         self.known.room()
-        new = {w for ws in split for w in ws} - self.known.keys()
-        found = {}
+        known, found = self.known, {}
+        new = {w for w in words if w} - known.keys()
         if new:
             gc.disable()  # many small lists, none in a cycle
             try:
                 found = self.encode_words(new)
             finally:
                 gc.enable()
-            self.known |= found
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        self.known.settle(found)
-        return out
+            known |= found
+        encoded = [known[w] if w else b"" for w in words]  # text at the edge of white space is an empty word
+        known.settle(found)
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        starts = np.cumsum(counts) - counts
+        codes = numbered.indices.to_numpy()
+        parts = []
+        for at in range(0, len(codes), GATHERED):
+            c = codes[at : at + GATHERED]
+            n = counts[c]
+            parts.append(ids[np.repeat(starts[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
+        raw = b"".join(parts)
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.asarray(lists.offsets) - lists.offsets[0].as_py()] * 4
+        ends = ends.tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
