@@ -81,9 +81,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
     Half of them make the dictionaries, half the calibration. Where a class has no such row, the score is the share of
     good rows, or one half without any."""
-    rows = labelled.where((F.length(text) > 0) & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    rows = labelled.where(F.col(label).isin(0, 1) & ((F.col("text_bytes") if "text_bytes" in labelled.columns else F.length(text)) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"), (F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text)).alias("b"))
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in per_class(rows, "y", sample, "k", "t"):
+    for r in per_class(rows, "y", sample, "k", "t", held="b"):
         texts[r.y].append(r.t)
     if min(len(texts[0]), len(texts[1])) < 2:
         n = len(texts[0]) + len(texts[1])
@@ -114,8 +114,9 @@ def held_out(key: str = "doc_id"):  # noqa: ANN201
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """``key``, ``text`` and ``label`` of the rows that have a label of 0 or 1 and are not held out. Null keys and labels take no
+    """``key``, ``text``, ``label`` and ``text_bytes`` of the rows that have a text and a label of 0 or 1 and are not held out. Null keys and labels take no
     part; a key with several texts or labels gives a row for each pair of them. Other columns, whatever their names, are not read."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("label_key"), F.col(label).alias("label"))
     rows = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.join(known, rows["key"] == known["label_key"]).select("key", "text", "label")
+    rows = rows.where(F.length("text") > 0).withColumn("text_bytes", F.octet_length("text"))
+    return rows.join(known, rows["key"] == known["label_key"]).select("key", "text", "label", "text_bytes")
