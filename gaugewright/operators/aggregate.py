@@ -161,6 +161,18 @@ def validation_summary(checks: DataFrame, ok: str = "valid", reason: str = "erro
     return totals.join(listed, F.lit(True)).select("total", "valid", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).alias("share"), "reasons")
 
 
+def validation_slices(checks: DataFrame, by: str, ok: str = "valid", seconds: str = "seconds") -> DataFrame:
+    """Total, valid, their share and the mean of the known times of each value of ``by``, and of all with null for it.
+    An empty table has none of them."""
+    held = checks.rollup(by).agg(F.count("*").alias("total"), F.count(F.when(F.col(ok), 1)).alias("valid"), F.avg(seconds).alias("seconds"), F.grouping(by).alias("all_"))
+    return held.select(by, (F.col("all_") == 1).alias("overall"), "total", "valid", (F.col("valid") / F.col("total")).alias("share"), "seconds")
+
+
+def error_kinds(checks: DataFrame, ok: str = "valid", reason: str = "error") -> DataFrame:
+    """(kind, n): the invalid rows by what their reason says before its first colon."""
+    return checks.where(~F.col(ok)).groupBy(F.substring_index(reason, ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def label_set_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Of rows with sets of labels (arrays): whether they are equal, and the F1 of each; order and repeats do not count."""
     tp = F.size(F.array_intersect(gold, pred))

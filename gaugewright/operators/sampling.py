@@ -85,6 +85,33 @@ def stratified_batches(df: DataFrame, n_batches: int, group: str, key: str, seed
     return ranked.withColumn("batch", F.pmod("_rank", F.lit(n_batches))).drop("_rank")
 
 
+def proportional_batches(df: DataFrame, size: int, group: str, key: str, seed: int = 42, drop_last: bool = False, refill: bool = False) -> DataFrame:
+    """``df`` with ``batch``: shuffled rows in runs of ``size``, every run with each class's share of the table, to within one row.
+    A last run of fewer rows is left out with ``drop_last``; with ``refill`` the first rows fill it, and stand twice.
+
+    Row r of a class of n rows stands at (2 r + 1) / (2 n) of the way, of equals the smaller class first; its place among all rows
+    follows from the classes' sizes, so nothing is sorted but the rows within their class."""
+    sizes = sorted(((r[0], r[1]) for r in df.groupBy(group).count().collect()), key=lambda x: (x[0] is not None, x[0]))  # one row per class
+    total = sum(n for _, n in sizes)
+    ranked = global_rank(df, shuffled(key, seed), key, group)
+    place, at = F.lit(0).cast("long"), (2 * F.col("_rank") + 1).cast("decimal(20,0)")
+    for i, (c, n) in enumerate(sizes):
+        before = F.col("_rank")
+        for j, (_, m) in enumerate(sizes):
+            if j != i:
+                ahead = at * F.lit(m).cast("decimal(18,0)") - n  # row k of the other class is ahead if 2 n k is below this, or equal and of a smaller class
+                least = ahead + 2 * n if j < i else ahead + (2 * n - 1)
+                before = before + F.when(ahead >= (0 if j < i else 1), F.call_function("div", least, F.lit(2 * n).cast("decimal(18,0)"))).otherwise(0)
+        place = F.when(F.col(group).eqNullSafe(F.lit(c)), before).otherwise(place)
+    dealt = ranked.withColumn("_place", place).withColumn("batch", F.floor(F.col("_place") / size))
+    last = total // size
+    if drop_last:
+        dealt = dealt.where(F.col("batch") < last)
+    elif refill and 0 < total % size and total >= size:
+        dealt = dealt.unionByName(dealt.where(F.col("_place") < size - total % size).withColumn("batch", F.lit(last).cast("long")))
+    return dealt.drop("_rank", "_place")
+
+
 def top_k(scored: DataFrame, group: str, score: str, k: int, tie: str, least: float | None = None) -> DataFrame:
     """The k rows of the highest score per group with ``rank``; ties to the smaller ``tie``; only scores of ``least`` or more."""
     if least is not None:

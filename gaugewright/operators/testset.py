@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .pairs import cosine_pairs
-from .sampling import global_rank, shuffled
+from .sampling import shuffled
 
 # The styles and lengths that queries take.
 STYLES = ("MISSPELLED", "PERFECT_GRAMMAR", "POOR_GRAMMAR", "WEB_SEARCH_LIKE")
@@ -66,11 +66,23 @@ def scenarios(terms: DataFrame, n: int, seed: int = 42, key: str = "node_id", te
     rows = rows.withColumn("_k", F.concat_ws("|", F.col("node_id").cast("string"), "term", "persona"))
     turn = F.row_number().over(Window.partitionBy("node_id", "term").orderBy(shuffled("_k", seed), "_k"))
     ordered = F.concat(F.when(turn == 1, F.lit("0")).otherwise(F.lit("8")), shuffled("_k", seed))
-    ranked = global_rank(rows.withColumn("_o", ordered), F.col("_o"), "_k").where(F.col("_rank") < n)
+    chosen = rows.withColumn("_o", ordered).orderBy("_o", "_k").limit(n)
+    ranked = chosen.withColumn("_rank", F.row_number().over(Window.orderBy("_o", "_k")) - 1)  # the sample alone
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i, F.lit(len(names))) + 1).cast("int"))
     return ranked.select("node_id", "term", "persona", pick(STYLES, F.col("_rank")).alias("style"), pick(LENGTHS, F.floor(F.col("_rank") / len(STYLES))).alias("length"))
 
 
+def diverse_scenarios(combinations: DataFrame, personas: DataFrame, n: int, seed: int = 42, items: str = "combination") -> DataFrame:
+    """Up to ``n`` scenarios of ``combinations`` (id, and their concepts), in a fixed random order: each with each persona that shares
+    a concept with it, without case, in all styles and lengths."""
+    if n < 1:
+        raise ValueError("the number of scenarios must be 1 or more")
+    each = lambda names: F.explode(F.array(*map(F.lit, names)))
+    matched = matching_personas(combinations, personas, items).withColumn("style", each(STYLES)).withColumn("length", each(LENGTHS))
+    keyed = matched.withColumn("_k", F.concat_ws("|", F.col("id").cast("string"), "persona", "style", "length"))
+    return keyed.orderBy(shuffled("_k", seed), "_k").limit(n).drop("_k")
+
+
 def tagged_contexts(contexts: Column) -> Column:
     """Each context with its hop, from 1, ahead of it."""
     return F.transform(contexts, lambda c, i: F.concat(F.lit("<"), (i + 1).cast("string"), F.lit("-hop>\n\n"), c))

@@ -13,6 +13,7 @@ from ..functions import ngram, sets, text, vector
 from ..operators import judge, tools
 from ..operators.aggregate import nan_mean
 from ..operators.schema import kind_of, parse_requirements, to_current_names
+from ..sources import records
 from .judge_metrics import JUDGED
 from .judging import Judge
 
@@ -48,6 +49,7 @@ METRICS: dict[str, Metric] = {
         Metric("bleu_score", ["reference", "response"], lambda: ngram.bleu_score(_c("reference"), _c("response"))),
         Metric("chrf_score", ["reference", "response"], lambda: ngram.chrf_score(_c("reference"), _c("response"))),
         Metric("rouge_score", ["reference", "response"], lambda: ngram.rouge_score(_c("reference"), _c("response"))),
+        Metric("data_compare_score", ["reference", "response"], lambda: records.compared_csv(_c("reference"), _c("response"))),
         Metric("id_based_context_precision", ["retrieved_context_ids", "reference_context_ids"], lambda: sets.id_precision(_c("retrieved_context_ids"), _c("reference_context_ids"))),
         Metric("id_based_context_recall", ["retrieved_context_ids", "reference_context_ids"], lambda: sets.id_recall(_c("retrieved_context_ids"), _c("reference_context_ids"))),
         Metric("non_llm_context_recall", ["retrieved_contexts", "reference_contexts"], lambda: judge.non_llm_context_recall(_c("retrieved_contexts"), _c("reference_contexts"), text.levenshtein_similarity)),

@@ -318,7 +318,14 @@ def tool_call_f1(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).select("user_id", tools.tool_call_f1(F.col("p"), F.col("r")).alias("f1"))
 
 
-@query()
+#: The calls in the order of their names and arguments; the arguments of all have the one key k.
+ACCURACY_SQL = """WITH e AS (SELECT user_id, event_id, event_type AS n, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 2 AS odd FROM events),
+l AS (SELECT user_id, coalesce(list({n: n, k: k} ORDER BY n, k || '"') FILTER (WHERE odd = 0), []) AS p, coalesce(list({n: n, k: k} ORDER BY n, k || '"') FILTER (WHERE odd = 1), []) AS r FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN len(r) > 0 AND list_transform(p, lambda x: x.n) = list_transform(r, lambda x: x.n)
+THEN list_sum(list_transform(list_zip(p, r), lambda z: CASE WHEN z[1].k = z[2].k THEN 1.0 ELSE 0.0 END)) / len(r) ELSE 0.0 END AS sorted_score, 1.0 AS own_score FROM l"""
+
+
+@query(ACCURACY_SQL)
 def tool_call_accuracy(spark: SparkSession, d: str) -> DataFrame:
     same = F.transform("r", lambda c: F.struct(c["name"].alias("name"), F.create_map(F.lit("k"), F.concat(c["args"]["k"], F.lit(""))).alias("args")))
     return calls(spark, d).select("user_id", tools.tool_call_accuracy(F.col("p"), F.col("r"), False).alias("sorted_score"), tools.tool_call_accuracy(same, F.col("r")).alias("own_score"))
@@ -487,7 +494,15 @@ def persona_groups(spark: SparkSession, d: str) -> DataFrame:
     return testset.persona_groups(nodes, 0.35)
 
 
-@query()
+#: md5 of seed and key orders them; the first of each node and term come first.
+SCENARIOS_SQL = f"""WITH {WORDS}, t AS (SELECT doc_id AS node_id, unnest(list_distinct(w)) AS term FROM w),
+k AS (SELECT t.*, persona, node_id || '|' || term || '|' || persona AS k FROM t, (VALUES ('editor'), ('student'), ('engineer')) AS p(persona)),
+m AS (SELECT *, md5('42:' || k) AS h FROM k), o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY node_id, term ORDER BY h, k) = 1 THEN '0' ELSE '8' END || h AS o FROM m),
+r AS (SELECT node_id, term, persona, row_number() OVER (ORDER BY o, k) - 1 AS r FROM o QUALIFY r < 500)
+SELECT node_id, term, persona, ['MISSPELLED', 'PERFECT_GRAMMAR', 'POOR_GRAMMAR', 'WEB_SEARCH_LIKE'][r % 4 + 1] AS style, ['LONG', 'MEDIUM', 'SHORT'][r // 4 % 3 + 1] AS length FROM r"""
+
+
+@query(SCENARIOS_SQL)
 def scenario_sampling(spark: SparkSession, d: str) -> DataFrame:
     """The feature is the sample: 500 scenarios."""
     nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
@@ -563,7 +578,7 @@ def text_helpers(spark: SparkSession, d: str) -> DataFrame:
 
 def _more() -> None:
     """The queries of other modules register themselves."""
-    from . import judge_queries, record_queries  # noqa: F401
+    from . import dataset_queries, judge_queries, record_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from io import StringIO
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
-
+from ..functions.text import nan
 from ..operators.schema import TOOL_CALL
+from .shared import written
 
 
 def zipped_rows(df: DataFrame, **arrays: str) -> DataFrame:
@@ -111,3 +115,48 @@ def compared_tables(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     share = lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.col("same") / n)
     p, r = share(F.col("nx")), share(F.col("ny"))
     return both.select(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)).alias("f1"))
+
+
+def _csv_columns(text: str) -> tuple[dict[str, list], int]:
+    """The columns of a CSV text by lower-case name, and how many rows they have; empty and missing cells are None, numbers floats."""
+    head, *body = [r for r in csv.reader(StringIO(text)) if r]
+    if any(len(r) > len(head) for r in body):
+        raise ValueError("a row has more cells than the head")
+
+    def cell(r: list[str], i: int) -> float | str | None:
+        raw = r[i] if i < len(r) else ""
+        try:
+            return float(raw)
+        except ValueError:
+            return raw or None
+
+    return {name.strip().lower(): [cell(r, i) for r in body] for i, name in enumerate(head)}, len(body)
+
+
+def _csv_score(reference: str | None, response: str | None, mode: str, metric: str) -> float | None:
+    try:
+        (want, n_want), (got, n_got) = _csv_columns(reference or ""), _csv_columns(response or "")
+    except (ValueError, csv.Error):  # an empty text, too, has no head
+        return None
+    same = [[a == b for a, b in zip(want[c], got[c], strict=False)] for c in want if c in got]
+    if mode == "rows":
+        hits, of = sum(map(all, zip(*same, strict=True))), (n_got, n_want)
+    else:
+        hits, of = sum(map(all, same)), (len(got), len(want))
+    if 0 in of:
+        return None
+    p, r = hits / of[0], hits / of[1]
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else None}[metric]
+
+
+def compared_csv(reference: Column, response: Column, mode: str = "rows", metric: str = "f1") -> Column:
+    """Precision, recall or F1 of a CSV text against another: of rows, matched by position and equal in all columns that both have,
+    or of columns, equal in all rows that both have. NaN for what is no CSV, and for an F1 without any match."""
+    if mode not in ("rows", "columns") or metric not in ("precision", "recall", "f1"):
+        raise ValueError(f"unknown mode or metric: {mode}, {metric}")
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_csv_score(a, b, mode, metric) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    return F.coalesce(of(reference, response), nan())

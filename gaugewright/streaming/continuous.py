@@ -24,6 +24,14 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return grouped.agg(F.count("*").alias("turns")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "turns")
 
 
+def conversations(stream: DataFrame, ts: str, key: str, order: str, role: str, text: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Conversations from turns: those of a key less than ``gap`` apart, in their order. In append mode one is given out when the
+    watermark has passed its end."""
+    grouped = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key)
+    held = grouped.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))).alias("turns"))
+    return held.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "turns")
+
+
 def drift_gate(means: DataFrame, baseline: float, tolerance: float, alarm: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand each batch's windows whose score has fallen below the baseline by more than the tolerance to ``alarm``."""
     return means.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: alarm(df.where(F.col("score") < baseline - tolerance), epoch)).start()
