@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     solves a system of that size). Ridge regression for each bit; a bit's weight is its accuracy over one half on
     each row when this row is left out of the fit, which the inverse gives without fitting again.
 
-    Rows without a language, and texts without a letter, teach nothing. Without rows every text is ``und``; with one language
+    Rows without a language, and texts without a letter, teach nothing; rows that repeat key, text and language count once. Without rows every text is ``und``; with one language
     it is the answer for all."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y"))
     rows = [r for r in per_class(rows, "y", sample, "k", "t", most_rows=SAMPLE_ROWS) if any(map(str.isalpha, r.t))]

@@ -79,7 +79,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     """Learn from about ``sample`` rows of each label (1 good, 0 bad) with a text that is not empty, of any length
     (``sample.BYTES`` bounds what they hold together).
 
-    Half of them make the dictionaries, half the calibration. Where a class has no such row, the score is the share of
+    Half of them make the dictionaries, half the calibration. Rows that repeat key, text and label count once. Where a class has no such row, the score is the share of
     good rows, or one half without any."""
     rows = labelled.where(F.col(label).isin(0, 1) & ((F.col("text_bytes") if "text_bytes" in labelled.columns else F.length(text)) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"), (F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text)).alias("b"))
     texts: dict[int, list[str]] = {0: [], 1: []}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, packing, quality_classifier, quality_rules, sharding, simhash, staging, topk_search, url_filter
+from . import bpe, html_extract, langid, packing, phrases, quality_classifier, quality_rules, sharding, simhash, spelling, staging, topk_search, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 ARRIVALS = 6
@@ -91,8 +91,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.placed("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_topk_search, op3_packing, op4_url_filters, op5_quality_classifier, op6_bpe, op7_quality_rules, op8_simhash, op9_language_id, op10_sharding)}
+    found = (op1_html_extraction, op2_topk_search, op3_packing, op4_url_filters, op5_quality_classifier, op6_bpe, op7_quality_rules, op8_simhash, op9_language_id)
+    return {f.__name__: f for f in (*found, op10_sharding, op11_phrases, op12_spelling_variants, op13_toxicity)}
 
 
 #: Fixed values of the rules, as rows (pattern, host, path, verdict).
@@ -143,5 +159,30 @@ FROM pages LEFT JOIN ruled ON pages.url = ruled.u LEFT JOIN alias ON pages.url =
 """
 
 
+OP11_SQL = """
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM t),
+places AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+parts AS (SELECT lang, k, phrase, a, cut, array_to_string(ws[:cut], ' ') AS one, array_to_string(ws[cut + 1:], ' ') AS two FROM cuts),
+scored AS (
+  SELECT parts.*, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = one JOIN f y ON y.lang = parts.lang AND y.phrase = two),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored),
+kept AS (
+  SELECT * FROM weakest s WHERE nth = 1 AND NOT EXISTS (
+    SELECT 1 FROM c o WHERE o.lang = s.lang AND o.k > s.k AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')
+      AND CAST(100 AS HUGEINT) * o.a >= CAST(80 AS HUGEINT) * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op4_url_filters": OP4_SQL}
+    return {"op2_topk_search": OP2_SQL, "op4_url_filters": OP4_SQL, "op11_phrases": OP11_SQL}

@@ -13,21 +13,26 @@ BYTES = 64 << 20
 
 
 def per_class(rows: DataFrame, label: str, size: int, key: str, text: str, most_bytes: int = BYTES, most_rows: int | None = None, held: str | None = None) -> list:
-    """About ``size`` rows of each class (all, if it has fewer), chosen by the hash of their key and text, in a fixed order.
-    Where these would hold more than ``most_bytes`` of ``text`` together, about, the share is lowered for rows of every length alike.
-    ``most_rows`` bounds the rows of all classes together, about. ``held`` is a column with the bytes of the text, for
+    """About ``size`` different rows of each class (all, if it has fewer), chosen by the hash of their key and text, in a fixed order.
+    Rows of one class that repeat key and text count once, in the shares and in the sample: they teach nothing new.
+    Where the sample would hold more than ``most_bytes`` of ``text`` together, about, the share is lowered for rows of every length
+    alike. ``most_rows`` bounds the rows of all classes together, about. ``held`` is a column with the bytes of the text, for
     rows that come from a join which should not move texts just to measure them.
 
-    The counts decide a share per class, so no class is sorted or gathered anywhere; only the chosen rows move."""
-    counts = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(label).agg(F.count("*"), F.sum(F.col(held) if held else F.octet_length(text))).collect()}
+    The counts decide a share per class, so no class is sorted or gathered anywhere; a hash of each row moves to count the
+    different ones, and of the texts only the chosen move."""
+    drawn = F.xxhash64(F.lit("sample"), F.col(key), F.col(text))
+    different = rows.groupBy(F.col(label).alias("class_"), drawn.alias("drawn_")).agg(F.first(F.col(held) if held else F.octet_length(text)).alias("bytes_"))
+    counts = {r[0]: (r[1], r[2] or 0) for r in different.groupBy("class_").agg(F.count("*"), F.sum("bytes_")).collect()}
     if not counts:
         return []
     if most_rows is not None:
         size = max(1, min(size, most_rows // len(counts)))
     shares = {value: min(1.0, size / n) for value, (n, _) in counts.items()}
     scale = min(1.0, most_bytes / max(1.0, sum(shares[value] * size_ for value, (_, size_) in counts.items())))
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(BUCKETS))
+    spot = F.pmod(drawn, F.lit(BUCKETS))
     want = F.lit(False)
     for value, share in shares.items():
         want = want | ((F.col(label) == F.lit(value)) & (spot < int(BUCKETS * share * scale)))
-    return sorted(rows.where(want).collect(), key=lambda r: (str(r[label]), str(r[key]), str(r[text])))
+    chosen = rows.where(want).dropDuplicates([label, key, text])
+    return sorted(chosen.collect(), key=lambda r: (str(r[label]), str(r[key]), str(r[text])))
