@@ -129,19 +129,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 20
 """
 
+#: Of the targets' forms it reads absolute ones and those that begin with a slash; the operator resolves all.
 OP4_SQL = f"""
 WITH RECURSIVE rules(pattern, rhost, rpath, rverdict) AS (VALUES {_RULES}),
-links AS (
-  SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
-  UNION ALL
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')) FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+seen AS (
+  SELECT url AS src, regexp_replace(html, '(?is)<!--.*?-->|<(script|style|noscript|template|textarea|title|iframe)\\b.*?</(script|style|noscript|template|textarea|title|iframe)\\b', '', 'g') AS html
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+tags AS (
+  SELECT src, unnest(regexp_extract_all(html, '(?is)</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM seen WHERE regexp_matches(html, '(?i)canonical|refresh')),
+raw AS (
+  SELECT src, trim(replace(coalesce(
+    CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\srel\\s*=\\s*(canonical\\b|"[^"]*\\bcanonical\\b|''[^'']*\\bcanonical\\b)')
+      THEN nullif(regexp_extract(tag, '(?is)\\shref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '') END,
+    CASE WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\shttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')
+      THEN nullif(regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '') END), '&amp;', '&')) AS target FROM tags),
+whole AS (
+  SELECT src, CASE WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(src, '^[^/]*') || target
+    WHEN starts_with(target, '/') THEN regexp_extract(src, '(?s)^.*?://[^/?#]*') || target END AS dst FROM raw WHERE target IS NOT NULL),
+folded AS (SELECT regexp_replace(src, '(?s)#.*$', '') AS src, regexp_replace(dst, '(?s)#.*$', '') AS dst FROM whole),
 targets AS (
-  SELECT src, replace(coalesce(
-    nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), ''),
-    nullif(regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '')), '&amp;', '&') AS dst FROM links),
+  SELECT translate(regexp_extract(src, '(?s)^.*?://[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(src, length(regexp_extract(src, '(?s)^.*?://[^/?]*')) + 1) AS src,
+         translate(regexp_extract(dst, '(?s)^.*?://[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(dst, length(regexp_extract(dst, '(?s)^.*?://[^/?]*')) + 1) AS dst FROM folded),
 edges AS (SELECT src, dst FROM targets WHERE dst IS NOT NULL AND src <> dst UNION SELECT dst, src FROM targets WHERE dst IS NOT NULL AND src <> dst),
 reach(node, other) AS (SELECT src, dst FROM edges UNION SELECT reach.node, edges.dst FROM reach JOIN edges ON reach.other = edges.src),
-urls AS (SELECT url AS u FROM pages UNION SELECT src FROM edges),
+urls AS (SELECT url AS u FROM pages WHERE url IS NOT NULL UNION SELECT src FROM edges),
 parts AS (
   SELECT u,
     translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -155,7 +167,9 @@ alias AS (
   FROM reach JOIN ruled ON reach.other = ruled.u GROUP BY node)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, pattern AS rule,
   CASE WHEN rverdict IS NOT NULL THEN rverdict WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END AS verdict
-FROM pages LEFT JOIN ruled ON pages.url = ruled.u LEFT JOIN alias ON pages.url = alias.node
+FROM pages LEFT JOIN ruled ON pages.url = ruled.u LEFT JOIN alias ON alias.node =
+  translate(regexp_extract(pages.url, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  || substr(regexp_replace(pages.url, '(?s)#.*$', ''), length(regexp_extract(pages.url, '(?s)^.*?://[^/?#]*')) + 1)
 """
 
 

@@ -65,6 +65,10 @@ def node_of(url: Column) -> Column:
     return F.concat(F.translate(head, UPPER, LOWER), F.substr(whole, F.length(head) + 1))
 
 
+#: Elements whose content is text and no markup, and the one whose markup counts only without scripts.
+RAW = {*"script style noscript template textarea title iframe noembed noframes xmp svg".split()}
+#: A comment, a declaration, or a tag with its attributes in quotes; a tag whose quotes never end stops at its first bracket.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.DOTALL)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _DELAY = re.compile(r"\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))", re.IGNORECASE | re.DOTALL)
 
@@ -94,21 +98,44 @@ def target_of(tag: str, url: str, base: str | None = None) -> str | None:
     return target if "://" in target else None
 
 
+def declared(source: str) -> tuple[list[str], str | None]:
+    """The link and meta tags of a page, and its first base element. What stands in comments, scripts, styles, ``noscript`` and the like,
+    or in an attribute of another tag, is no tag."""
+    tags, base, at = [], None, 0
+    while m := _MARKUP.search(source, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if m[1] or not name:
+            continue
+        if name in RAW and not (name == "svg" and m[0].endswith("/>")):
+            end = re.compile(rf"</{name}\b", re.IGNORECASE).search(source, at)
+            if not end:
+                break
+            at = end.start()
+        elif name in ("link", "meta"):
+            tags.append(m[0])
+        elif name == "base" and base is None:
+            base = m[0]
+    return tags, base
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): the canonical links and the redirects (meta refresh) that the pages declare, resolved against the page's URL."""
-    links = F.concat(
-        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\bcanonical\b[^>]*>)"), 1),
-        F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\brefresh\b[^>]*>)"), 1),
-    )
-    base = F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*>", 0)
-
-    @F.pandas_udf("string")
-    def target(tags: pd.Series, urls: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([target_of(*x) for x in zip(tags, urls, bases, strict=True)], dtype=object)
-
-    found = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("src"), base.alias("base"), F.explode(links).alias("tag"))
-    found = found.select(node_of(F.col("src")).alias("src"), node_of(target("tag", "src", "base")).alias("dst"))
-    return found.where("dst is not null and src <> dst")
+    """(src, dst): the canonical links and the redirects (meta refresh) that the pages declare, resolved against the page's URL.
+
+    Null URLs and null or empty pages declare nothing, nor do targets that lead to the page itself or are no URL. Repeated pages give
+    repeated edges, which add nothing; an empty table gives an empty one. Other columns, whatever their names, are not read."""
+
+    @F.pandas_udf("array<string>")
+    def targets(urls: pd.Series, sources: pd.Series) -> pd.Series:
+        out = []
+        for u, source in zip(urls, sources, strict=True):
+            tags, base = declared(source)
+            out.append([t for tag in tags if (t := target_of(tag, u, base))])
+        return pd.Series(out, dtype=object)
+
+    likely = F.col(html).rlike(r"(?i)canonical|refresh")  # most pages without a link need no closer look
+    found = pages.where(F.col(url).isNotNull() & likely).select(F.col(url).alias("src"), F.explode(targets(url, html)).alias("dst"))
+    return found.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src <> dst")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
