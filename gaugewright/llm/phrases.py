@@ -1,9 +1,10 @@
 """Phrase collocations by level-wise passes over the corpus.
 
-Pass k counts the k-word phrases of all documents, but only where both overlapping (k-1)-word phrases are frequent: a longer phrase
-never occurs more often than its parts. What is frequent goes to the tasks as a table of bits of bounded size. A bit that two phrases
-share lets a rare phrase be counted in vain and then dropped by its own count, so the size of the table changes the cost and never
-the result. The cuts of each frequent phrase are scored from the tables of the levels.
+Pass k counts the signatures (64-bit hashes) of the k-word phrases of all documents, but only where both overlapping (k-1)-word phrases are
+frequent: a longer phrase never occurs more often than its parts. What is frequent goes to the tasks as a table of bits of bounded
+size. Phrases that share a signature or a bit let a rare phrase through, never stop a frequent one; a last pass counts by their words the
+phrases of all lengths that came through, and drops the rare ones. So neither the hashes nor the size of the table can change the
+result. The cuts of each frequent phrase are scored from the tables of the levels.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import written
+from .staging import forget, written
 
 LEAST = 30
 LONGEST = 4
@@ -57,33 +58,51 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return codes, coded.dictionary
 
 
-def phrase_counts(lang: str, texts: list[bytes], k: int, known: np.ndarray | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different phrases of ``k`` words of texts of one language, their signatures and counts; with ``known``, the bits of the
-    frequent phrases of k-1 words, only those whose two such parts have their bit."""
-    codes, words = _tokens(texts)
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()] or [0], np.uint64)
-    if k == 1:
-        n = np.bincount(codes[codes >= 0], minlength=len(words))
-        held = np.flatnonzero(n)
-        return words.take(pa.array(held)), hashes[held], n[held]
-    # signatures of the k-1 words from each place on, and whether no piece ends among them
-    whole, signed = codes >= 0, hashes[codes]
-    for j in range(1, k - 1):
+def _signed(codes: np.ndarray, hashes: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1 to ``longest`` words: of each place, the signature of the phrase from there on and whether no piece ends in it."""
+    whole, sig = codes >= 0, hashes[codes]
+    yield sig, whole
+    for j in range(1, longest):
         whole = whole[:-1] & (codes[j:] >= 0)
-        signed = _extended(signed[:-1], hashes[codes[j:]])
-    at = signed & np.uint64(len(known) * 64 - 1)
-    whole &= (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1 == 1
-    starts = np.flatnonzero(whole[:-1] & whole[1:])
-    # the phrases that occur, numbered column by column so that the numbers stay below 64 bits
-    number = codes[starts]
-    for j in range(1, k):
-        number = np.unique(number * len(words) + codes[starts + j], return_inverse=True)[1]
-    _, first, n = np.unique(number, return_index=True, return_counts=True)
-    starts = starts[first]
-    sig = _extended(signed[starts], hashes[codes[starts + k - 1]])
-    columns = [words.take(pa.array(codes[starts + j])) for j in range(k)]
-    return pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())), sig, n
+        sig = _extended(sig[:-1], hashes[codes[j:]])
+        yield sig, whole
+
+
+def _known(sig: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = sig & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1 == 1
+
+
+def _hashes(lang: str, words: pa.Array) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()] or [0], np.uint64)
+
+
+def signature_counts(lang: str, texts: list[bytes], k: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different signatures of the phrases of ``k`` words of texts of one language, and how often they occur; with ``known``, the bits
+    of the frequent phrases of k-1 words, only of those whose two such parts have their bit."""
+    codes, words = _tokens(texts)
+    *_, before, (sig, whole) = [(None, None), *_signed(codes, _hashes(lang, words), k)]
+    if known is not None:
+        part = _known(before[0], known)
+        whole = whole & part[:-1] & part[1:]
+    return np.unique(sig[whole], return_counts=True)
+
+
+def phrase_counts(lang: str, texts: list[bytes], known: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(k, phrases, counts) of the phrases of texts of one language that have their bit among those of their length; and, as phrases of
+    0 words, the count of all words."""
+    codes, words = _tokens(texts)
+    yield 0, pa.array([b""], pa.binary()), np.array([(codes >= 0).sum()])
+    for k, (bits, (sig, whole)) in enumerate(zip(known, _signed(codes, _hashes(lang, words), len(known)), strict=False), 1):
+        starts = np.flatnonzero(whole & _known(sig, bits))
+        # the phrases that occur, numbered column by column so that the numbers stay below 64 bits
+        number = codes[starts]
+        for j in range(1, k):
+            number = np.unique(number * len(words) + codes[starts + j], return_inverse=True)[1]
+        _, first, n = np.unique(number, return_index=True, return_counts=True)
+        columns = [words.take(pa.array(codes[starts[first] + j])) for j in range(k)]
+        yield k, pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())), n
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -104,54 +123,59 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield lang, texts
 
 
-def _level(texts: DataFrame, k: int, known: np.ndarray | None) -> DataFrame:
-    """``lang``, ``phrase``, ``sig`` and ``f`` of the phrases of ``k`` words of ``texts`` (lang, text)."""
+def _signatures(texts: DataFrame, k: int, known: np.ndarray | None, least: int) -> DataFrame:
+    """``sig``: the frequent signatures of the phrases of ``k`` words of ``texts`` (lang, text)."""
     shared = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, held in _chunks(batch):
-                phrases, sig, n = phrase_counts(lang, held, k, None if shared is None else shared.value)
-                for at in range(0, len(phrases), 100_000):
-                    part = phrases.slice(at, 100_000)
-                    columns = [pa.array([lang] * len(part), pa.string()), part.cast(pa.string()), pa.array(sig[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "sig", "f"])
+                sig, n = signature_counts(lang, held, k, None if shared is None else shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(n.astype(np.int64))], ["sig", "n"])
+
+    return texts.mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("sig")
+
+
+def _counted(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
+    """``lang``, ``phrase``, ``k`` and ``f`` of the phrases of ``texts`` that have their bit; of 0 words: all words of the language."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, held in _chunks(batch):
+                for k, phrases, n in phrase_counts(lang, held, shared.value):
+                    columns = [pa.array([lang] * len(n), pa.string()), phrases.cast(pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "f"])
 
-    found = texts.mapInArrow(run, "lang string, phrase string, sig long, f long")
-    return found.groupBy("lang", "phrase").agg(F.first("sig").alias("sig"), F.sum("f").alias("f"))
+    return texts.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
-def frequent_bits(level: DataFrame, count: int, most: int = MOST_BITS) -> np.ndarray:
-    """The bits of the signatures of ``level``, as longs: BITS_EACH for each of its ``count`` rows, ``most`` together. Spark sets them;
-    the driver gets as many longs as the bits fill, 2^22 at most."""
+def frequent_bits(signatures: DataFrame, count: int, most: int = MOST_BITS) -> np.ndarray:
+    """The bits of ``signatures``, as longs: BITS_EACH for each of its ``count`` rows, ``most`` together. Spark sets them; the driver gets as
+    many longs as the bits fill, 2^22 at most."""
     size = 64
     while size < min(count * BITS_EACH, most):
         size *= 2
     at = F.col("sig").bitwiseAND(F.lit(size - 1))
     bit = F.expr("shiftleft(1L, CAST(at_ & 63 AS INT))")
-    held = level.select(at.alias("at_")).groupBy(F.shiftright("at_", 6).alias("long_")).agg(F.bit_or(bit).alias("bits_")).toArrow()
+    held = signatures.select(at.alias("at_")).groupBy(F.shiftright("at_", 6).alias("long_")).agg(F.bit_or(bit).alias("bits_")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[held.column("long_").to_numpy()] = held.column("bits_").to_numpy()
     return bits
 
 
-def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
-    """The frequent phrases (``lang``, ``phrase``, ``k``, ``f``) of 1 to ``longest`` words, and ``n``, all words of each language."""
+def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, most_bits: int = MOST_BITS) -> DataFrame:
+    """``lang``, ``phrase``, ``k`` and ``f``: the frequent phrases of 1 to ``longest`` words; of 0 words, all words of each language."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    words = written(_level(texts, 1, None), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where(F.col("f") >= least)
-    found = [frequent]
-    for k in range(2, longest + 1):
-        count = frequent.count()
+    known: list[np.ndarray] = []
+    for k in range(1, longest + 1):
+        signatures = written(_signatures(texts, k, known[-1] if known else None, least), "signatures")
+        count = signatures.count()
         if not count:
             break
-        frequent = written(_level(texts, k, frequent_bits(frequent, count, most_bits)).where(F.col("f") >= least), f"level{k}")
-        found.append(frequent)
-    out = found[0].select("lang", "phrase", F.lit(1).alias("k"), "f")
-    for k, level in enumerate(found[1:], 2):
-        out = out.unionByName(level.select("lang", "phrase", F.lit(k).alias("k"), "f"))
-    return out, totals
+        known.append(frequent_bits(signatures, count, most_bits))
+        forget(signatures)
+    return written(_counted(texts, known).where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
 
 
 def _part(words: Column, start: Column, count: Column) -> Column:
@@ -167,7 +191,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     repeated rows count as often as they occur; a language without frequent phrases has no row, an empty table gives an empty one;
     other columns, whatever their names, are not read.
     """
-    table, totals = levels(docs, text, lang, least, longest, most_bits)
+    table = levels(docs, text, lang, least, longest, most_bits)
+    totals = table.where("k = 0").select("lang", F.col("f").alias("n"))
     known = table.select("lang", F.col("phrase").alias("part"), F.col("f").alias("of"))
     words = F.split("phrase", " ")
     candidates = table.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"))
