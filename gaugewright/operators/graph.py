@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .communities import leiden
 
 
 @dataclass(frozen=True)
@@ -86,62 +88,137 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return forward.union(back).where("src <> dst").distinct()
 
 
-def simple_paths(edges: DataFrame, depth: int, per_start: int | None = None, starts: DataFrame | None = None) -> DataFrame:
-    """``root`` and ``path`` (array of ids): the simple paths of 1 to ``depth`` edges. With ``per_start`` the operator is a
-    sampling one: each root keeps that many paths per level, by the hash of the path, so a dense graph stays bounded."""
+#: A community that could hold fewer simple paths than this is listed whole; of others so many walks of each length are taken.
+MOST_PATHS = 1000
+
+
+def simple_paths(edges: DataFrame, depth: int, starts: DataFrame | None = None) -> DataFrame:
+    """``root`` and ``path`` (array of ids): all simple paths of 1 to ``depth`` edges, from the nodes ``starts`` (id) or from every one."""
     steps = written(neighbours(edges), "steps")
     level = steps if starts is None else steps.join(starts.select(F.col("id").alias("_id")), F.col("src") == F.col("_id"), "left_semi")
     level = level.select(F.col("src").alias("root"), F.array("src", "dst").alias("path"))
     found = level
     for _ in range(depth - 1):
         grown = level.join(steps, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        level = grown.select("root", F.concat("path", F.array("dst")).alias("path"))
-        if per_start is not None:
-            level = level.groupBy("root").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.md5(F.array_join("path", ",").cast("binary")).alias("h"), "path"))), 1, per_start).alias("ps"))
-            level = level.select("root", F.explode("ps.path").alias("path"))
-        level = written(level, "paths")
+        level = written(grown.select("root", F.concat("path", F.array("dst")).alias("path")), "paths")
         found = found.union(level)
     return found
 
 
-def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, community) by label propagation: each node takes the commonest label around it, of equals the least.
-    Ends when no label changes, or after ``rounds`` where labels go round for ever."""
-    both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "links")
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    before = None
-    for _ in range(rounds):
-        told = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").union(labels.select(F.lit(None).cast(both.schema["dst"].dataType).alias("dst"), F.col("id").alias("src"), "community"))
-        counts = told.groupBy("src", "community").agg(F.count("*").alias("n"))
-        labels = counts.groupBy("src").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), F.col("community"))).alias("community")).withColumnRenamed("src", "id")
-        labels = written(labels, "labels")
-        mark = labels.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()
-        if mark == before:
+def _first_of_each(df: DataFrame, by: str, order: Column, n: int, parts: int = 64) -> DataFrame:
+    """``df`` with ``turn`` (from 0): the first ``n`` rows of each ``by``. Parts of a large group are ranked before their first rows meet."""
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    parted = parted.withColumn("_turn", F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))).where(F.col("_turn") <= n)
+    return parted.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).where(F.col("turn") < n).drop("_part", "_turn")
+
+
+def random_walks(steps: DataFrame, groups: DataFrame, depths: list[int], n: int = MOST_PATHS, seed: int = 42) -> DataFrame:
+    """``path``: for each group of nodes (id, community) ``n`` walks of each depth along ``steps`` (src, dst) that stay in the group.
+
+    A walk starts at one of the group's nodes, these taken in turn in an order by hash, and goes on to a neighbour drawn by the hash of
+    seed, walk and step: one join a step, whatever the number of paths. Nodes from which walks get stuck are left out first, as are
+    groups that then have no more nodes than a depth has edges."""
+    inside = steps.join(groups.select(F.col("id").alias("src"), "community"), "src").join(groups.select(F.col("id").alias("dst"), F.col("community").alias("_c")), "dst")
+    alive = written(inside.where("community = _c").select("community", "src", "dst"), "steps")
+    while True:  # a dead end may leave another one behind
+        sources = alive.select(F.col("src").alias("_id")).distinct()
+        fewer = written(alive.join(sources, F.col("dst") == F.col("_id"), "left_semi"), "steps")
+        if fewer.count() == alive.count():
             break
-        before = mark
-    return labels
+        alive = fewer
+    nodes = alive.groupBy("community", "src").agg(F.count("*").alias("degree"))
+    order = F.xxhash64(F.lit(seed), F.col("src"))
+    count = nodes.groupBy("community").agg(F.count("*").alias("nodes"))
+    starts = written(_first_of_each(nodes.withColumn("_order", order), "community", F.struct("_order", "src"), n).join(count, "community"), "starts")
+    walk = F.explode(F.sequence(F.col("turn"), F.lit(n - 1), F.least(F.col("nodes"), F.lit(n)).cast("int"))).alias("walk")
+    depth = F.explode(F.array(*map(F.lit, depths))).alias("depth")
+    walks = starts.select("community", "src", "degree", "nodes", walk).select("*", depth).where("nodes > depth")
+    numbered = alive.withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).select("src", "at", F.col("dst").alias("to"))
+    ends = nodes.select(F.col("src").alias("to"), F.col("degree").alias("next"))
+    numbered = written(numbered.join(ends, "to"), "numbered")
+    level = walks.select("community", "walk", "depth", "degree", F.array("src").alias("path"), "src")
+    found = None
+    for step in range(max(depths)):
+        drawn = F.pmod(F.xxhash64(F.lit(seed), "community", "walk", "depth", F.lit(step)), F.col("degree")).cast("int")
+        onward = level.withColumn("at", drawn).join(numbered, ["src", "at"])
+        level = onward.select("community", "walk", "depth", F.col("next").alias("degree"), F.concat("path", F.array("to")).alias("path"), F.col("to").alias("src"))
+        level = written(level, "walks")
+        done = level.where(F.col("depth") == step + 1).select("path")
+        found = done if found is None else found.union(done)
+        level = level.where(F.col("depth") > step + 1)
+    return found
 
 
-def indirect_clusters(graph: Graph, depth: int = 3, predicate: Column | None = None, per_start: int | None = 100) -> DataFrame:
-    """``cluster`` (sorted ids): the different node sets of paths of 1 to ``depth`` edges within communities; all of them if
-    ``per_start`` is None."""
+def indirect_clusters(graph: Graph, depth: int = 3, predicate: Column | None = None, most_paths: int | None = MOST_PATHS, seed: int = 42) -> DataFrame:
+    """``cluster`` (sorted ids): the different node sets of paths of 1 to ``depth`` edges within communities (Leiden).
+
+    A community whose nodes, if all were joined, had fewer than ``most_paths`` paths of ``depth`` edges is listed whole, as are all where
+    ``most_paths`` is None. Of each other one, ``most_paths`` random walks of 2 edges, and of each number up to ``depth``, are taken."""
     if depth < 2:
         raise ValueError("the depth must be 2 or more")
     edges = graph.edges if predicate is None else graph.edges.where(predicate)
-    label = communities(edges)
-    inside = edges.join(label.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(label.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
-    return simple_paths(inside.select("src", "dst", "bidirectional"), depth, per_start).select(F.array_sort("path").alias("cluster")).distinct()
-
-
-def n_indirect_clusters(graph: Graph, n: int, depth: int = 3, predicate: Column | None = None, per_start: int = 100) -> DataFrame:
-    """Up to ``n`` node sets of paths, of which none lies within another of its root, dealt round robin over the roots."""
+    edges = written(edges.select("src", "dst", "bidirectional"), "edges")
+    label = written(leiden(edges), "communities")
+    if most_paths is None:
+        whole, large = label, None
+    else:
+        size = label.groupBy("community").agg(F.count("*").cast("double").alias("n"))
+        bound = F.when(F.col("n") - depth - 1 <= 0, 0.0).otherwise(prod((F.col("n") - i for i in range(depth + 1)), start=F.lit(1.0)))
+        whole = label.join(size.where(bound < most_paths), "community", "left_semi")
+        large = written(label.join(size.where(bound >= most_paths), "community", "left_semi"), "large")
+    ends = [whole.select(F.col("id").alias(e), F.col("community").alias(f"c_{e}")) for e in ("src", "dst")]
+    inside = edges.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").select("src", "dst", "bidirectional")
+    found = simple_paths(inside, depth).select("path")
+    if large is not None and not large.isEmpty():
+        found = found.union(random_walks(neighbours(edges), large, list(range(2, depth + 1)), most_paths, seed))
+    return found.select(F.array_sort(F.array_distinct("path")).alias("cluster")).where("size(cluster) > 1").distinct()
+
+
+def maximal_sets(sets: DataFrame, column: str = "cluster") -> DataFrame:
+    """The different sets (arrays without repeats) of a column that lie within no other: a set within another holds its own rarest element there, so
+    sets meet at their rarest elements only. Empty sets stay only where there is no other; nulls go."""
+    different = written(sets.where(F.col(column).isNotNull()).select(F.array_sort(F.array_distinct(column)).alias("s")).distinct(), "sets")
+    held = different.select("s", F.explode("s").alias("e"))
+    often = held.groupBy("e").agg(F.count("*").alias("n"))
+    ranked = written(held.join(often, "e"), "held")
+    rarest = ranked.groupBy("s").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
+    around = ranked.select(F.col("s").alias("t"), "e")
+    within = rarest.join(around, "e").where((F.size("t") > F.size("s")) & (F.size(F.array_except("s", "t")) == 0)).select("s").distinct()
+    empty = F.size("s") == 0
+    kept = different.where(~empty).join(within, "s", "left_anti")
+    if kept.isEmpty():
+        kept = different
+    return kept.select(F.col("s").alias(column))
+
+
+def n_indirect_clusters(graph: Graph, n: int, depth: int = 3, predicate: Column | None = None, seed: int = 42) -> DataFrame:
+    """``cluster`` (sorted ids): up to ``n`` node sets of paths that go on until they have ``depth`` nodes or find no new neighbour; none lies within
+    another. Start nodes are drawn by hash, as many as ``n`` sets can need; of each start as many paths a level are followed, in
+    an order by hash; the sets are dealt round robin over the starts. Raises if no edge is left."""
+    if depth < 2 or n < 1:
+        raise ValueError("the depth must be 2 or more, and n 1 or more")
     edges = graph.edges if predicate is None else graph.edges.where(predicate)
-    paths = simple_paths(edges, depth, per_start).select("root", F.array_sort("path").alias("cluster")).distinct()
-    sets = paths.groupBy("cluster").agg(F.min("root").alias("root"))
-    per_root = sets.groupBy("root").agg(F.collect_list("cluster").alias("all"))  # per_start * depth at most
-    maximal = F.filter("all", lambda a: ~F.exists("all", lambda b: (F.size(b) > F.size(a)) & (F.size(F.array_except(a, b)) == 0)))
-    ranked = per_root.select("root", F.posexplode(F.array_sort(maximal)).alias("turn", "cluster"))
-    return ranked.orderBy("turn", F.md5(F.col("root").cast("string").cast("binary"))).limit(n).select("cluster")
+    steps = written(neighbours(edges), "steps")
+    pairs = steps.select(F.least("src", "dst"), F.greatest("src", "dst")).distinct().count()
+    if not pairs:
+        raise ValueError("no edge fits: there is nothing to make clusters of")
+    joined = steps.select("src").union(steps.select("dst")).distinct().count()
+    most = (n - 1) * depth + 1 if pairs < joined else max(n, depth, 10)
+    by_hash = lambda c: F.xxhash64(F.lit(seed), c)
+    starts = steps.select("src").distinct().orderBy(by_hash(F.col("src")), "src").limit(most)
+    level = written(starts.select(F.col("src").alias("root"), F.array("src").alias("path")), "starts")
+    found = None
+    for size in range(2, depth + 1):
+        grown = level.join(steps, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        grown = grown.select("root", "path", F.concat("path", F.array("dst")).alias("next"))
+        stuck = level.where("size(path) > 1").join(grown.select("root", "path").distinct(), ["root", "path"], "left_anti")
+        found = stuck if found is None else found.unionByName(stuck)
+        grown = grown.select("root", F.col("next").alias("path")).withColumn("_order", by_hash(F.array_join(F.col("path").cast("array<string>"), ",")))
+        level = written(_first_of_each(grown, "root", F.struct("_order", "path"), most + 1).select("root", "path"), f"paths{size}")
+    sets = written(found.unionByName(level).select("root", F.array_sort("path").alias("cluster")).groupBy("cluster").agg(F.min("root").alias("root")), "sets")
+    kept = sets.join(maximal_sets(sets), "cluster")
+    dealt = _first_of_each(kept.withColumn("_order", by_hash(F.array_join(F.col("cluster").cast("array<string>"), ","))), "root", F.struct("_order", "cluster"), n)
+    return dealt.orderBy("turn", by_hash(F.col("root")), "root").limit(n).select("cluster")
 
 
 def similarity_edges(pairs: DataFrame, kind: str, score: str = "similarity", bidirectional: bool = True) -> DataFrame:

@@ -485,7 +485,7 @@ def indirect_clusters(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     edges = written(graph.similarity_edges(pairs.cosine_pairs(e, 0.4, "vec_id", "embedding"), "similar"), "similar")
     nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.lit("document").alias("type"))
-    return graph.indirect_clusters(graph.Graph(nodes, edges), 2, per_start=None)
+    return graph.indirect_clusters(graph.Graph(nodes, edges), 2, most_paths=None)
 
 
 @query()

@@ -143,18 +143,6 @@ def test_indirect_clusters_of_a_hub_are_whole(spark, tmp_path):
     assert len(got) == len(want) and {frozenset(r["cluster"]) for r in got} == want
 
 
-def test_communities_reach_a_fixed_point(spark):
-    links = [(i, i + 1) for i in range(8)]
-    label, after = None, {i: i for i in range(9)}
-    while label != after:
-        label, after = after, {}
-        for i in label:
-            near = [label[j] for j in (i - 1, i, i + 1) if j in label]
-            after[i] = min(near, key=lambda x: (-near.count(x), x))
-    got = graph.communities(spark.createDataFrame(links, "src long, dst long"))
-    assert {r["id"]: r["community"] for r in got.collect()} == label
-
-
 def test_scenarios_take_terms_of_the_whole_text(spark, tmp_path):
     from gaugewright.plans import queries
 
