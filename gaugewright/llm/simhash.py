@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import forget, written
+from .staging import forget, fresh, written
 
 SHINGLE = 3
 SEED = 42
@@ -75,13 +75,14 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp`` (long) of every row, from its whole text."""
+    """``key_``, ``fp`` (long) and ``x_``, a hash that only equal texts share, of every row, from its whole text."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select(F.col(key), of(F.col(text).cast("string")).alias("fp"))
+    whole = F.col(text).cast("string")
+    return docs.select(F.col(key).alias("key_"), of(whole).alias("fp"), F.xxhash64(whole).alias("x_"))
 
 
 def _group_masks() -> list[int]:
@@ -175,20 +176,26 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return groups.select("i", "j", "left", "right").mapInPandas(run, "a long, b long")
 
 
+def _linked_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key_``, ``x_``, ``fp``, ``group_`` (one fingerprint of each component) and ``component`` of every row."""
+    prints = written(fingerprints(docs, key, text), "fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("key_").alias("least")), "distinct")
+    linked = connected_components(links(distinct), "a", "b")
+    linked = written(linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "component", "least"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("of_component"))
+    named = linked.join(least, "component").select("fp", F.col("component").alias("group_"), "of_component")
+    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("group_", "fp").alias("group_"), F.coalesce("of_component", "least").alias("component"))
+    return prints.join(written(named, "named"), "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``fp`` (long) and ``component`` (the least key of the documents that links reach) of every row.
 
     Texts without words, null ones included, share the fingerprint 0, linked like any other. Repeated rows come back as
-    often as they occur. A null key is never the least key unless all keys of its component are null.
+    often as they occur. A null key is never the least key unless all keys of its component are null. Other columns, whatever
+    their names, are not read.
     """
-    prints = written(fingerprints(docs, key, text), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    linked = connected_components(links(distinct), "a", "b")
-    linked = written(linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "component", "least"), "linked")
-    least = linked.groupBy("component").agg(F.min("least").alias("of_component"))
-    named = linked.join(least, "component").select("fp", "of_component")
-    named = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("of_component", "least").alias("component")), "named")
-    return prints.join(named, "fp").select(key, "fp", "component")
+    return _linked_prints(docs, key, text).select(F.col("key_").alias(key), "fp", "component")
 
 
 def _signature(text: str | None) -> int:
@@ -231,8 +238,13 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     A text of fewer words is one shingle; texts without words, null ones included, are copies of each other. The texts of a
     cell first meet its head, which joins large clusters in a linear number of pairs; only texts of a cell that are
-    still in different components meet each other.
+    still in different components meet each other. Other columns, whatever their names, are not read.
     """
+    return _similar(docs, key, text, width, similarity).select(F.col("key_").alias(key), "component")
+
+
+def _similar(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
+    """``key_``, ``x_`` (a hash that only equal texts share), ``group_`` (one signature of each component) and ``component`` of every row."""
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must lie above 0 and not above 1")
     picked = docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text_"))
@@ -314,22 +326,25 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     linked = linked.withColumnRenamed("component", "component_")
     linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component_", "sig_").alias("c_")), "linked")
     least = linked.groupBy("c_").agg(F.min("least_").alias("component"))
-    named = linked.join(least, "c_").select("sig_", "component")
-    return rows.join(named, "sig_").select(F.col("key_").alias(key), "component")
+    named = linked.join(least, "c_").select("sig_", F.col("c_").alias("group_"), "component")
+    return rows.join(named, "sig_").select("key_", "x_", "group_", "component")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of ``near_duplicates``: that of the least key. Of repeated rows with this key one stays; rows with
-    a null key stay, since nothing tells them apart. All columns come back as they were."""
-    return _least_of_each(docs, near_duplicates(docs, key, text), key)
+    """One row of each component of ``near_duplicates``: that of the least key and, where it has several texts there, of the one of the least
+    hash. Of rows that repeat key and text one stays; unlike texts that share a key stay both, as do rows with a null key, since
+    nothing tells them apart. All columns come back as they were."""
+    return _one_of_each(docs, _linked_prints(docs, key, text), key, text)
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """Like ``deduplicate``, of the groups of ``similar_texts``."""
-    return _least_of_each(docs, similar_texts(docs, key, text, width, similarity), key)
+    """Like ``deduplicate``, of the components of ``similar_texts``."""
+    return _one_of_each(docs, _similar(docs, key, text, width, similarity), key, text)
 
 
-def _least_of_each(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    keep = groups.where(F.col(key) == F.col("component")).select(key).distinct()
-    known = docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi").select(*docs.columns)
-    return known.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+def _one_of_each(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    kept = groups.where("key_ IS NOT NULL").groupBy("group_").agg(F.min(F.struct("key_", "x_")).alias("k_")).select("k_.*").distinct()
+    (sign,) = fresh(docs, "sign_")
+    signed = docs.where(F.col(key).isNotNull()).withColumn(sign, F.xxhash64(F.col(text).cast("string")))
+    known = signed.join(kept, (signed[key] == kept["key_"]) & (signed[sign] == kept["x_"]), "left_semi")
+    return known.dropDuplicates([key, sign]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -266,6 +266,23 @@ def test_similar_texts_against_all_pairs(spark, docs, monkeypatch):
     assert simhash.similar_texts(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_that_share_an_id_stay(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, a), (2, b + " tail"), (3, c), (0, c + " end"), (4, None), (4, ""), (4, c), (None, a), (5, a + " x"), (5, a + " y")]
+    df = cluttered(spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, x_ string"))
+    got = simhash.drop_similar(df)
+    assert got.columns == df.columns
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in got.collect())
+    assert kept == sorted([(1, a), (1, b), (0, c + " end"), (4, ""), (-1, a)])  # of the two without words one stays
+    two = [(7, a), (7, a + " x"), (7, b)]  # near copies that share their id: one of them stays
+    left = [r["text"] for r in simhash.drop_similar(spark.createDataFrame(two, "doc_id long, text string")).collect()]
+    assert len(left) == 2 and b in left
+    assert len(simhash.deduplicate(spark.createDataFrame([(7, a), (7, b), (7, a), (8, a)], "doc_id long, text string")).collect()) == 2
+    assert simhash.drop_similar(df.limit(0)).count() == 0
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 1000, dtype=np.uint64), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
@@ -874,6 +891,10 @@ def test_pipeline(spark, tmp_path):
     model = quality_classifier.fit(quality_classifier.training_rows(docs.where(F.col("doc_id").isin(list(rows))), labels), "key", "text", "label")
     good = [k for k, s in zip(rows, brute_quality(rows.values(), model)) if s >= 0.5]
     assert {r["doc_id"] for r in stage.collect()} == set(brute_similar({k: rows[k] for k in good})[0].values())
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"file://{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
     clash = corpus_pipeline.filter_by_classifier(spark, docs.withColumn("score_", F.lit("kept")), sf_dir)
     assert {r["score_"] for r in clash.collect()} == {"kept"}
     assert set(queries.queries()) == {f"op{n}_{x}" for n, x in enumerate("html_extraction topk_search packing url_filters quality_classifier bpe quality_rules simhash language_id sharding phrases spelling_variants toxicity".split(), 1)}
