@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sample import per_class
+from .sample import labelled, per_class
 
 #: Labelled texts of each class that the fit takes, about, whatever their lengths.
 SAMPLE = 1500
@@ -75,15 +75,18 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[-DICT_BYTES:] or b" "
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` rows of each label (1 good, 0 bad) with a text that is not empty, of any length
     (``sample.BYTES`` bounds what they hold together).
 
     Half of them make the dictionaries, half the calibration. Rows that repeat key, text and label count once. Where a class has no such row, the score is the share of
     good rows, or one half without any."""
-    rows = labelled.where(F.col(label).isin(0, 1) & ((F.col("text_bytes") if "text_bytes" in labelled.columns else F.length(text)) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"), (F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text)).alias("b"))
+    measured = {"text_bytes", "text_hash"} <= set(rows.columns)
+    size = F.col("text_bytes") if measured else F.octet_length(text)
+    sign = F.col("text_hash") if measured else F.xxhash64(text)
+    rows = rows.where(F.col(label).isin(0, 1) & (size > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"), size.alias("b"), sign.alias("h"))
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in per_class(rows, "y", sample, "k", "t", held="b"):
+    for r in per_class(rows, "y", sample, "k", "t", held="b", drawn_by="h"):
         texts[r.y].append(r.t)
     if min(len(texts[0]), len(texts[1])) < 2:
         n = len(texts[0]) + len(texts[1])
@@ -114,9 +117,5 @@ def held_out(key: str = "doc_id"):  # noqa: ANN201
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """``key``, ``text``, ``label`` and ``text_bytes`` of the rows that have a text and a label of 0 or 1 and are not held out. Null keys and labels take no
-    part; a key with several texts or labels gives a row for each pair of them. Other columns, whatever their names, are not read."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("label_key"), F.col(label).alias("label"))
-    rows = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.where(F.length("text") > 0).withColumn("text_bytes", F.octet_length("text"))
-    return rows.join(known, rows["key"] == known["label_key"]).select("key", "text", "label", "text_bytes")
+    """The rows of ``sample.labelled`` that have a text and are not held out."""
+    return labelled(docs.where(~held_out(key)), labels, key, text, label).where("text_bytes > 0")

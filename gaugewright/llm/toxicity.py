@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sample import per_class
+from .sample import labelled, per_class
 
 #: Labelled texts of each class that the fit takes, about, whatever their lengths.
-SAMPLE = 2500
+SAMPLE = 2000
 #: Bytes that these hold, about.
 SAMPLE_BYTES = 24 << 20
 SIZES = (3, 4, 5, 6)
@@ -75,47 +75,54 @@ def log_count_ratios(held: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndar
     return ratio, np.abs(ratio) * np.sqrt(counts.sum(axis=0))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method, with a row's ``share`` as its weight; the bias, the last of the weights, has no penalty."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Newton's method, with a row's ``share`` as its weight; the last weight, the bias, has no penalty."""
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curved = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        step = np.linalg.solve(curved + np.diag(penalty), x.T @ (share * (p - y)) + penalty * w)
+        bent = share * np.maximum(p * (1 - p), 1e-6)
+        curved = np.diag(penalty)
+        for at in range(0, len(x), 256):  # by parts, which takes no second table
+            part = x[at : at + 256]
+            curved += (part * bent[at : at + 256, None]).T @ part
+        step = np.linalg.solve(curved, x.T @ (share * (p - y)) + penalty * w)
         w = w - step
         if np.abs(step).max() < 1e-5:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
-def fit(labelled: DataFrame, key: str = "key", text: str = "text", label: str = "label", sample: int = SAMPLE) -> Model:
+def fit(rows: DataFrame, key: str = "key", text: str = "text", label: str = "label", sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` rows of each label (1 toxic, 0 not), of any length (SAMPLE_BYTES bounds what they hold together).
     The classes weigh as they occur among all the rows.
 
     Rows that repeat key, text and label count once. Where a class has no row, the score is the share of toxic rows, kept within
     0.01 and 0.99, and 0.1 without any row: nothing then calls a text toxic."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
+    measured = {"text_bytes", "text_hash"} <= set(rows.columns)
+    size = F.col("text_bytes") if measured else F.octet_length(text)
+    sign = F.col("text_hash") if measured else F.xxhash64(text)
+    rows = rows.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), F.coalesce(size, F.lit(0)).alias("b"), sign.alias("h"))
     totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    chosen = per_class(rows, "y", sample, "k", "t", most_bytes=SAMPLE_BYTES)
+    chosen = per_class(rows, "y", sample, "k", "t", most_bytes=SAMPLE_BYTES, held="b", drawn_by="h")
     y = np.array([r.y for r in chosen], float)
     if len(set(y.tolist())) < 2:
         p = min(max(float(y.mean()), 0.01), 0.99) if len(y) else 0.1
         return Model(float(np.log(p / (1 - p))))
-    held = [ngram_buckets(r.t) for r in chosen]
+    held = [ngram_buckets(r.t).astype(np.int32) for r in chosen]
     ratio, evidence = log_count_ratios(held, y)
     top = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
     place = np.full(BUCKETS, -1)
     place[top] = np.arange(len(top))
-    x = np.zeros((len(y), len(top)), np.float32)
+    x = np.zeros((len(y), len(top) + 1))
+    x[:, -1] = 1
     for i, ids in enumerate(held):
         at = place[ids]
         x[i, at[at >= 0]] = ratio[top][at[at >= 0]]
     share = np.array([totals[int(v)] / (y == v).sum() for v in y])
-    weights, bias = _logistic(x.astype(float), y, share / share.mean())
-    return Model(bias, top, weights * ratio[top])
+    weights = _logistic(x, y, share / share.mean())
+    return Model(float(weights[-1]), top, weights[:-1] * ratio[top])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -137,8 +144,5 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``key``, ``text`` and ``label`` of the rows with a label of 0 or 1 that are not held out. Null keys and labels take no part, null texts
-    are empty; a key with several texts or labels gives a row for each pair of them. Other columns, whatever their names, are not read."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("label_key"), F.col(label).alias("label"))
-    rows = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.join(known, rows["key"] == known["label_key"]).select("key", "text", "label")
+    """The rows of ``sample.labelled`` that are not held out; a null text is one without n-grams."""
+    return labelled(docs.where(~held_out(key)), labels, key, text, label)
