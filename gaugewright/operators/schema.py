@@ -81,11 +81,11 @@ def rendered_conversation(messages: Column) -> Column:
 
 
 def assemble_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Long rows become one row per conversation with its messages in order; system turns are dropped, other roles are an error.
+    """Long rows become one row per conversation with its messages in order; system turns are dropped, other roles, null too, are an error.
 
     A conversation is one row by definition, so its turns meet in one place; they are gathered by a partial aggregate."""
     kinds = F.when(F.col(role) == "user", "human").when(F.col(role) == "assistant", "ai").when(F.col(role) == "tool", "tool").otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(F.col(role), F.lit("null")))).cast("string"))
-    rows = turns.where(F.col(role) != "system").select(conv, F.struct(F.col(turn).alias("turn"), kinds.alias("type"), F.col(text).alias("content")).alias("m"))
+    rows = turns.where(~F.col(role).eqNullSafe("system")).select(conv, F.struct(F.col(turn).alias("turn"), kinds.alias("type"), F.col(text).alias("content")).alias("m"))
     gathered = rows.groupBy(conv).agg(F.array_sort(F.collect_list("m")).alias("ms"))
     none = F.lit(None)
     message = lambda m: F.struct(m["type"].alias("type"), m["content"].alias("content"), none.cast("string").alias("metadata"), none.cast(f"array<{TOOL_CALL}>").alias("tool_calls"))

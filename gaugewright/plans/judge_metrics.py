@@ -6,7 +6,7 @@ out of the table, or NaN: ``evaluate`` gives NaN to both.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +37,8 @@ PROMPTS: dict[str, Prompt] = {
         Prompt("accuracy_rating", "Rate how well the answer agrees with the reference: 4 fully, 2 in part, 0 not at all.", "rating int"),
         Prompt("relevance_rating", "Rate how much the context helps to answer the question: 2 fully, 1 in part, 0 not at all.", "rating int"),
         Prompt("groundedness_rating", "Rate how far the context supports the response: 2 fully, 1 in part, 0 not at all.", "rating int"),
+        Prompt("relevance_second", "You check what a search brought up. Could someone who knows only this context answer the question? Rate 0 if nothing in it bears on the question, 1 if it holds a part of the answer, 2 if all of it.", "rating int"),
+        Prompt("groundedness_second", "You check a claim against the evidence for it. Rate 2 if all of the claim follows from the evidence, 1 if a part does, 0 if none does or either is empty.", "rating int"),
         Prompt("topics", "List the topics that the person raised in the conversation.", "topics array<string>"),
         Prompt("topic_refused", "Say whether the assistant refused to deal with the topic.", "refused boolean"),
         Prompt("topic_match", "For each topic say whether it belongs to one of the reference topics.", "matches array<boolean>"),
@@ -88,12 +90,13 @@ def faithfulness_by_classifier(classifier: Callable[[], object]) -> Judged:
         rows = _statements(df, judge, "response", "s").select(key, _joined().alias("c"), F.explode("s").alias("st"))
 
         @F.pandas_udf("double")
-        def predicted(contexts: pd.Series, statements: pd.Series) -> pd.Series:
-            pairs = list(zip(contexts, statements, strict=True))
-            model, out = classifier(), []
-            for at in range(0, len(pairs), 10):
-                out += [float(round(x)) for x in model.predict(pairs[at : at + 10])]
-            return pd.Series(out, dtype=float)
+        def predicted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = classifier()  # once a task
+            for contexts, statements in batches:
+                pairs, out = list(zip(contexts, statements, strict=True)), []
+                for at in range(0, len(pairs), 10):
+                    out += [float(round(x)) for x in model.predict(pairs[at : at + 10])]
+                yield pd.Series(out, dtype=float)
 
         return reducers.supported_share(rows.select(key, predicted("c", "st").alias("verdict")), key)
 
@@ -110,12 +113,15 @@ def _context_precision(answer: str) -> Judged:
 
 
 def context_recall(generations: int = 1) -> Judged:
-    """Sentences of the reference by the contexts; with several generations, a sentence's verdict is the majority at its place."""
+    """Sentences of the reference by the contexts; with several generations, a sentence's verdict is the majority at its place, of equally
+    many the one that came first."""
 
     def metric(df: DataFrame, judge: Judge, key: str) -> DataFrame:
         out = judge.ask(df, PROMPTS["attribution"], n=generations, question=_c("user_input"), context=_joined(), answer=_c("reference"))
-        votes = _long(out.withColumn("v", _c("out.verdicts")), key, "v")
-        major = votes.groupBy(key, "stmt_pos").agg((F.avg("verdict") > 0.5).cast("int").alias("verdict"))
+        out = out if generations > 1 else out.withColumn("sample_no", F.lit(0))
+        votes = _long(out.withColumn("v", _c("out.verdicts")), key, "v", "sample_no")
+        kinds = votes.groupBy(key, "stmt_pos", "verdict").agg(F.count("*").alias("n"), F.min("sample_no").alias("first"))
+        major = kinds.groupBy(key, "stmt_pos").agg(F.max_by("verdict", F.struct("n", -F.col("first"))).alias("verdict"))
         return reducers.supported_share(major, key)
 
     return metric
@@ -203,14 +209,19 @@ def summary_score(length_penalty: bool = True, coeff: float = 0.5, compat: str =
     return metric
 
 
-def _two_judges(prompt: str, scale: float, first: dict[str, str], second: dict[str, str], shortcut: Callable[[], Column] | None, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> Judged:
-    """Two calls, the second with its inputs exchanged; a row that the shortcut decides is not asked."""
+def _two_judges(scale: float, first: tuple[str, dict[str, str]], second: tuple[str, dict[str, str]], shortcut: Callable[[], Column] | None, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> Judged:
+    """Two judges, each a prompt and its inputs; they differ in the prompt or have their inputs exchanged. A row that the shortcut decides is
+    not asked."""
 
     def metric(df: DataFrame, judge: Judge, key: str) -> DataFrame:
         rows = prepare(df).withColumn("_short", shortcut() if shortcut is not None else F.lit(None).cast("double"))
         asked = rows.where("_short is null")
-        ratings = [judge.ask(asked, PROMPTS[prompt], **{k: _c(c) for k, c in inputs.items()}).select(key, F.coalesce(_c("out.rating").cast("double"), F.lit(NAN)).alias("rating")) for inputs in (first, second)]
-        return reducers.dual_judge(ratings[0].unionByName(ratings[1]), scale, key).unionByName(rows.where("_short is not null").select(key, _c("_short").alias("score")))
+        ratings = []
+        for prompt, inputs in (first, second):
+            out = judge.ask(asked, PROMPTS[prompt], **{k: _c(c) for k, c in inputs.items()})
+            ratings.append(out.select(key, F.coalesce(_c("out.rating").cast("double"), F.lit(NAN)).alias("rating")))
+        decided = rows.where("_short is not null").select(key, _c("_short").alias("score"))
+        return reducers.dual_judge(ratings[0].unionByName(ratings[1]), scale, key).unionByName(decided)
 
     return metric
 
@@ -330,15 +341,24 @@ JUDGED: dict[str, tuple[list[str], Judged, tuple[str, ...]]] = {
     "noise_sensitivity": ([*QUESTION, "response", "reference"], noise_sensitivity(), ("single",)),
     "noise_sensitivity_irrelevant": ([*QUESTION, "response", "reference"], noise_sensitivity("irrelevant"), ("single",)),
     "summary_score": (["reference_contexts", "response"], summary_score(), ("single",)),
-    "nv_accuracy": (["user_input", "response", "reference"], _two_judges("accuracy_rating", 4, {"question": "user_input", "answer": "response", "reference": "reference"}, {"question": "user_input", "answer": "reference", "reference": "response"}, None), ("single",)),
+    "nv_accuracy": (
+        ["user_input", "response", "reference"],
+        _two_judges(
+            4,
+            ("accuracy_rating", {"question": "user_input", "answer": "response", "reference": "reference"}),
+            ("accuracy_rating", {"question": "user_input", "answer": "reference", "reference": "response"}),
+            None,
+        ),
+        ("single",),
+    ),
     "nv_context_relevance": (
         QUESTION,
-        _two_judges("relevance_rating", 2, *[{"question": "user_input", "context": "_ctx"}] * 2, lambda: reducers.context_relevance_shortcut(_c("user_input"), _c("_ctx")), _contexts_as_text),
+        _two_judges(2, *[(p, {"question": "user_input", "context": "_ctx"}) for p in ("relevance_rating", "relevance_second")], lambda: reducers.context_relevance_shortcut(_c("user_input"), _c("_ctx")), _contexts_as_text),
         ("single",),
     ),
     "nv_response_groundedness": (
         ["response", "retrieved_contexts"],
-        _two_judges("groundedness_rating", 2, *[{"response": "response", "context": "_ctx"}] * 2, lambda: reducers.groundedness_shortcut(_c("response"), _c("_ctx")), _contexts_as_text),
+        _two_judges(2, ("groundedness_rating", {"response": "response", "context": "_ctx"}), ("groundedness_second", {"claim": "response", "evidence": "_ctx"}), lambda: reducers.groundedness_shortcut(_c("response"), _c("_ctx")), _contexts_as_text),
         ("single",),
     ),
     "topic_adherence": (["user_input", "reference_topics"], topic_adherence(), ("multi",)),

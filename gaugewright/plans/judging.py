@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,18 +15,21 @@ from ..functions.text import json_span
 from ..sources.shared import written
 from .model import HashEmbedding, ModelClient
 from .prompts import FINISHED, Prompt
+from .replies import ReplyCache
 
 
 @dataclass(frozen=True)
 class Judge:
     """``factory`` makes the model's client in each task; a reply is a text, or (text, finish reason). ``retries`` for failed calls,
-    ``repairs`` for replies that are no answer. ``embedder`` makes the client of embeddings."""
+    ``repairs`` for replies that are no answer. ``embedder`` makes the client of embeddings. With a ``cache``, requests that it knows do not
+    go to the model, and answers (not errors) are added to it; a request is known by the model's name, the prompt and the generation."""
 
     factory: Callable[[], ModelClient]
     model: str = ""
     retries: int = 2
     repairs: int = 3
     embedder: Callable[[], HashEmbedding] = HashEmbedding
+    cache: ReplyCache | None = None
 
     def ask(self, df: DataFrame, prompt: Prompt, n: int = 1, into: str = "out", **inputs: Column) -> DataFrame:
         """``df`` with the parsed reply ``into`` (null with an ``error``) and, for several generations, ``sample_no``.
@@ -37,13 +40,24 @@ class Judge:
         number = F.col("sample_no") if n > 1 else F.lit(0)
         keyed = rows.withColumn("_hash", F.sha2(F.to_json(F.struct(F.lit(self.model).alias("m"), number.alias("n"), F.col("_prompt").alias("p"))).cast("binary"), 256))
 
+        bare = replace(self, cache=None)  # what goes to the tasks
+
         def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            client = self.factory()
+            client = bare.factory()
             for pdf in frames:
-                replies, errors = self._replies(client, pdf["_prompt"].tolist(), prompt)
+                replies, errors = bare._replies(client, pdf["_prompt"].tolist(), prompt)
                 yield pd.DataFrame({"_hash": pdf["_hash"], "reply": replies, "error": errors})
 
-        answers = written(keyed.select("_hash", "_prompt").dropDuplicates(["_hash"]).mapInPandas(call, "_hash string, reply string, error string"), "replies")
+        requests = keyed.select("_hash", "_prompt").dropDuplicates(["_hash"])
+        known = None
+        if self.cache is not None:
+            requests = written(requests, "requests")
+            known = written(self.cache.read().join(requests.select(F.col("_hash").alias("key")), "key", "left_semi").select(F.col("key").alias("_hash"), "reply"), "known")
+            requests = requests.join(known, "_hash", "left_anti")
+        answers = written(requests.mapInPandas(call, "_hash string, reply string, error string"), "replies")
+        if known is not None:
+            self.cache.put(answers.where("error IS NULL").select(F.col("_hash").alias("key"), "reply"))
+            answers = answers.unionByName(known.withColumn("error", F.lit(None).cast("string")))
         parsed = answers.select("_hash", F.when(F.col("error").isNull(), prompt.parse(F.col("reply"))).alias(into), "error")
         kept = keyed.drop("_prompt", *(c for c in ("error", into) if c in df.columns))
         return kept.join(parsed, "_hash", "left").drop("_hash")
@@ -132,6 +146,8 @@ RULES: dict[str, Callable[[dict], dict]] = {
     "quiz_answers": lambda g: {"answers": [str(int(q[3:-7] in g["summary"].replace(".", " ").split())) for q in g["questions"]]},
     "accuracy_rating": lambda g: {"rating": _rating(4, g["answer"], g["reference"])},
     "relevance_rating": lambda g: {"rating": 2 if set(g["question"].lower().split()) & set(g["context"].lower().split()) else 0},
+    "relevance_second": lambda g: RULES["relevance_rating"](g),
+    "groundedness_second": lambda g: RULES["groundedness_rating"]({"context": g["evidence"], "response": g["claim"]}),
     "groundedness_rating": lambda g: {"rating": 2 if all(w in g["context"] for w in g["response"].split()) else 1 if any(w in g["context"] for w in g["response"].split()) else 0},
     "topics": lambda g: {"topics": sorted({x[7:].split()[0].lower() for x in g["conversation"].split("\n") if x.startswith("Human: ") and x[7:].split()})},
     "topic_refused": lambda g: {"refused": any("cannot" in x for x in g["conversation"].split("\n") if x.startswith("AI: "))},

@@ -26,7 +26,8 @@ def zipped_rows(df: DataFrame, **arrays: str) -> DataFrame:
 
 
 def agent_messages(rows: DataFrame, conv: str, turn: str, role: str, content: str, calls: str | None = None) -> DataFrame:
-    """Messages of an agent framework in long form as one conversation per row. System messages go; tool arguments come as JSON."""
+    """Messages of an agent framework in long form as one conversation per row. System messages go, an unknown or null role
+    is an error; tool arguments come as JSON."""
     kind = F.when(F.col(role).isin("human", "user"), "human").when(F.col(role).isin("ai", "assistant"), "ai").when(F.col(role) == "tool", "tool")
     kind = F.coalesce(kind, F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(F.col(role), F.lit("null")))).cast("string"))
     made = F.lit(None).cast(f"array<{TOOL_CALL}>")
@@ -34,7 +35,7 @@ def agent_messages(rows: DataFrame, conv: str, turn: str, role: str, content: st
         parsed = F.from_json(F.col(calls), "array<struct<name: string, arguments: string>>")
         made = F.transform(parsed, lambda c: F.struct(c["name"].alias("name"), F.from_json(c["arguments"], "map<string,string>").alias("args")))
     message = F.struct(F.col(turn).alias("turn"), kind.alias("type"), F.col(content).alias("content"), F.lit(None).cast("string").alias("metadata"), made.alias("tool_calls"))
-    ordered = rows.where(F.col(role) != "system").groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn), F.to_json(message).alias("m")))).alias("ms"))
+    ordered = rows.where(~F.col(role).eqNullSafe("system")).groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn), F.to_json(message).alias("m")))).alias("ms"))
     schema = f"array<struct<type: string, content: string, metadata: string, tool_calls: array<{TOOL_CALL}>>>"
     return ordered.select(conv, F.from_json(F.concat(F.lit("["), F.array_join("ms.m", ","), F.lit("]")), schema).alias("user_input"))
 
