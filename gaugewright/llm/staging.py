@@ -1,5 +1,5 @@
 """The library's helpers for written tables, under the name that the operators here use."""
 
-from ..sources.shared import forget, fresh, new_path, shared_dir, written
+from ..sources.shared import forget, forget_new, fresh, new_path, shared_dir, tables, written
 
 __all__ = ["forget", "fresh", "new_path", "shared_dir", "written"]
