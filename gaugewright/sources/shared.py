@@ -62,6 +62,21 @@ def forget_all(spark: SparkSession) -> int:
     return gone
 
 
+def tables() -> frozenset[str]:
+    """The paths of the tables that ``written`` has left so far."""
+    return frozenset(_TABLES)
+
+
+def forget_new(spark: SparkSession, before: frozenset[str], *kept: DataFrame) -> int:
+    """Delete the tables that were written since ``before`` was taken, but for the ``kept`` ones: for the end of a step whose result is written."""
+    stay = before | {getattr(df, "_written_path", None) for df in kept}
+    gone = [path for path in _TABLES if path not in stay]
+    for path in gone:
+        _TABLES.remove(path)
+        _delete(spark, path)
+    return len(gone)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
