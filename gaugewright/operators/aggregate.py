@@ -68,9 +68,18 @@ USAGE_PATHS = {
 
 
 def parsed_usage(reply: Column, provider: str) -> Column:
-    """struct(input_tokens, output_tokens, model) of a provider's reply in JSON; a missing count is 0, a missing model empty."""
-    found = [F.coalesce(*[F.get_json_object(reply, f"$.{p}") for p in paths]) for paths in USAGE_PATHS[provider]]
-    return F.struct(F.coalesce(found[0].cast("long"), F.lit(0)).alias("input_tokens"), F.coalesce(found[1].cast("long"), F.lit(0)).alias("output_tokens"), F.coalesce(found[2], F.lit("")).alias("model"))
+    """struct(input_tokens, output_tokens, model) of a provider's reply in JSON, which is parsed once, as a VARIANT; a missing count is 0, a
+    missing model empty, as is all of a reply that is null or no JSON."""
+    taken, given, name = USAGE_PATHS[provider]
+
+    def found(v: Column, paths: tuple[str, ...], kind: str, default: Column) -> Column:
+        return F.coalesce(*[F.try_variant_get(v, f"$.{p}", kind) for p in paths], default)
+
+    def usage(v: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(found(v, taken, "long", zero).alias("input_tokens"), found(v, given, "long", zero).alias("output_tokens"), found(v, name, "string", F.lit("")).alias("model"))
+
+    return F.get(F.transform(F.array(F.try_parse_json(reply)), usage), F.lit(0))
 
 
 def mse(pred: Column, actual: Column, reduction: str = "mean") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,12 @@ def valid_conversation(messages: Column) -> Column:
     return known & follows & (F.coalesce(F.get(messages, F.lit(0))["type"], F.lit("")) != "tool")
 
 
+def ai_seen_before(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", into: str = "ai_seen") -> DataFrame:
+    """``turns`` with ``into``: whether a message of the assistant comes before in the conversation. Tool messages without it are at fault."""
+    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn(into, F.coalesce(F.max(F.coalesce(F.col(role).isin("assistant", "ai"), F.lit(False))).over(before), F.lit(False)))
+
+
 def rendered_conversation(messages: Column) -> Column:
     """``Human: …``, ``AI: …`` with its tools, ``ToolOutput: …``, one per line."""
 

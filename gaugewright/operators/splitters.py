@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from .graph import Graph
+from .tokens import _tokenizer
 
 
 def window_chunks(docs: DataFrame, size: int, key: str = "id", text: str = "text") -> DataFrame:
@@ -18,39 +18,82 @@ def window_chunks(docs: DataFrame, size: int, key: str = "id", text: str = "text
     return cut.select(key, "pos", F.array_join(F.slice("_w", F.col("_at") + 1, size), " ").alias("chunk"))
 
 
-def _adjusted(chunks: list[str], least: int, most: int) -> list[str]:
-    """Cut chunks over ``most`` words, then join chunks under ``least`` words to what follows."""
-    parts = []
-    for c in chunks:
-        w = c.split()
-        parts += [" ".join(w[i : i + most]) for i in range(0, len(w), most)]
-    out, held, n = [], [], 0
-    for p in parts:
-        held.append(p)
-        n += len(p.split())
-        if n >= least:
-            out.append(" ".join(held))
-            held, n = [], 0
-    if held:
-        out[-1:] = [" ".join([*out[-1:], *held])]
-    return out
+def _evened(chunks: list[str], least: int, most: int) -> list[str]:
+    """Parts of ``most`` words are cut off what is longer; what is below ``least`` words is held back and joined to what comes next, unless
+    that is long enough alone."""
+    out, held = [], ""
+    for chunk in chunks:
+        w = chunk.split()
+        cut = most * max(0, (len(w) - 1) // most)
+        if cut:
+            out += [" ".join(w[i : i + most]) for i in range(0, cut, most)]
+            chunk, w = " ".join(w[cut:]), w[cut:]
+        if len(w) >= least:
+            out += [held, chunk] if held else [chunk]
+            held = ""
+        elif held:
+            held += f" {chunk}"
+            if len(held.split()) >= least:
+                out.append(held)
+                held = ""
+        else:
+            held = chunk
+    return [*out, held] if held else out
 
 
-def headline_chunks(docs: DataFrame, least: int = 300, most: int = 1000, key: str = "id", text: str = "text", headlines: str = "headlines") -> DataFrame:
-    """(key, pos, chunk): a text cut where its headlines first occur, in the order of their places, then evened out. A text of
-    fewer than ``least`` words, or one without headlines, stays one chunk."""
+class HeadlineChunks:
+    """A text cut where its headlines first occur, one after the other as they are listed, then evened out by words. One of fewer than
+    ``least`` words, or without headlines, stays one chunk; a null text is empty."""
+
+    def eval(self, text: str, headlines: list[str], least: int, most: int):  # noqa: ANN201
+        text = text or ""
+        chunks = [text]
+        if len(text.split()) >= least and headlines:
+            places = [0, *(at for h in headlines if h and (at := text.find(h)) >= 0), len(text)]
+            chunks = _evened([text[a:b] for a, b in zip(places, places[1:], strict=False)], least, most)
+        yield from enumerate(chunks)
+
+
+class WordWindows:
+    """Windows of ``size`` words of a text; one without words has none."""
+
+    def eval(self, text: str, size: int):  # noqa: ANN201
+        w = (text or "").split()
+        for pos, at in enumerate(range(0, len(w), size)):
+            yield pos, " ".join(w[at : at + size])
+
+
+class TokenWindows:
+    """Windows of ``size`` tokens of a text, which share ``overlap``, by the tokenizer in the file ``path``. The cuts lie at tokens' places in the
+    text, so windows without overlap give the text back; an empty text has none."""
 
-    def chunks(t: str | None, heads: list[str] | None) -> list[str]:
-        if not t or len(t.split()) < least:
-            return [t or ""]
-        places = sorted({0, *(at for h in heads if h and (at := t.find(h)) > 0)} if heads is not None else {0})
-        return _adjusted([t[a:b] for a, b in zip(places, [*places[1:], len(t)], strict=True)], least, most)
+    def eval(self, text: str, path: str, size: int, overlap: int):  # noqa: ANN201
+        if not 0 <= overlap < size:
+            raise ValueError("the overlap must be less than the size")
+        at = [a for a, _ in _tokenizer(path).encode(text, add_special_tokens=False).offsets] if text else []
+        for pos, i in enumerate(range(0, max(1, len(at) - overlap), size - overlap) if text else ()):
+            yield pos, text[at[i] if i else 0 : at[i + size] if i + size < len(at) else len(text)]
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([chunks(t, h) for t, h in zip(texts, heads, strict=True)])
 
-    return docs.select(key, F.posexplode(cut(F.col(text), F.col(headlines))).alias("pos", "chunk"))
+#: Table functions by their names in SQL: ``SELECT … FROM docs, LATERAL headline_chunks(text, headlines, 300, 1000)``.
+SPLITTERS = {"headline_chunks": HeadlineChunks, "word_windows": WordWindows, "token_windows": TokenWindows}
+
+
+def table_function(name: str):  # noqa: ANN201
+    """A splitter for lateral joins: its arguments are columns, those of the other side as ``.outer()``; it gives ``pos`` and ``chunk``."""
+    return F.udtf(SPLITTERS[name], returnType="pos int, chunk string", useArrow=True)
+
+
+def register_splitters(spark: SparkSession) -> None:
+    """Make the splitters known to the session's SQL."""
+    for name in SPLITTERS:
+        spark.udtf.register(name, table_function(name))
+
+
+def headline_chunks(docs: DataFrame, least: int = 300, most: int = 1000, key: str = "id", text: str = "text", headlines: str = "headlines") -> DataFrame:
+    """(key, pos, chunk) of ``HeadlineChunks``."""
+    cut = table_function("headline_chunks")(F.col("_text").outer(), F.col("_heads").outer(), F.lit(least), F.lit(most))
+    return docs.select(key, F.col(text).alias("_text"), F.col(headlines).alias("_heads")).lateralJoin(cut).select(key, "pos", "chunk")
 
 
 def chunk_graph(chunks: DataFrame, key: str = "id") -> Graph:

@@ -28,19 +28,10 @@ def token_count(text: Column, path: str) -> Column:
 
 
 def token_windows(df: DataFrame, path: str, size: int, overlap: int = 0, text: str = "text") -> DataFrame:
-    """``df`` with ``pos`` and ``chunk``: each text cut into windows of ``size`` tokens that share ``overlap``; the cuts lie at
-    tokens' places in the text, so windows without overlap give the text back. Empty and null texts have no window."""
+    """``df`` with ``pos`` and ``chunk`` of ``splitters.TokenWindows``."""
+    from .splitters import table_function
+
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            at = [a for a, _ in _tokenizer(path).encode(t, add_special_tokens=False).offsets] if t else []
-            starts = range(0, max(1, len(at) - overlap), size - overlap) if t else []
-            ends = lambda i: at[i + size] if i + size < len(at) else len(t)  # noqa: B023, E731
-            out.append([t[at[i] if i else 0 : ends(i)] for i in starts])
-        return pd.Series(out)
-
-    return df.select("*", F.posexplode(cut(F.col(text))).alias("pos", "chunk"))
+    cut = table_function("token_windows")(F.col(text).outer(), F.lit(path), F.lit(size), F.lit(overlap))
+    return df.lateralJoin(cut)

@@ -93,17 +93,54 @@ def executed(spark, query: str) -> tuple[bool, DataFrame | str]:  # noqa: ANN001
         return False, str(e).split("\n")[0]
 
 
-def same_result(a: DataFrame, b: DataFrame, tolerance: float = 1e-10) -> bool:
-    """Whether two results hold the same rows, repeats counted, numbers within a tolerance; names and order do not matter."""
-    if len(a.columns) != len(b.columns):
-        return False
-    places = 9 if tolerance <= 1e-9 else 6
+_NUMBERS = ("double", "float", "decimal", "int", "bigint", "smallint", "tinyint")
+
 
-    def keyed(df: DataFrame, sign: int) -> DataFrame:
-        cols = [F.round(c.cast("double"), places).cast("string") if t in ("double", "float") or t.startswith(("decimal", "int", "bigint")) else c.cast("string") for c, t in ((df[i], df.dtypes[i][1]) for i in range(len(df.columns)))]
-        return df.select(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])).alias("row"), F.lit(sign).alias("sign"))
+def same_result(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, relative: float = 1e-10) -> bool:
+    """Whether two results hold the same rows, repeats counted; names and order do not matter. Two numbers are the same if they lie within
+    ``tolerance + relative * |b|`` of each other, NaN and null only if both are so; all other values if they are equal as text.
 
-    return keyed(a, 1).union(keyed(b, -1)).groupBy("row").agg(F.sum("sign").alias("s")).where("s <> 0").limit(1).count() == 0
+    Rows that agree in all that is no number meet; their numbers are swept in order, column by column, and a gap beyond the tolerances
+    parts them. What then is together is matched in its order. So the rows of one answer that agree in their texts are sorted in
+    one task, as many as there may be."""
+    if len(a.columns) != len(b.columns):
+        return False
+    kinds = [[t for _, t in df.dtypes] for df in (a, b)]
+    numeric = [i for i in range(len(a.columns)) if all(k[i].startswith(_NUMBERS) for k in kinds)]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        values = {f"v{i}": F.col(f"c{i}").cast("double") for i in numeric}
+        finite = {k: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) for k, v in values.items()}
+        exact = [F.when(finite[f"v{i}"], F.lit("#")).otherwise(values[f"v{i}"].cast("string")) if i in numeric else F.col(f"c{i}").cast("string") for i in range(len(df.columns))]
+        text = F.to_json(F.struct(*[e.alias(f"e{i}") for i, e in enumerate(exact)]), {"ignoreNullFields": "false"})
+        return df.select(F.sha2(text.cast("binary"), 256).alias("g"), *[F.when(finite[k], v).otherwise(0.0).alias(k) for k, v in values.items()], F.lit(name).alias("side"))
+
+    both = written(side(a, "a").unionByName(side(b, "b")), "results")
+    uneven = both.groupBy("g").agg(F.sum(F.when(F.col("side") == "a", 1).otherwise(-1)).alias("d")).where("d <> 0")
+    if not uneven.isEmpty():
+        return False
+    together = ["g"]
+    for i in numeric:
+        w = Window.partitionBy(*together).orderBy(f"v{i}")
+        last = F.lag(f"v{i}").over(w)
+        parts = F.col(f"v{i}") - last > tolerance + relative * F.greatest(F.abs(last), F.abs(f"v{i}"))
+        both = both.withColumn("_new", F.coalesce(parts, F.lit(False)).cast("int"))
+        both = both.withColumn(f"k{i}", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        together.append(f"k{i}")
+    values = [f"v{i}" for i in numeric]
+    place = F.row_number().over(Window.partitionBy(*together, "side").orderBy(*(values or [F.lit(0)])))
+    ranked = written(both.withColumn("n", place), "ranked")
+    x = ranked.where("side = 'a'").select(*together, "n", *values)
+    y = ranked.where("side = 'b'").select(*together, "n", *[F.col(v).alias(f"w{v}") for v in values])
+    pairs = x.join(y, [*together, "n"], "full_outer")
+    near = F.lit(True)
+    for v in values:
+        near = near & (F.abs(F.col(v) - F.col(f"w{v}")) <= tolerance + relative * F.abs(f"w{v}"))
+    alone = F.lit(False)
+    for v in values:
+        alone = alone | F.col(v).isNull() | F.col(f"w{v}").isNull()
+    return pairs.where(alone | ~near).isEmpty()
 
 
 def compared_tables(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
