@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 NAN = float("nan")
 
 
@@ -125,7 +127,7 @@ def frequent_items(items: DataFrame, item: str, share: float = 0.05) -> DataFram
     """The commonest ``share`` of the different items (one at least) with their counts; of equals the smaller item.
 
     The cutoff is a count: items above it are kept without ranking, and of those at it the smallest, by one sort with a limit."""
-    counts = items.groupBy(item).agg(F.count("*").alias("n"))
+    counts = written(items.groupBy(item).agg(F.count("*").alias("n")), "counts")
     sizes = counts.groupBy("n").agg(F.count("*").alias("k"))  # one row for each different count
     ranked = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.withColumn("most", F.greatest(F.lit(1), F.floor(F.sum("k").over(Window.partitionBy()) * share)))

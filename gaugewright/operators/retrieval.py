@@ -16,11 +16,13 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def wanted_tokens(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, len, token, n) of the documents' tokens that are among ``terms`` (column token), with the document's length; written, so
-    that no text is taken apart again."""
+    """(key, len, token, n) of the documents' tokens that are among ``terms`` (column token), with the document's length; each document with a
+    token also has a row of the empty token, by which documents are counted. Written, so that no text is taken apart again."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = docs.select(F.col(key), found.alias("_f")).select(key, F.size("_f").alias("len"), F.explode("_f").alias("token"))
-    return written(rows.join(terms.select("token").distinct(), "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("n")), "tokens")
+    rows = docs.select(F.col(key), found.alias("_f")).where(F.size("_f") > 0)
+    rows = rows.select(key, F.size("_f").alias("len"), F.explode(F.array_append("_f", F.lit(""))).alias("token"))
+    wanted = terms.select("token").union(terms.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    return written(rows.join(wanted, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("n")), "tokens")
 
 
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
@@ -36,8 +38,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     to the smaller document. Only the queries' terms leave the texts."""
     q = written(tokens(queries, query, text), "terms").select(query, "token", F.col("n").alias("qn"))
     d = wanted_tokens(docs, q, doc, text)
-    length = F.size(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
-    size = docs.select(length.alias("len")).where("len > 0").agg(F.count("*").alias("N"), F.avg("len").alias("avg")).first()
+    size = d.where("token = ''").agg(F.count("*").alias("N"), F.avg("len").alias("avg")).first()
     wanted = q.join(d.groupBy("token").agg(F.count("*").alias("df")), "token")
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / (size["avg"] or 1.0)))
     idf = F.log(1 + (size["N"] - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -64,6 +64,13 @@ def global_rank(df: DataFrame, order: Column, key: str, by: str | None = None) -
     return ranked.withColumn("_rank", (F.col("_in") + F.col("_before")).cast("long")).drop("_order", "_by", "_bucket", "_by2", "_bucket2", "_before", "_in")
 
 
+def class_shares(df: DataFrame, label: str) -> DataFrame:
+    """``label``, ``n`` and ``share``: how many rows each class has, null as one of them, and its part of all."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def train_test_split(df: DataFrame, test_size: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The first int(n * (1 - test_size)) rows of the shuffled table, and the others."""
     ranked = global_rank(df, shuffled(key, seed), key)

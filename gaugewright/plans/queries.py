@@ -578,7 +578,7 @@ def text_helpers(spark: SparkSession, d: str) -> DataFrame:
 
 def _more() -> None:
     """The queries of other modules register themselves."""
-    from . import dataset_queries, judge_queries, record_queries  # noqa: F401
+    from . import dataset_queries, judge_queries, record_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
