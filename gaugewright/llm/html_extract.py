@@ -1,9 +1,9 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The block elements of a page form a tree. Each is main text or not; the potential of a parent and its child depends on the child's tag,
-and each element's class names, text length and link share are evidence. Sum-product messages go up and then down the
-tree and give every element its marginal. The potentials are counts from labelled pages. Blocks of text whose element is
-more likely main text than not are the result.
+and each element's class names, text length, link share and place among its siblings are evidence. Sum-product messages go up and
+then down the tree and give every element its marginal. The potentials are counts from labelled pages. Blocks of text whose element
+is more likely main text than not are the result; what a page hides, and all below it, is never main text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .html_samples import labelled_pages
 # HTML's void, inline and hidden elements.
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()}
-HIDDEN = {*"script style noscript template textarea title iframe svg math select button canvas audio video object datalist".split()}
+HIDDEN = {*"script style noscript template textarea title iframe svg math select button canvas audio video object datalist dialog".split()}
 #: Controls that pages leave open: without an end tag of their own they end at a block.
 CONTROLS = {t: re.compile(rf"<(/?){t}\b", re.IGNORECASE) for t in ("select", "button")}
 IN_CONTROL = {"option", "optgroup"}
@@ -42,6 +42,13 @@ SCOPES = {"ul", "ol", "dl", "table", "select"}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: What hides an element: ``hidden`` by itself, or these values.
+_HIDES = re.compile(r"(?:^|\s)(?:hidden(?=[\s/]|\Z)|hidden\s*=|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.IGNORECASE)
+_MAY_HIDE = re.compile("hidden|display|visibility", re.IGNORECASE)
+_QUOTED = re.compile(r"(?<![\w-])(?!style\b)[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.IGNORECASE)
+HEADINGS = {*"h1 h2 h3 h4 h5 h6".split()}
+#: Elements that articles and lists of comments alike are made of.
+WRAPPERS = {*"div section article aside ul ol dl li dd details blockquote".split()}
 _LABEL = re.compile(r'data-main="([01])"')
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -56,6 +63,7 @@ class Page:
     labels: list[int | None] = field(default_factory=lambda: [None])
     own: list[int] = field(default_factory=lambda: [0])  # characters of text of its own
     linked: list[int] = field(default_factory=lambda: [0])  # of these, inside links
+    hidden: list[bool] = field(default_factory=lambda: [False])  # by itself or by an element around it
     blocks: list[tuple[int, str]] = field(default_factory=list)  # element, text
 
 
@@ -166,6 +174,8 @@ def parse(source: str | None) -> Page:
                     label = int(value)
                 else:
                     names += ["role" + value.lower()] if name.lower() == "role" else [t.lower() for t in _TOKEN.findall(value)]
+        hides = bool(attrs) and _MAY_HIDE.search(attrs) is not None and _hides(attrs)
+        page.hidden.append(hides or page.hidden[stack[-1]])
         page.parents.append(stack[-1])
         stack.append(len(page.tags))
         page.tags.append(tag)
@@ -179,8 +189,43 @@ def parse(source: str | None) -> Page:
     return page
 
 
+def _hides(attrs: str) -> bool:
+    """Whether attributes hide their element; the other attributes' values do not count."""
+    aria = re.search(r"aria-hidden\s*=\s*[\"']?true", attrs, re.IGNORECASE)
+    return bool(aria or _HIDES.search(" " + _QUOTED.sub(" ", attrs)))
+
+
+def _places(page: Page) -> list[list[str]]:
+    """What an element's place tells. ``twin``: a wrapper without a heading of its own beside another that begins alike, as comments and teasers
+    are; ``around``: one that holds such; ``tail``: a wrapper after the last paragraph of its parent, where there are paragraphs."""
+    children: list[list[int]] = [[] for _ in page.tags]
+    for i in range(1, len(page.tags)):
+        children[page.parents[i]].append(i)
+    out: list[list[str]] = [[] for _ in page.tags]
+    for i, own in enumerate(children):
+        if not own:
+            continue
+        shapes: dict[tuple, list[int]] = defaultdict(list)
+        for c in own:
+            inside = [page.tags[x] for x in children[c]]
+            if page.tags[c] in WRAPPERS and inside and not HEADINGS & set(inside):
+                shapes[page.tags[c], inside[0]].append(c)
+        twins = [c for same in shapes.values() if len(same) > 1 for c in same]
+        for c in twins:
+            out[c].append("place twin")
+        if twins and i:
+            out[i].append("place around")
+        paragraphs = [c for c in own if page.tags[c] == "p" and page.own[c]]
+        if paragraphs:
+            for c in own:
+                if c > paragraphs[-1] and page.tags[c] in WRAPPERS:
+                    out[c].append("place tail " + ("list" if page.tags[c] in ("ul", "ol", "dl") else "headed" if HEADINGS & {page.tags[x] for x in children[c]} else "plain"))
+    return out
+
+
 def evidence(page: Page) -> list[list[str]]:
-    """Of each element: its class names, the length of its own text, and the share of links in the text below it."""
+    """Of each element: its class names, the length of its own text, the share of links in the text below it, and its place."""
+    places = _places(page)
     below, linked = page.own.copy(), page.linked.copy()
     for i in range(len(below) - 1, 0, -1):
         below[page.parents[i]] += below[i]
@@ -192,7 +237,7 @@ def evidence(page: Page) -> list[list[str]]:
             seen.append(f"own {min(6, page.own[i].bit_length() // 2)}")
         if below[i]:
             seen.append(f"links {4 * linked[i] // below[i]}")
-        out.append(seen)
+        out.append(seen + places[i])
     return out
 
 
@@ -208,7 +253,7 @@ class Model:
         """Sum-product: messages from the leaves to the root, then from the root to the leaves."""
         n = len(page.tags)
         pairs = [self.pair.get(t, self.rare) for t in page.tags]
-        odds = [max(-9.0, min(9.0, sum(self.odds.get(e, 0.0) for e in seen))) for seen in evidence(page)]
+        odds = [-9.0 if gone else max(-9.0, min(9.0, sum(self.odds.get(e, 0.0) for e in seen))) for gone, seen in zip(page.hidden, evidence(page), strict=True)]
         # up[i]: evidence at and below i for each state; message[i]: what i says to its parent's states
         up = [[1.0, exp(x)] for x in odds]
         message = [(1.0, 1.0)] * n
@@ -258,13 +303,14 @@ def train(pages: Iterable[str]) -> Model:
             total[y] += 1
             for e in features[i]:
                 seen[e][y] += 1
-                if not e.startswith("name "):
+                if not e.startswith(("name ", "place ")):
                     kinds[e.split()[0]][y] += 1
     odds = {}
     for e, (a, b) in seen.items():
-        base = total if e.startswith("name ") else kinds[e.split()[0]]
+        alone = e.startswith(("name ", "place "))
+        base = total if alone else kinds[e.split()[0]]
         # lengths and link shares of neighbours go together: they count for less
-        odds[e] = (log(b / base[1]) - log(a / base[0])) * (1.0 if e.startswith("name ") else 0.75)
+        odds[e] = (log(b / base[1]) - log(a / base[0])) * (1.0 if alone else 0.75)
     rare = (pooled[0][1] / sum(pooled[0]), pooled[1][1] / sum(pooled[1]))
     # a tag's own counts, and the pooled chance as one more
     chance = {t: ((c[0][1] + rare[0]) / (sum(c[0]) + 1), (c[1][1] + rare[1]) / (sum(c[1]) + 1)) for t, c in pair.items()}
@@ -274,7 +320,7 @@ def train(pages: Iterable[str]) -> Model:
 def main_text(source: str | None, model: Model) -> str:
     page = parse(source)
     belief = model.marginals(page)
-    return "\n\n".join(text for i, text in page.blocks if belief[i] > 0.5)
+    return "\n\n".join(text for i, text in page.blocks if belief[i] > 0.5 and not page.hidden[i])
 
 
 def extract(pages: DataFrame, model: Model | None = None, page_html: str = "html", into: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Labelled pages for the HTML extractor: layouts drawn from a seed, every element marked as main text or not.
 
 The attribute ``data-main`` holds the label. The words are invented; what the pages teach is structure: which elements, class names,
-lengths and link shares go with main text, and how labels pass from parent to child.
+lengths, link shares and places go with main text, and how labels pass from parent to child. Three names in ten are invented
+too, so that structure has to do where a name tells nothing.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class _Pages:
         r = self.r
         if r.random() > chance:
             return ""
-        name = r.choice(names.split())
+        name = r.choice(names.split()) if r.random() > 0.3 else "".join(r.choice(_WORDS) for _ in range(3))
         return f' {r.choice(("class", "class", "id"))}="{name}"'
 
     def el(self, tag: str, y: int, inner: str, attrs: str = "") -> str:
@@ -66,10 +67,28 @@ class _Pages:
         return self.el(r.choice(tags.split()), 0, body, self.named(names, chance))
 
     def comments(self) -> str:
+        """Readers' comments: a heading, then two or more of the same make, with or without names."""
         r = self.r
         tag = r.choice(("li", "div", "li", "div", "li", "div", "article"))
-        each = "".join(self.el(tag, 0, self.el("p", 0, self.words(3, r.choice((20, 60, 200)))), self.named(COMMENT_NAMES, 0.8 if tag != "article" else 1)) for _ in range(r.randint(1, 5)))
-        return self.el(r.choice(("section", "div", "ol")), 0, self.el("h3", 0, self.words(1, 3)) + each, self.named(COMMENT_NAMES, 1))
+        names = r.random() < 0.6
+        head = r.choice((lambda: "", lambda: f"<b>{self.words(1, 2)}</b> <time>{self.words(1, 2)}</time>", lambda: self.el("div", 0, self.words(1, 3)), lambda: f"<cite>{self.words(1, 2)}</cite>"))
+        longest = r.choice((12, 20, 60, 200))
+
+        def one(replies: bool = True) -> str:
+            text = self.words(3, longest)
+            body = head() + (self.el("p", 0, text) if r.random() < 0.75 or tag != "li" else text)
+            if replies and r.random() < 0.15:
+                answers = "".join(one(False) for _ in range(r.randint(1, 2)))
+                body += self.el(r.choice(("ul", "ol")), 0, answers) if tag == "li" else answers
+            return self.el(tag, 0, body, self.named(COMMENT_NAMES, 0.8) if names else "")
+
+        each = "".join(one() for _ in range(r.randint(1, 6)))
+        if tag == "li" and r.random() < 0.6:
+            each = self.el(r.choice(("ul", "ol")), 0, each)
+        title = self.el(r.choice(("h2", "h3", "h4")), 0, self.words(1, 5)) if r.random() < 0.8 else ""
+        if r.random() < 0.2:
+            each += self.el("form", 0, self.words(1, 4))
+        return self.el(r.choice(("section", "div", "div")), 0, title + each, self.named(COMMENT_NAMES, 1 if names else 0.3))
 
     def extras(self) -> str:
         r = self.r
@@ -108,16 +127,25 @@ class _Pages:
             return self.el("pre", 1, self.words(4, 40))
         if x < 0.94:
             return self.el("table", 1, "".join(self.el("tr", 1, "".join(self.el("td", 1, self.words(1, 4)) for _ in range(3))) for _ in range(3)))
-        return self.el(r.choice(("div", "section")), 1, self.para(1) + self.para(1), self.named(PLAIN_NAMES, 0.3))
+        head = self.el(r.choice(("h2", "h3")), 1, self.words(1, 8)) if r.random() < 0.5 else ""
+        body = "".join(self.para(1) if r.random() < 0.8 else self.el("ul", 1, "".join(self.el("li", 1, self.words(2, 25)) for _ in range(r.randint(2, 5)))) for _ in range(r.randint(1, 4)))
+        return self.el(r.choice(("div", "section")), 1, head + body, self.named(PLAIN_NAMES, 0.3))
 
     def main(self) -> str:
         r = self.r
         inner = self.el("h1", 1, self.words(2, 12)) if r.random() < 0.8 else ""
-        brief = r.random() < 0.2  # some articles are a few words
+        if inner and r.random() < 0.15:
+            inner = self.el("header", 1, inner)
+        brief = r.random() < 0.3  # some articles are a few words
+        longest = r.choice((2, 4, 8))
         for _ in range(r.randint(1, 9)):
-            inner += self.el("p", 1, self.words(1, 8)) if brief else self.block()
+            inner += self.el("p", 1, self.words(1, longest)) if brief else self.block()
             if r.random() < 0.12:
                 inner += self.extras()
+        if r.random() < 0.12:
+            inner += self.comments()
+        elif r.random() < 0.1:
+            inner += self.side("div section p", NOTICE_NAMES, 1)
         kind = r.random()
         if kind < 0.08:
             return inner
@@ -140,6 +168,6 @@ class _Pages:
         return f'<html data-main="0"><body data-main="{int(bare)}">{before}{body}{after}</body></html>'
 
 
-def labelled_pages(n: int = 1200, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 2000, seed: int = 11) -> list[str]:
     pages = _Pages(seed)
     return [pages.page() for _ in range(n)]

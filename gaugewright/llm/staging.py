@@ -2,4 +2,4 @@
 
 from ..sources.shared import forget, forget_new, fresh, new_path, shared_dir, tables, written
 
-__all__ = ["forget", "fresh", "new_path", "shared_dir", "written"]
+__all__ = ["forget", "forget_new", "fresh", "new_path", "shared_dir", "tables", "written"]

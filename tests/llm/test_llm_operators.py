@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import hand_written
 from gaugewright.llm import bpe, components, html_extract, html_samples, langid, packing, quality_classifier, quality_rules, queries, sharding, simhash, staging, topk_search, url_filter
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -826,6 +827,21 @@ def test_html_unclosed_and_cut_off(html_model, page):
     assert html_extract.main_text(page, html_model) == "Head\n\nSome words of the text"
 
 
+@pytest.mark.parametrize("name", hand_written.PAGES)
+def test_html_of_hand_written_layouts(html_model, name):
+    source, want = hand_written.PAGES[name]
+    assert html_extract.main_text(source, html_model) == want
+
+
+def test_html_ties_and_repeated_rows(spark):
+    """A belief of one half is no main text; repeated rows come back as often, each with its own columns."""
+    level = html_extract.Model({}, (0.5, 0.5), {})
+    assert html_extract.main_text("<p>even</p>", level) == ""
+    rows = spark.createDataFrame([(1, "<article><h1>A title</h1><p>Some text of the page</p></article>", "x")] * 3, "page_id long, html string, text string")
+    got = html_extract.extract(rows.repartition(2)).collect()
+    assert [(r["page_id"], r["text"]) for r in got] == [(1, "A title\n\nSome text of the page")] * 3
+
+
 def test_html_held_out_accuracy(html_model):
     right = total = 0
     for source in html_samples.labelled_pages(200, seed=77):
