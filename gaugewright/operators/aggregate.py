@@ -165,9 +165,10 @@ def named_with_mode(name: str, mode: str | None) -> str:
 
 
 def validation_summary(checks: DataFrame, ok: str = "valid", reason: str = "error") -> DataFrame:
-    """Of checked queries: how many, how many are valid, their share, and the reasons of the others with their counts."""
-    reasons = checks.where(~F.col(ok)).groupBy(reason).agg(F.count("*").alias("k"))
-    listed = reasons.agg(F.array_sort(F.collect_list(F.struct("k", F.col(reason).alias("reason")))).alias("reasons"))  # one row for each kind of error
+    """Of checked queries: how many, how many are valid, their share, and the kinds of the others' reasons (what stands before the first colon)
+    with their counts. The messages themselves, of which there may be as many as rows, are counted by ``error_kinds`` alone."""
+    reasons = error_kinds(checks, ok, reason)
+    listed = reasons.agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("k"), F.col("kind").alias("reason")))).alias("reasons"))  # one row for each kind
     totals = checks.agg(F.count("*").alias("total"), F.count(F.when(F.col(ok), 1)).alias("valid"))
     return totals.join(listed, F.lit(True)).select("total", "valid", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).alias("share"), "reasons")
 

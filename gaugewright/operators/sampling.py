@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 #: Rows that one task ranks, about.
 RANKED_TOGETHER = 50_000
@@ -31,19 +33,19 @@ def per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 42) -> Da
 
 
 def stratified_sample(df: DataFrame, n: int, group: str, key: str, seed: int = 42) -> DataFrame:
-    """Per class its share of ``n``, rounded half to even and capped at the class; then random rows up to ``n``. Rounding may pass ``n``."""
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # one row per class
-    total = sum(counts.values())
+    """Per class its share of ``n``, rounded half to even and capped at the class; then random rows up to ``n``. Rounding may pass ``n``. The
+    classes' sizes are a table that the rows are joined with, however many classes there are."""
+    counts = written(df.groupBy(F.col(group).alias("_class")).agg(F.count("*").alias("_n")), "classes")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     if n > total:
         raise ValueError(f"{n} rows are asked for, the table has {total}")
-    quota = {k: min(c, round(n * c / total)) for k, c in counts.items()}
-    take = F.lit(0)
-    for k, q in quota.items():
-        take = F.when(F.col(group).eqNullSafe(F.lit(k)), F.lit(q)).otherwise(take)
-    ranked = global_rank(df, shuffled(key, seed), key, group).withColumn("_take", take)
+    quota = counts.select("_class", F.least(F.col("_n"), F.bround(F.lit(n) * F.col("_n") / F.lit(total)).cast("long")).alias("_take"))
+    taken = quota.agg(F.sum("_take")).first()[0] or 0
+    ranked = global_rank(df, shuffled(key, seed), key, group)
+    ranked = ranked.join(quota, F.col(group).eqNullSafe(F.col("_class"))).drop("_class")
     chosen = ranked.where("_rank < _take")
-    if sum(quota.values()) < n:
-        rest = ranked.where("_rank >= _take").orderBy(shuffled(key, seed), key).limit(n - sum(quota.values()))
+    if taken < n:
+        rest = ranked.where("_rank >= _take").orderBy(shuffled(key, seed), key).limit(n - taken)
         chosen = chosen.unionByName(rest)
     return chosen.drop("_rank", "_take")
 
@@ -96,21 +98,21 @@ def proportional_batches(df: DataFrame, size: int, group: str, key: str, seed: i
     """``df`` with ``batch``: shuffled rows in runs of ``size``, every run with each class's share of the table, to within one row.
     A last run of fewer rows is left out with ``drop_last``; with ``refill`` the first rows fill it, and stand twice.
 
-    Row r of a class of n rows stands at (2 r + 1) / (2 n) of the way, of equals the smaller class first; its place among all rows
-    follows from the classes' sizes, so nothing is sorted but the rows within their class."""
-    sizes = sorted(((r[0], r[1]) for r in df.groupBy(group).count().collect()), key=lambda x: (x[0] is not None, x[0]))  # one row per class
-    total = sum(n for _, n in sizes)
-    ranked = global_rank(df, shuffled(key, seed), key, group)
-    place, at = F.lit(0).cast("long"), (2 * F.col("_rank") + 1).cast("decimal(20,0)")
-    for i, (c, n) in enumerate(sizes):
-        before = F.col("_rank")
-        for j, (_, m) in enumerate(sizes):
-            if j != i:
-                ahead = at * F.lit(m).cast("decimal(18,0)") - n  # row k of the other class is ahead if 2 n k is below this, or equal and of a smaller class
-                least = ahead + 2 * n if j < i else ahead + (2 * n - 1)
-                before = before + F.when(ahead >= (0 if j < i else 1), F.call_function("div", least, F.lit(2 * n).cast("decimal(18,0)"))).otherwise(0)
-        place = F.when(F.col(group).eqNullSafe(F.lit(c)), before).otherwise(place)
-    dealt = ranked.withColumn("_place", place).withColumn("batch", F.floor(F.col("_place") / size))
+    Row r of a class of n rows stands at (2 r + 1) / (2 n) of the way (to 18 places), of equals the smaller class first. These stands are spread
+    evenly, so rows are ranked within equal stretches of the way, of RANKED_TOGETHER rows about, and the stretches' sizes are added."""
+    counts = written(df.groupBy(F.col(group).alias("_class")).agg(F.count("*").alias("_n")), "classes")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    ranked = global_rank(df, shuffled(key, seed), key, group).join(counts, F.col(group).eqNullSafe(F.col("_class"))).drop("_class")
+    stands = F.expr("((2 * _rank + 1) * CAST(1000000000000000000 AS DECIMAL(19, 0))) div CAST(2 * _n AS DECIMAL(18, 0))")
+    stretch = F.call_function("div", F.col("_stands"), F.lit(10**18 // max(1, total // RANKED_TOGETHER) + 1))
+    placed = ranked.withColumn("_stands", stands).withColumn("_stretch", stretch)
+    sizes = placed.groupBy("_stretch").agg(F.count("*").alias("_k"))
+    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row for each stretch
+    sizes = sizes.select("_stretch", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_stretch").orderBy("_stands", group, "_rank")) - 1
+    placed = placed.withColumn("_in", within).join(sizes, "_stretch")
+    dealt = placed.withColumn("_place", F.col("_in") + F.col("_before")).withColumn("batch", F.floor(F.col("_place") / size))
+    dealt = dealt.drop("_stands", "_stretch", "_in", "_before", "_n")
     last = total // size
     if drop_last:
         dealt = dealt.where(F.col("batch") < last)
