@@ -190,3 +190,16 @@ def label_set_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
     tp = F.size(F.array_intersect(gold, pred))
     a, b = F.size(F.array_distinct(gold)), F.size(F.array_distinct(pred))
     return df.withColumns({"exact": ((tp == a) & (tp == b)).cast("double"), "f1": F.when(a + b == 0, F.lit(1.0)).otherwise(2 * tp / (a + b))})
+
+
+def labels_match(prediction: Column, expected: Column) -> Column:
+    """1 if the ``labels`` of a prediction in JSON are the expected ones (a list with ``;``), whatever their order; blanks around and empty parts do
+    not count. 0 for what is no JSON or has no labels."""
+    told = F.from_json(prediction, "labels array<string>")["labels"]
+    clean = lambda a: F.array_sort(F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")))
+    return F.coalesce((clean(told) == clean(F.split(expected, ";"))).cast("double"), F.lit(0.0))
+
+
+def field_match(prediction: Column, field: str, expected: Column) -> Column:
+    """1 if a field of a prediction in JSON is the expected text, else 0."""
+    return F.coalesce((F.try_variant_get(F.try_parse_json(prediction), f"$.{field}", "string") == expected).cast("double"), F.lit(0.0))

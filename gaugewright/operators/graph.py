@@ -49,6 +49,22 @@ class Graph:
         edges = self.edges.join(gone, F.col("src") == F.col("_id"), "left_anti").join(gone, F.col("dst") == F.col("_id"), "left_anti")
         return Graph(self.nodes.join(gone, F.col("id") == F.col("_id"), "left_anti"), edges)
 
+    def remove(self, *ids: object) -> Graph:
+        """Drop nodes by their ids; one that is not there is an error."""
+        there = {r["id"] for r in self.nodes.where(F.col("id").isin(*ids)).select("id").distinct().collect()}
+        if missing := [i for i in ids if i not in there]:
+            raise ValueError(f"no such node: {', '.join(map(str, missing))}")
+        return Graph(self.nodes.where(~F.col("id").isin(*ids)), self.edges.where(~F.col("src").isin(*ids) & ~F.col("dst").isin(*ids)))
+
+    def rated_summaries(self, summary: str = "summary") -> DataFrame:
+        """``id``, ``summary`` and ``page_content`` of the nodes to be rated: a chunk by the summary of its first parent, any other by its own. Nodes
+        without one are not rated, and so never dropped for it."""
+        up = self.edges.where(F.col("type") == "child").groupBy(F.col("dst").alias("_chunk")).agg(F.min("src").alias("_up"))
+        own = self.nodes.select(F.col("id").alias("_up"), F.col(summary).alias("_of"))
+        chunks = self.nodes.where(F.col("type") == "chunk").join(up, F.col("id") == F.col("_chunk")).join(own, "_up").select("id", F.col("_of").alias("summary"), "page_content")
+        others = self.nodes.where(F.col("type") != "chunk").select("id", F.col(summary).alias("summary"), "page_content")
+        return chunks.unionByName(others).where(F.length(F.trim("summary")) > 0)
+
     def with_property(self, name: str, value: Column) -> Graph:
         """Set a property where it is absent."""
         name = name.lower()

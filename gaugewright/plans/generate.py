@@ -217,15 +217,18 @@ def multi_hop_specific(g: Graph, who: DataFrame, judge: Judge, n: int, seed: int
 
 
 def multi_hop_abstract(g: Graph, who: DataFrame, judge: Judge, n: int, seed: int = 42) -> DataFrame:
-    """Questions on two themes of two documents with similar summaries; documents with chunks speak through these."""
-    linked = graphs.triples(g, F.col("type") == "summary_similarity").select(F.concat_ws("|", "a", "b").alias("node_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
-    below = g.edges.where("type = 'child'").select(F.col("src").alias("_p"), F.col("dst").alias("_k"))
-    held = g.nodes.select("id", "themes")
-    own = held.join(below, F.col("id") == F.col("_k"), "left").select(F.coalesce("_p", "id").alias("id"), F.explode("themes").alias("theme")).distinct()
-    left = linked.join(own.withColumnsRenamed({"id": "src", "theme": "x"}), "src")
-    both = left.join(own.withColumnsRenamed({"id": "dst", "theme": "y"}), "dst").where("x <> y")
-    terms = both.select("node_id", F.concat_ws(" and ", F.least("x", "y"), F.greatest("x", "y")).alias("term")).distinct()
-    return _sampled(terms, _hops(linked, g), who, judge, n, "multi_hop_abstract", seed)
+    """Questions on two themes of different documents of a cluster, which similar summaries link; documents with chunks speak through these."""
+    kept = g.nodes.select("id", "themes", "page_content")
+    clusters = graphs.n_indirect_clusters(g, n, 3, F.col("type") == "summary_similarity", seed)
+    clusters = written(clusters.select(F.concat_ws("|", "cluster").alias("cluster_id"), F.explode("cluster").alias("node_id")), "clusters")
+    below = g.edges.where("type = 'child'").select(F.col("src").alias("root"), F.col("dst").alias("id"))
+    own = kept.join(below, "id", "left").select(F.coalesce("root", "id").alias("node_id"), F.explode("themes").alias("theme")).distinct()
+    held = clusters.join(own, "node_id")
+    left, right = (held.withColumnsRenamed({"node_id": m, "theme": t}) for m, t in (("m", "x"), ("k", "y")))
+    both = left.join(right, "cluster_id").where("m < k and x <> y")  # a cluster has three documents at most
+    terms = both.select(F.col("cluster_id").alias("node_id"), F.concat_ws(" and ", F.least("x", "y"), F.greatest("x", "y")).alias("term")).distinct()
+    contexts = testset.cluster_contexts(clusters, below, kept).withColumnRenamed("cluster_id", "node_id")
+    return _sampled(terms, contexts, who, judge, n, "multi_hop_abstract", seed)
 
 
 def _hops(linked: DataFrame, g: Graph) -> DataFrame:

@@ -53,6 +53,32 @@ PROMPTS: dict[str, Prompt] = {
     )
 }
 
+#: The prompts of the metrics by their names, in the order of their calls. ``Judge.prompts`` puts others in their place.
+METRIC_PROMPTS: dict[str, tuple[str, ...]] = {
+    "faithfulness": ("statements", "support"),
+    "context_precision": ("usefulness",),
+    "context_utilization": ("usefulness",),
+    "context_recall": ("attribution",),
+    "context_entity_recall": ("entities",),
+    "answer_relevancy": ("back_question",),
+    "answer_correctness": ("statements", "classes"),
+    "factual_correctness": ("statements", "support"),
+    "noise_sensitivity": ("statements", "support"),
+    "summary_score": ("keyphrases", "quiz", "quiz_answers"),
+    "nv_accuracy": ("accuracy_rating",),
+    "nv_context_relevance": ("relevance_rating", "relevance_second"),
+    "nv_response_groundedness": ("groundedness_rating", "groundedness_second"),
+    "topic_adherence": ("topics", "topic_match", "topic_refused"),
+}
+
+
+def prompts_of(metric: str, judge: Judge | None = None) -> dict[str, Prompt]:
+    """A metric's prompts by name, as the judge would use them."""
+    if metric not in METRIC_PROMPTS:
+        raise KeyError(f"no prompts are known of {metric!r}")
+    return {n: judge.prompts.get(n, PROMPTS[n]) if judge else PROMPTS[n] for n in METRIC_PROMPTS[metric]}
+
+
 Judged = Callable[[DataFrame, Judge, str], DataFrame]
 _c = F.col
 NAN = float("nan")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,12 +30,15 @@ class Judge:
     repairs: int = 3
     embedder: Callable[[], HashEmbedding] = HashEmbedding
     cache: ReplyCache | None = None
+    #: Prompts to be used in place of those of the same name: how a metric's prompts are set, changed and translated.
+    prompts: dict[str, Prompt] = field(default_factory=dict)
 
-    def ask(self, df: DataFrame, prompt: Prompt, n: int = 1, into: str = "out", **inputs: Column) -> DataFrame:
+    def ask(self, df: DataFrame, prompt: Prompt, n: int = 1, into: str = "out", shown: Column | None = None, **inputs: Column) -> DataFrame:
         """``df`` with the parsed reply ``into`` (null with an ``error``) and, for several generations, ``sample_no``.
 
-        Equal requests go to the model once. The replies are written, so that nothing later calls the model again."""
-        rows = df.withColumn("_prompt", prompt.render(**inputs))
+        ``shown`` gives each row examples of its own. Equal requests go to the model once. The replies are written, so that nothing later calls the model again."""
+        prompt = self.prompts.get(prompt.name, prompt)
+        rows = df.withColumn("_prompt", prompt.render(**inputs) if shown is None else prompt.render_each(shown, **inputs))
         rows = rows.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 1 else rows
         number = F.col("sample_no") if n > 1 else F.lit(0)
         keyed = rows.withColumn("_hash", F.sha2(F.to_json(F.struct(F.lit(self.model).alias("m"), number.alias("n"), F.col("_prompt").alias("p"))).cast("binary"), 256))

@@ -44,6 +44,16 @@ class Prompt:
         payload = F.to_json(F.struct(*[c.alias(n) for n, c in inputs.items()]), {"ignoreNullFields": "false"})
         return F.concat(F.lit(self.head()), payload, F.lit("\nOutput: "))
 
+    def render_each(self, shown: Column, **inputs: Column) -> Column:
+        """Like ``render``, with examples of each row's own after the prompt's: ``shown`` is an array of (input, output), both JSON texts, such as
+        ``align`` finds by nearness. A null array is empty."""
+        start = len(self.examples)
+        line = lambda e, i: F.concat(F.lit("\n\nExample "), (i + start + 1).cast("string"), F.lit("\nInput: "), e["input"], F.lit("\nOutput: "), e["output"])
+        more = F.coalesce(F.array_join(F.transform(shown, line), ""), F.lit(""))
+        head, task = self.head().rsplit("\n\nTask: ", 1)
+        payload = F.to_json(F.struct(*[c.alias(n) for n, c in inputs.items()]), {"ignoreNullFields": "false"})
+        return F.concat(F.lit(head), more, F.lit(f"\n\nTask: {task}"), payload, F.lit("\nOutput: "))
+
     def parse(self, reply: Column) -> Column:
         """The reply's fields; null for a reply without the JSON object."""
         return F.from_json(reply, self.output)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ngram
-from ..operators import graph, pairs, sampling, schema, splitters
+from ..operators import aggregate, graph, pairs, sampling, schema, splitters
+from ..sources import records
 from ..sources.catalog import FolderCatalog
 from ..sources.shared import new_path, written
+from .prompts import Prompt
 from .queries import query, table
 
 #: The tokeniser's rules in SQL, one within the other.
@@ -125,3 +127,48 @@ def walked_clusters(spark: SparkSession, d: str) -> DataFrame:
     edges = written(graph.similarity_edges(pairs.cosine_pairs(e, 0.4, "vec_id", "embedding"), "similar"), "similar")
     nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.lit("document").alias("type"))
     return graph.indirect_clusters(graph.Graph(nodes, edges), 3)
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS at_ FROM events WHERE value IS NOT NULL GROUP BY 1),
+c AS (SELECT user_id, max(event_id) AS call_ FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT l.user_id, l.value FROM l LEFT JOIN c ON l.user_id = c.user_id WHERE call_ IS NULL OR at_ > call_""")
+def final_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Values that come later than a user's last click."""
+    return records.last_after(table(spark, d, "events"), "user_id", "event_id", "value", F.col("event_type") == "click")
+
+
+@query("""SELECT p_partkey, p_name || CASE WHEN p_size % 4 = 0 THEN '' ELSE '|' || p_brand END || '|' || p_type AS contexts FROM part""")
+def search_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Search results in JSON: chunks, one of them at times empty, web pages, and what a graph found, which goes."""
+    item = lambda name, c: F.struct(c.alias(name))
+    second = F.when(F.col("p_size") % 4 == 0, F.lit("")).otherwise(F.col("p_brand"))
+    found = F.struct(
+        F.array(item("text", F.col("p_name")), item("text", second)).alias("chunk_search_results"),
+        F.array(item("text", F.col("p_brand"))).alias("graph_search_results"),
+        F.array(item("snippet", F.col("p_type")), item("snippet", F.lit(None).cast("string"))).alias("web_search_results"),
+    )
+    return table(spark, d, "part").select("p_partkey", F.array_join(records.search_contexts(F.to_json(found)), "|").alias("contexts"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_size % 3 = 0 THEN 0.0 ELSE 1.0 END AS labels, CASE WHEN p_size % 5 = 0 THEN 0.0 WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS priority FROM part""")
+def label_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions in JSON, some cut off, with labels in another order and at times one too few."""
+    size = F.col("p_size")
+    labels = F.when(size % 3 == 0, F.array("p_type")).otherwise(F.array("p_type", "p_brand", "p_type"))
+    whole = F.to_json(F.struct(labels.alias("labels"), F.when(size % 2 == 0, F.lit("P1")).otherwise(F.lit("P2")).alias("priority")))
+    told = F.when(size % 5 == 0, F.substring(whole, 1, 12)).otherwise(whole)
+    return table(spark, d, "part").select(
+        "p_partkey",
+        aggregate.labels_match(told, F.concat(F.lit(" "), "p_brand", F.lit(" ; "), "p_type", F.lit(";"))).alias("labels"),
+        aggregate.field_match(told, "priority", F.lit("P1")).alias("priority"),
+    )
+
+
+@query("""SELECT n_nationkey, 'Say it.' || chr(10) || 'Answer with one JSON object of these fields: word string'
+|| CASE WHEN n_regionkey > 0 THEN chr(10) || chr(10) || 'Example 1' || chr(10) || 'Input: {"r":' || n_regionkey || '}' || chr(10) || 'Output: {"word":"w"}' ELSE '' END
+|| chr(10) || chr(10) || 'Task: say' || chr(10) || 'Input: {"name":"' || n_name || '"}' || chr(10) || 'Output: ' AS prompt FROM nation""")
+def prompts_with_own_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Each row brings its own examples, or none."""
+    example = F.struct(F.to_json(F.struct(F.col("n_regionkey").alias("r"))).alias("input"), F.lit('{"word":"w"}').alias("output"))
+    shown = F.when(F.col("n_regionkey") > 0, F.array(example))
+    return table(spark, d, "nation").select("n_nationkey", Prompt("say", "Say it.", "word string").render_each(shown, name=F.col("n_name")).alias("prompt"))

@@ -53,6 +53,26 @@ def last_value(traces: DataFrame, conv: str, order: str, value: str) -> DataFram
     return traces.where(F.col(value).isNotNull()).groupBy(conv).agg(F.max_by(value, order).alias(value))
 
 
+def last_after(traces: DataFrame, conv: str, order: str, value: str, after: Column) -> DataFrame:
+    """The last non-null value of each trace, if it comes later than the trace's last row of ``after`` (as a final answer comes later than
+    the last call of the model); a trace without such a row keeps its last value."""
+    calls = F.max(F.when(after, F.col(order)))
+    last = traces.groupBy(conv).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(order, value))).alias("_last"), calls.alias("_call"))
+    return last.where(F.col("_last").isNotNull() & (F.col("_call").isNull() | (F.col(f"_last.{order}") > F.col("_call")))).select(conv, F.col(f"_last.{value}").alias(value))
+
+
+SEARCH = "chunk_search_results array<struct<text: string>>, web_search_results array<struct<snippet: string>>"
+
+
+def search_contexts(result: Column) -> Column:
+    """The contexts of an aggregate search result in JSON: the texts of its chunks, then the snippets of its web pages, none of them empty; what
+    graphs and whole documents found is left out. Null or no JSON: none."""
+    parsed = F.from_json(result, SEARCH)
+    none = F.array().cast("array<string>")
+    found = F.concat(F.coalesce(parsed["chunk_search_results"]["text"], none), F.coalesce(parsed["web_search_results"]["snippet"], none))
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull() & (x != "")), none)
+
+
 def paired_lookups(traces: DataFrame, conv: str, order: str, kind: str, value: str) -> DataFrame:
     """(conv, n, lookup, output): the nth lookup of a trace with its nth output."""
     n = F.row_number().over(Window.partitionBy(conv, kind).orderBy(order))

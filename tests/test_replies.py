@@ -117,3 +117,43 @@ def test_null_roles_are_errors(spark):
     fine = turns.where("role IS NOT NULL")
     assert [len(r["user_input"]) for r in schema.assemble_conversations(fine).orderBy("conv_id").collect()] == [1, 1]
     assert [len(r["user_input"]) for r in records.agent_messages(fine, "conv_id", "turn", "role", "text").orderBy("conv_id").collect()] == [1, 1]
+
+
+def test_prompts_of_a_metric(spark):
+    """They are read, set on the judge, and reach the model."""
+    from gaugewright.plans.prompts import Prompt
+
+    rows = samples(spark, 2)
+    assert list(judge_metrics.prompts_of("faithfulness")) == ["statements", "support"]
+    with pytest.raises(KeyError):
+        judge_metrics.prompts_of("none")
+
+    def heard():
+        class Heard(RuleModel):
+            def complete(self, prompts):
+                assert all("Zerlege" in p for p in prompts if "Task: statements" in p)
+                return super().complete(prompts)
+
+        return Heard
+
+    own = Prompt("statements", "Zerlege den Text.", "statements array<string>")
+    judge = Judge(heard(), "m", retries=0, prompts={"statements": own})
+    assert judge_metrics.prompts_of("faithfulness", judge)["statements"] == own
+    scores = evaluate.evaluate(rows, ["faithfulness"], judge=judge).scores.collect()
+    assert all(r["faithfulness"] == r["faithfulness"] for r in scores)  # no error, so no NaN
+    shown = F.array(F.struct(F.lit("{}").alias("input"), F.lit("{}").alias("output")))
+    asked = judge.ask(rows, judge_metrics.PROMPTS["statements"], shown=shown, text=F.col("response"))
+    assert asked.where("error IS NULL").count() == 2
+
+
+def test_nodes_go_by_id_and_chunks_by_their_parent(spark):
+    from gaugewright.operators.graph import Graph
+
+    nodes = spark.createDataFrame([("d", "document", "sum", "t"), ("e", "document", " ", "t"), ("c1", "chunk", None, "x"), ("c2", "chunk", "own", "y"), ("c3", "chunk", None, "z")], "id string, type string, summary string, page_content string")
+    edges = spark.createDataFrame([("1", "child", "d", "c1", False), ("2", "child", "d", "c2", False), ("3", "child", "e", "c3", False), ("4", "child", "e", "c2", False)], "id string, type string, src string, dst string, bidirectional boolean")
+    g = Graph(nodes, edges)
+    assert {(r["id"], r["summary"]) for r in g.rated_summaries().collect()} == {("d", "sum"), ("c1", "sum"), ("c2", "sum")}
+    less = g.remove("c2")
+    assert {r["id"] for r in less.nodes.collect()} == {"d", "e", "c1", "c3"} and less.edges.count() == 2
+    with pytest.raises(ValueError, match="no such node: x"):
+        g.remove("d", "x")
