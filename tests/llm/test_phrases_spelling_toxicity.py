@@ -269,3 +269,67 @@ def test_repeated_rows_in_the_quality_fit(spark):
     model = quality_classifier.fit(good.union(bad), "key", "text", "label")
     scores = quality_classifier.score(good.union(bad).dropDuplicates(["text"]), model).groupBy("label").agg(F.avg("score").alias("s")).collect()
     assert {r["label"]: r["s"] > 0.5 for r in scores} == {0: False, 1: True}
+
+
+# ---- 9: language ID, from texts to predictions in plain Python
+
+
+def plain_languages(train, texts):
+    """Counts by dictionaries, each left-out row by a fit of its own, decoding by loops."""
+
+    def grams(text):
+        counts = Counter()
+        s = [ord(c) for c in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                h = 0
+                for c in s[i : i + n]:
+                    h = (h * 1_000_003 + c) % 2**64
+                counts[(h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 51] += 1
+        size = sum(counts.values()) ** 0.5  # the roots' squares sum to the counts
+        return {b: n**0.5 / size for b, n in counts.items()}
+
+    dot = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    langs = sorted({lang for _, lang in train})
+    splits = [s for s in range(1, 2 ** len(langs)) if s % 2 and s != 2 ** len(langs) - 1]
+    codes = {lang: [1 if s >> i & 1 else -1 for s in splits] for i, lang in enumerate(langs)}
+    rows = [grams(t) for t, _ in train]
+
+    def margins(x, held):
+        gram = np.array([[dot(rows[i], rows[j]) for j in held] for i in held]) + 0.3 * np.eye(len(held))
+        dual = np.linalg.solve(gram, np.array([codes[train[i][1]] for i in held], float))
+        return np.array([dot(x, rows[i]) for i in held]) @ dual
+
+    right = np.zeros(len(splits))
+    for i, (_, lang) in enumerate(train):
+        out = margins(rows[i], [j for j in range(len(rows)) if j != i])
+        right += np.sign(out) == codes[lang]
+    trust = np.maximum(right / len(rows) - 0.5, 0.01)
+    trust /= trust.sum()
+    found = []
+    for t in texts:
+        if not t or not any(c.isalpha() for c in t):
+            found.append(("und", 0.0))
+            continue
+        m = margins(grams(t), list(range(len(rows))))
+        loss = {lang: sum(w * np.log1p(np.exp(-np.clip(4 * a * c, -30, 30))) for w, a, c in zip(trust, m, codes[lang])) for lang in langs}
+        shares = {lang: np.exp(-(v - min(loss.values())) * len(splits)) for lang, v in loss.items()}
+        best = min(langs, key=loss.get)
+        found.append((best, shares[best] / sum(shares.values())))
+    return found
+
+
+def test_language_id_end_to_end(spark):
+    rng = random.Random(6)
+    words = {"a": "the and of river stone", "b": "der und die fluss stein", "c": "le et la rivière pierre"}
+    rows = [(i, " ".join(rng.choice(words["abc"[i % 3]].split()) for _ in range(rng.randint(1, 8))), "abc"[i % 3]) for i in range(60)]
+    rows += [(60, None, "a"), (61, "", "b"), (62, "12 !", "c"), (63, "the die le", None), rows[4]]
+    df = spark.createDataFrame(rows, DOC)
+    train = sorted({(str(lang), str(k), t, lang) for k, t, lang in rows if lang and t and any(c.isalpha() for c in t) and zlib.crc32(str(k).encode()) % 3 != 1})
+    want = plain_languages([(t, lang) for *_, t, lang in train], [t for _, t, _ in rows])
+    model = langid.fit(df.where(~quality_classifier.held_out()))
+    got = langid.identify(df.coalesce(1), model).collect()
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert len(got) == len(rows)
+    for (key, *_), (lang, share) in zip(rows, want):
+        assert by[key][0] == lang and by[key][1] == pytest.approx(share, rel=1e-6)
