@@ -72,19 +72,21 @@ def document_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text", *me
 
 
 def extract(name: str, judge: Judge, where: Column | None = None, extractor: Extractor | None = None) -> Step:
-    """Set the property ``name`` of the nodes that fit and lack it."""
+    """Set the property ``name`` of the nodes that fit and lack it. A text of more than CHUNK_WORDS words is asked about part by part; lists of the parts are
+    joined, and where one text is wanted the parts' replies are asked about once more, together."""
     e = extractor or EXTRACTORS[name]
 
     def step(g: Graph) -> Graph:
         lacking = g.nodes if where is None else g.nodes.where(where)
         lacking = lacking.where(F.col(name).isNull()) if name in g.nodes.columns else lacking
         cut = splitters.window_chunks(lacking, CHUNK_WORDS, "id", "page_content")
-        cut = cut if e.many else cut.where("pos = 0")
         out = judge.ask(cut, e.prompt(), text=F.col("chunk")).select("id", "pos", F.col(f"out.{e.field}").alias("v")).where("v is not null")
+        parts = out.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("_vs"))
         if e.many:
-            out = out.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])).alias("_v"))
+            out = parts.select("id", F.flatten("_vs").alias("_v"))
         else:
-            out = out.select("id", F.col("v").alias("_v"))
+            several = judge.ask(parts.where("size(_vs) > 1"), e.prompt(), text=F.array_join("_vs", "\n\n"))
+            out = parts.where("size(_vs) = 1").select("id", F.col("_vs")[0].alias("_v")).unionByName(several.select("id", F.col(f"out.{e.field}").alias("_v")))
         joined = g.nodes.join(out, "id", "left")
         value = F.coalesce(F.col(name), F.col("_v")) if name in g.nodes.columns else F.col("_v")
         return Graph(joined.withColumn(name, value).drop("_v"), g.edges)

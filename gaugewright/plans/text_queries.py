@@ -1,4 +1,4 @@
-"""Queries of BLEU over streams, splitters in SQL, nested dates, message flags, class shares and walks."""
+"""Queries of BLEU over streams, splitters in SQL, nested dates, message flags, class shares, walks and streams with state."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from ..operators import aggregate, graph, pairs, sampling, schema, splitters
 from ..sources import records
 from ..sources.catalog import FolderCatalog
 from ..sources.shared import new_path, written
+from ..streaming import stateful
 from .prompts import Prompt
 from .queries import query, table
 
@@ -172,3 +173,17 @@ def prompts_with_own_examples(spark: SparkSession, d: str) -> DataFrame:
     example = F.struct(F.to_json(F.struct(F.col("n_regionkey").alias("r"))).alias("input"), F.lit('{"word":"w"}').alias("output"))
     shown = F.when(F.col("n_regionkey") > 0, F.array(example))
     return table(spark, d, "nation").select("n_nationkey", Prompt("say", "Say it.", "word string").render_each(shown, name=F.col("n_name")).alias("prompt"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, count(*) AS turns, string_agg(event_type, ',' ORDER BY event_id) AS roles, min(event_id) AS first_turn FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def conversations_with_state(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of turns: the conversations that are over, six hours after their last turn."""
+    schema_ = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema_).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be one file
+    found = stateful.assembled_conversations(stream, "ts", "user_id", "event_id", "event_type", "event_type", "6 hours", "10 minutes")
+    held = stateful.run_once(spark, found, "conversations")
+    turns = F.col("turns")
+    return held.select("user_id", F.size(turns).cast("long").alias("turns"), F.array_join(turns["role"], ",").alias("roles"), F.array_min(turns["turn"]).alias("first_turn"))

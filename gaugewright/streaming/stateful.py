@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import new_path
+
 #: The store that state with timers needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TURN = "turn long, role string, text string"
@@ -44,12 +47,12 @@ class _Assembler(StatefulProcessor):
                 out.append([row])
         return out
 
-    def _held(self) -> list[tuple]:
-        return [(*key, n) for key, (n,) in self.turns.iterator()]
+    def _held(self) -> dict[tuple, int]:
+        return {tuple(key): n for key, (n,) in self.turns.iterator()}
 
-    def _timers(self) -> None:
+    def _timers(self, held: dict[tuple, int]) -> None:
         """One timer for each open session, at its end."""
-        ends = {s[-1][0] + self.gap for s in self._sessions(self._held())}
+        ends = {s[-1][0] + self.gap for s in self._sessions(list(held))}
         for old in list(self.handle.listTimers()):
             if old not in ends:
                 self.handle.deleteTimer(old)
@@ -58,25 +61,26 @@ class _Assembler(StatefulProcessor):
             self.handle.registerTimer(end)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002 - names are Spark's
+        new: Counter[tuple] = Counter()
         for pdf in rows:
-            for ts, turn, role, text in zip(pdf["ts_"], pdf["turn_"], pdf["role_"], pdf["text_"], strict=True):
-                held = (_millis(ts), int(turn), role or "", text or "")
-                n = self.turns.getValue(held)[0] if self.turns.containsKey(held) else 0
-                self.turns.updateValue(held, (n + 1,))
-        self._timers()
+            new.update((_millis(ts), int(turn), role or "", text or "") for ts, turn, role, text in zip(pdf["ts_"], pdf["turn_"], pdf["role_"], pdf["text_"], strict=True))
+        held = self._held()
+        for turn, n in new.items():
+            held[turn] = held.get(turn, 0) + n
+            self.turns.updateValue(turn, (held[turn],))
+        self._timers(held)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for session in self._sessions(self._held()):
+        held, out = self._held(), []
+        for session in self._sessions(list(held)):
             if session[-1][0] + self.gap <= now:
-                ordered = sorted((turn, role, text) for _, turn, role, text, n in session for _ in range(n))
+                ordered = sorted(row[1:] for row in session for _ in range(held[row]))
                 out.append((key[0], _moment(session[0][0]), _moment(session[-1][0] + self.gap), [{"turn": t, "role": r, "text": x} for t, r, x in ordered]))
                 for row in session:
-                    self.turns.removeKey(row[:4])
-        self._timers()
-        if out:
+                    self.turns.removeKey(row)
+        if out:  # the timers of the other sessions stay as they are
             yield pd.DataFrame(out, columns=["key_", "start", "end", "turns"])
 
     def close(self) -> None:
@@ -92,7 +96,7 @@ def assembled_conversations(stream: DataFrame, ts: str, key: str, order: str, ro
     stay. Needs the state store PROVIDER (``spark.sql.streaming.stateStore.providerClass``)."""
     gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
     kind = stream.schema[key].dataType.simpleString()
-    picked = stream.select(F.col(key).alias("key_"), F.col(ts).alias("ts_"), F.col(order).cast("long").alias("turn_"), F.col(role).alias("role_"), F.col(text).alias("text_"))
+    picked = stream.select(F.col(key).alias("key_"), F.col(ts).cast("timestamp").alias("ts_"), F.col(order).cast("long").alias("turn_"), F.col(role).alias("role_"), F.col(text).alias("text_"))
     out = picked.withWatermark("ts_", late).groupBy("key_").transformWithStateInPandas(
         _Assembler(gap_ms), f"key_ {kind}, start timestamp, end timestamp, turns array<struct<{TURN.replace(' ', ': ').replace(',:', ',')}>>", "append", "EventTime"
     )
@@ -137,7 +141,22 @@ def drift_alarms(stream: DataFrame, ts: str, score: str, by: str, baseline: floa
     them; those without a score are passed over. State is a few numbers a slice."""
     kind = stream.schema[by].dataType.simpleString()
     valid = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
-    means = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), F.col(by).alias("slice_")).agg(F.count("*").alias("n_"), F.avg(valid).alias("score_"))
+    means = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), F.col(by).alias("slice_")).agg(F.count("*").alias("n_"), F.avg(valid).alias("score_"))
     means = means.select("slice_", F.col("w.start").alias("start_"), "n_", "score_")
     out = means.groupBy("slice_").transformWithStateInPandas(_Gate(baseline, tolerance, patience), f"slice_ {kind}, start timestamp, n long, score double, state string", "append", "None")
     return out.withColumnRenamed("slice_", by)
+
+
+def run_once(spark: SparkSession, result: DataFrame, label: str) -> DataFrame:
+    """Run a streaming result over all that its sources hold now, into the shared folder, and read it: what a scheduled job does with a
+    checkpoint of its own. Conversations and windows that the watermark has not passed stay in the state."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, out = spark.conf.get(key), new_path(spark, label)
+    spark.conf.set(key, PROVIDER)
+    try:
+        stream = result.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, f"{label}-state"))
+        query = stream.trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(result.schema).parquet(out)

@@ -277,3 +277,20 @@ def test_optimiser(spark):
     assert len(best) > 2 and value > 2 / 12
     with pytest.raises(ValueError):
         align.optimised(["a"], lambda c: losses(c).where("row < 3"), lambda a, b: a)
+
+
+def test_long_texts_are_asked_about_part_by_part(spark, monkeypatch):
+    """The stand-in's topic is the first sentence it sees, its title the first four words: parts' replies are asked about once more."""
+    monkeypatch.setattr(generate, "CHUNK_WORDS", 4)
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "short text")], "doc_id long, text string")
+    heard = []
+
+    class Kept(Judge):
+        def ask(self, df, prompt, **inputs):
+            out = super().ask(df, prompt, **inputs)
+            heard.append(sorted(map(tuple, out.select("out.text").collect())))
+            return out
+
+    out = generate.transformed(generate.document_nodes(docs), [[generate.extract("title", Kept(RuleModel, "rules"))]])
+    assert {r["id"]: r["title"] for r in out.nodes.collect()} == {"1": "one two three four", "2": "short text"}
+    assert heard == [[("five six seven eight",), ("nine ten",), ("one two three four",), ("short text",)], [("one two three four",)]]
