@@ -609,12 +609,19 @@ NOISE = [
 ]
 
 
-@pytest.mark.parametrize("noise", NOISE)
-def test_what_is_no_tag_is_no_alias(spark, noise):
-    blocked = "http://a.com/en/1"
-    pages = spark.createDataFrame([(1, "http://f.io/1", noise.format(blocked)), (2, "http://g.io/1", noise.format("http://h.io/") + f'<link title="a > b" rel=canonical href="{blocked}">')], "page_id long, url string, html string")
-    assert [tuple(e) for e in url_filter.alias_edges(pages).collect()] == [("http://g.io/1", blocked)]
-    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.alias_edges(pages)).collect()} == {1: "allow", 2: "block"}
+def test_what_is_no_tag_is_no_alias(spark):
+    """A page with nothing but noise declares nothing; one with noise before a true link declares that."""
+    blocked, rows = "http://a.com/en/1", []
+    for i, noise in enumerate(NOISE):
+        tags, _ = url_filter.declared(noise.format(blocked))
+        assert not any(url_filter.target_of(t, "http://f.io/1", None) for t in tags)
+        rows.append((2 * i, f"http://f.io/{i}", noise.format(blocked)))
+        rows.append((2 * i + 1, f"http://g.io/{i}", noise.format("http://h.io/") + f'<link title="a > b" rel=canonical href="{blocked}">'))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = url_filter.alias_edges(pages)
+    assert sorted(map(tuple, edges.collect())) == sorted((f"http://g.io/{i}", blocked) for i in range(len(NOISE)))
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, edges).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i in range(2 * len(NOISE))}
 
 
 def test_aliases_among_noise_against_brute_force(spark):
