@@ -84,6 +84,26 @@ def test_jaccard_pairs_against_all_pairs(spark, threshold):
     assert sorted((r["src"], r["dst"]) for r in pairs.jaccard_pairs(df, threshold).collect()) == want
 
 
+def test_overlap_pairs_of_copies_against_all_pairs(spark, monkeypatch):
+    """Nodes of the same items are compared once, however many there are; every pair comes out, with its items the right way round."""
+    rng = random.Random(8)
+    kinds = [["walnut", "cherry", "plum"], ["walnuts", "Cherry"], ["cherry", "walnuts"], ["plums1", "apple"], ["pear"]]
+    data = {i: [x.upper() if rng.random() < 0.3 else x for x in kinds[rng.randrange(5)]] for i in range(30)}
+    near = lambda x, y: x == y or {x, y} == {"walnut", "walnuts"}
+    want = {}
+    for i, j in itertools.combinations(data, 2):
+        hits = [(x.lower(), y.lower()) for x in data[i] for y in data[j] if near(x.lower(), y.lower())]
+        if len(hits) / (len(data[i]) * len(data[j])) >= 0.2:
+            want[i, j] = (pytest.approx(len(hits) / (len(data[i]) * len(data[j]))), sorted(set(hits)))
+    df = spark.createDataFrame(list(data.items()), "id long, items array<string>")
+    compared, whole = [], pairs._between_members
+    monkeypatch.setattr(pairs, "_between_members", lambda found, *more: compared.append(found.count()) or whole(found, *more))
+    monkeypatch.setattr(pairs._classes, "__defaults__", (3,))  # large classes are cut into blocks
+    got = pairs.overlap_pairs(df, 0.2, 0.85, 0).collect()
+    assert {(r["src"], r["dst"]): (r["score"], [tuple(x) for x in r["overlapped"]]) for r in got} == want and len(got) == len(want)
+    assert compared[0] <= 10 < len(want)
+
+
 def test_cosine_pairs_against_all_pairs(spark):
     x = np.random.default_rng(0).normal(size=(60, 4))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
