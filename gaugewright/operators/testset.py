@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import forget, written
 from .pairs import cosine_pairs
 from .sampling import shuffled
 
@@ -59,14 +59,36 @@ def matching_personas(nodes: DataFrame, personas: DataFrame, themes: str = "them
     return n.join(p, F.col("_t2") == F.col("_t")).select(*nodes.columns, "persona").dropDuplicates(["id", "persona"])
 
 
+#: Rows by hash among which the first ``n`` scenarios are sought; MOST at most, beyond that all rows are ranked.
+TRIED, MOST = 8, 100_000
+
+
+def _first_turns(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (node_id, term, persona, _k) with ``_o``: the hash, after a digit that puts the first row of each node and term ahead."""
+    rows = rows.distinct()
+    turn = F.row_number().over(Window.partitionBy("node_id", "term").orderBy(shuffled("_k", seed), "_k"))
+    return rows.withColumn("_o", F.concat(F.when(turn == 1, F.lit("0")).otherwise(F.lit("8")), shuffled("_k", seed)))
+
+
 def scenarios(terms: DataFrame, n: int, seed: int = 42, key: str = "node_id", term: str = "term", persona: str = "persona") -> DataFrame:
     """Up to ``n`` scenarios of (node, term, persona) with a style and a length: first one of each node and term, then the
-    others, in a fixed random order; styles and lengths go round so that they stay balanced."""
-    rows = terms.select(F.col(key).alias("node_id"), F.col(term).alias("term"), F.col(persona).alias("persona")).distinct()
+    others, in a fixed random order; styles and lengths go round so that they stay balanced.
+
+    What comes first among the least hashes of all comes first among all rows. So each task gives its least hashes, some times ``n`` of them, and
+    nothing else is shuffled; more are taken if these hold too few first rows, as where rows repeat."""
+    rows = terms.select(F.col(key).alias("node_id"), F.col(term).alias("term"), F.col(persona).alias("persona"))
     rows = rows.withColumn("_k", F.concat_ws("|", F.col("node_id").cast("string"), "term", "persona"))
-    turn = F.row_number().over(Window.partitionBy("node_id", "term").orderBy(shuffled("_k", seed), "_k"))
-    ordered = F.concat(F.when(turn == 1, F.lit("0")).otherwise(F.lit("8")), shuffled("_k", seed))
-    chosen = rows.withColumn("_o", ordered).orderBy("_o", "_k").limit(n)
+    tried, chosen = TRIED * n, None
+    while chosen is None and tried <= MOST:
+        held = written(rows.withColumn("_h", shuffled("_k", seed)).orderBy("_h", "_k").limit(tried), "least")
+        ranked = _first_turns(held.drop("_h"), seed)
+        # the last key of all that are held may have rows that are not
+        if held.count() < tried or ranked.where(F.col("_o").startswith("0")).limit(n + 1).count() > n:
+            chosen = ranked
+        else:
+            forget(held)
+            tried *= 16
+    chosen = (_first_turns(rows, seed) if chosen is None else chosen).orderBy("_o", "_k").limit(n)
     ranked = chosen.withColumn("_rank", F.row_number().over(Window.orderBy("_o", "_k")) - 1)  # the sample alone
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i, F.lit(len(names))) + 1).cast("int"))
     return ranked.select("node_id", "term", "persona", pick(STYLES, F.col("_rank")).alias("style"), pick(LENGTHS, F.floor(F.col("_rank") / len(STYLES))).alias("length"))

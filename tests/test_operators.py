@@ -171,6 +171,23 @@ def test_scenarios_take_terms_of_the_whole_text(spark, tmp_path):
     assert {r["term"] for r in got} == set("one two three four five six".split()) and len(got) == 18
 
 
+@pytest.mark.parametrize(("repeats", "most"), [(1, 100_000), (30, 100_000), (30, 50)])
+def test_scenarios_come_from_the_least_hashes(spark, monkeypatch, repeats, most):
+    """Only the least hashes are shuffled; where they repeat, more of them are, or all."""
+    from hashlib import md5
+
+    monkeypatch.setattr(testset, "MOST", most)
+    sizes, keep = [], testset._first_turns
+    monkeypatch.setattr(testset, "_first_turns", lambda df, seed: sizes.append(df.count()) or keep(df, seed))
+    data = [(i, t, p) for i in range(40) for t in "abc" for p in ("x", "y", "z")]
+    by_hash = sorted(data, key=lambda r: md5(f"42:{r[0]}|{r[1]}|{r[2]}".encode()).hexdigest())
+    first = list({r[:2]: r for r in by_hash[::-1]}.values())
+    want = [r for r in by_hash if r in first][:5]
+    df = spark.createDataFrame(data * repeats, "node_id long, term string, persona string")
+    assert rows(testset.scenarios(df, 5).select("node_id", "term", "persona")) == sorted(want)
+    assert sizes == ([40] if repeats == 1 else [40, 640] if most > 50 else [40, 10800])
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "")], "id long, text string")
     assert rows(splitters.window_chunks(df, 2)) == [(1, 0, "a b"), (1, 1, "c d"), (1, 2, "e")]
