@@ -104,6 +104,19 @@ def test_overlap_pairs_of_copies_against_all_pairs(spark, monkeypatch):
     assert compared[0] <= 10 < len(want)
 
 
+def test_jaccard_pairs_verifies_few_sets(spark, monkeypatch):
+    """Unlike sets that share rare items are refuted without their items, and copies are compared once; every pair comes out."""
+    rng = random.Random(2)
+    data = {i: [str(x) for x in rng.sample(range(150), 60)] for i in range(60)}
+    data |= {60 + i: data[0][::-1] for i in range(8)} | {70 + i: [*data[1][:57], "z"] for i in range(4)}
+    want = sorted((i, j) for i, j in itertools.combinations(data, 2) if len(set(data[i]) & set(data[j])) / len(set(data[i]) | set(data[j])) >= 0.8)
+    verified, whole = [], pairs._candidates
+    monkeypatch.setattr(pairs, "_candidates", lambda df: verified.append(df.count()) or whole(df))
+    df = spark.createDataFrame(list(data.items()), "id long, items array<string>")
+    assert sorted((r["src"], r["dst"]) for r in pairs.jaccard_pairs(df, 0.8).collect()) == want
+    assert len(want) == 36 + 10 and verified[0] < 10
+
+
 def test_cosine_pairs_against_all_pairs(spark):
     x = np.random.default_rng(0).normal(size=(60, 4))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
