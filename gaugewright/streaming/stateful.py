@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
@@ -29,14 +28,15 @@ def _moment(millis: int) -> datetime:
 
 class _Assembler(StatefulProcessor):
     """Of a key: the sessions that are open, each with its first and last time, and their turns. A turn joins the sessions that it lies within the
-    gap of, which may make one of two; when the watermark has passed a session's end it is given out and forgotten."""
+    gap of, which may make one of two; when the watermark has passed a session's end it is given out and forgotten. The state takes a few calls
+    a key in each batch, not a turn: calls cost a millisecond or so each."""
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getMapState("turns", "at long, turn long, role string, text string", "n int")
+        self.turns = handle.getListState("turns", "at long, turn long, role string, text string")
 
     def _sessions(self, rows: list[tuple]) -> list[list[tuple]]:
         out: list[list[tuple]] = []
@@ -47,40 +47,40 @@ class _Assembler(StatefulProcessor):
                 out.append([row])
         return out
 
-    def _held(self) -> dict[tuple, int]:
-        return {tuple(key): n for key, (n,) in self.turns.iterator()}
-
-    def _timers(self, held: dict[tuple, int]) -> None:
-        """One timer for each open session, at its end."""
-        ends = {s[-1][0] + self.gap for s in self._sessions(list(held))}
-        for old in list(self.handle.listTimers()):
-            if old not in ends:
+    def _wait(self, sessions: list[list[tuple]]) -> None:
+        """One timer, at the end of the session that ends first."""
+        first = min((s[-1][0] + self.gap for s in sessions), default=None)
+        there = list(self.handle.listTimers())
+        for old in there:
+            if old != first:
                 self.handle.deleteTimer(old)
-            ends.discard(old)
-        for end in ends:
-            self.handle.registerTimer(end)
+        if first is not None and first not in there:
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002 - names are Spark's
-        new: Counter[tuple] = Counter()
+        new: list[tuple] = []
         for pdf in rows:
-            new.update((_millis(ts), int(turn), role or "", text or "") for ts, turn, role, text in zip(pdf["ts_"], pdf["turn_"], pdf["role_"], pdf["text_"], strict=True))
-        held = self._held()
-        for turn, n in new.items():
-            held[turn] = held.get(turn, 0) + n
-            self.turns.updateValue(turn, (held[turn],))
-        self._timers(held)
+            new += [(_millis(ts), int(turn), role or "", text or "") for ts, turn, role, text in zip(pdf["ts_"], pdf["turn_"], pdf["role_"], pdf["text_"], strict=True)]
+        held = [tuple(row) for row in self.turns.get()] if self.turns.exists() else []
+        self.turns.appendList(new)
+        self._wait(self._sessions(held + new))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held, out = self._held(), []
-        for session in self._sessions(list(held)):
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        out, left = [], []
+        for session in self._sessions([tuple(row) for row in self.turns.get()]):
             if session[-1][0] + self.gap <= now:
-                ordered = sorted(row[1:] for row in session for _ in range(held[row]))
+                ordered = sorted(row[1:] for row in session)
                 out.append((key[0], _moment(session[0][0]), _moment(session[-1][0] + self.gap), [{"turn": t, "role": r, "text": x} for t, r, x in ordered]))
-                for row in session:
-                    self.turns.removeKey(row)
-        if out:  # the timers of the other sessions stay as they are
+            else:
+                left.append(session)
+        if left:
+            self.turns.put([row for session in left for row in session])
+        else:
+            self.turns.clear()
+        self._wait(left)
+        if out:
             yield pd.DataFrame(out, columns=["key_", "start", "end", "turns"])
 
     def close(self) -> None:
@@ -91,8 +91,8 @@ def assembled_conversations(stream: DataFrame, ts: str, key: str, order: str, ro
     """``key``, ``start``, ``end`` and ``turns`` (turn, role, text; by turn) of conversations: the turns of a key less than ``gap`` apart. Turns may come in
     any order and ``late``; those that come after the watermark has passed them are left out, as Spark's own windows do.
 
-    State holds the turns of open conversations alone, keyed by time and turn, so it is read and written turn by turn; a timer at
-    its end gives a conversation out and clears it. Null roles and texts are empty, null keys are a key like any other, repeated turns
+    State holds the turns of open conversations alone, a list for each key that is read and written as one; one timer a key, at the first end,
+    gives out all its conversations that the watermark has passed and clears them. Null roles and texts are empty, null keys are a key like any other, repeated turns
     stay. Needs the state store PROVIDER (``spark.sql.streaming.stateStore.providerClass``)."""
     gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
     kind = stream.schema[key].dataType.simpleString()

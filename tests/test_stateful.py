@@ -97,3 +97,63 @@ def test_drift_alarms(spark, tmp_path):
     minutes = lambda r: int((r["start"] - START).total_seconds() // 60)
     assert sorted((r["slice"], minutes(r), r["state"]) for r in got) == [("a", 20, "alarm"), ("a", 30, "cleared"), ("b", 10, "alarm"), ("b", 20, "cleared")]
     assert {r["n"] for r in got} == {4}
+
+
+class _Handle:
+    """State and timers of one key, and how often they were called."""
+
+    def __init__(self):
+        self.calls, self.times = 0, set()
+
+    def __getattr__(self, name):
+        def called(*more):
+            self.calls += 1
+            return self if name.startswith("get") and more else getattr(self, f"_{name}")(*more)
+
+        return called
+
+    _rows: list = []
+
+    def _exists(self):
+        return bool(self._rows)
+
+    def _get(self):
+        return iter(self._rows)
+
+    def _appendList(self, rows):  # noqa: N802
+        self._rows = self._rows + rows
+
+    def _put(self, rows):
+        self._rows = rows
+
+    def _clear(self):
+        self._rows = []
+
+    def _listTimers(self):  # noqa: N802
+        return iter(self.times)
+
+    def _registerTimer(self, at):  # noqa: N802
+        self.times.add(at)
+
+    def _deleteTimer(self, at):  # noqa: N802
+        self.times.discard(at)
+
+
+def test_state_is_called_a_few_times_a_key():
+    """200 conversations of a key: each is given out once, by one timer, with a few calls of the state."""
+    import pandas as pd
+
+    class _At:
+        def __init__(self, millis):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: millis
+
+    times = [START + timedelta(hours=h, minutes=m) for h in range(200) for m in (0, 5)]
+    rows = pd.DataFrame({"ts_": times, "turn_": range(400), "role_": "user", "text_": "x"})
+    handle, found = _Handle(), stateful._Assembler(600_000)
+    found.init(handle)
+    list(found.handleInputRows(("a",), iter([rows]), None))
+    assert len(handle.times) == 1
+    over = stateful._millis(times[-3]) + 600_000
+    out = pd.concat(found.handleExpiredTimer(("a",), _At(over), _At(over)))
+    assert len(out) == 199 and {len(x) for x in out["turns"]} == {2}
+    assert len(handle._rows) == 2 and handle.times == {stateful._millis(times[-1]) + 600_000} and handle.calls < 15
