@@ -8,8 +8,9 @@ Large cells are cut into blocks and each pair of blocks is a group of its own; a
 forest of its links, never all its pairs, which keeps the components whole.
 
 A distance of 3 bits is far below that of texts which share four fifths of their shingles (some 10 bits). Where near copies
-mean a Jaccard similarity of shingle sets, ``similar_texts`` finds all of them: in any one order of the shingles, two such
-sets share one among the first size - ceil(similarity * size) + 1 of each. These are the cells there, and exact sets verify.
+mean a Jaccard similarity of shingle sets, ``similar_texts`` takes the links of the fingerprints, verified by exact sets, and finds what
+they miss: in any one order of the shingles, two such sets share one among the first size - ceil(similarity * size) + 1 of
+each. These are the cells there, and exact sets verify.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,6 +36,8 @@ COPY_SIMILARITY = 0.8
 #: Texts that tell which shingles are common, and how many of these are known at most. They set the order, so the cost alone.
 COMMON_SAMPLE = 5_000
 COMMON = 100_000
+#: Longs of a set's parities.
+SIGNS = 8
 #: Fingerprints of a cell in one block.
 BLOCK = 1024
 #: Two-bit segments in each of the six groups.
@@ -236,13 +239,19 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     """``key`` and ``component`` of every row: the least key of the texts that links reach. Two texts are linked if the sets
     of their ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; no such pair is missed.
 
-    A text of fewer words is one shingle; texts without words, null ones included, are copies of each other. The texts of a
-    cell first meet its head, which joins large clusters in a linear number of pairs; only texts of a cell that are
-    still in different components meet each other. Other columns, whatever their names, are not read.
+    The links of the texts' fingerprints are candidates first, as are the texts of a cell with its head, which joins large clusters in
+    a linear number of pairs; only texts of a cell that are still in different components then meet each other. A text of fewer words is
+    one shingle; texts without words, null ones included, are copies of each other. Other columns, whatever their names, are not read.
     """
     return _similar(docs, key, text, width, similarity).select(F.col("key_").alias(key), "component")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parity of a set's hashes in each of SIGNS * 64 bits: two sets differ in as many hashes at least as in bits."""
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(64 * SIGNS), minlength=64 * SIGNS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _similar(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
     """``key_``, ``x_`` (a hash that only equal texts share), ``group_`` (one signature of each component) and ``component`` of every row."""
     if not 0 < similarity <= 1:
@@ -252,28 +261,33 @@ def _similar(docs: DataFrame, key: str, text: str, width: int, similarity: float
     order = np.argsort(common)
     shared_order = docs.sparkSession.sparkContext.broadcast((common[order], order))
 
-    @F.pandas_udf("sig_ long, size_ int, first_ array<long>")
+    @F.pandas_udf("sig_ long, size_ int, fp long, signs_ array<long>, first_ array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = shingle_set(t, width)
-            rows.append((_signature(t), len(hashes), first_shingles(hashes, *shared_order.value, similarity)))
-        return pd.DataFrame(rows, columns=["sig_", "size_", "first_"])
-
-    rows = written(picked.select("key_", F.xxhash64("text_").alias("x_"), of("text_").alias("r_")).select("key_", "x_", "r_.*"), "first")
-    texts = rows.groupBy("sig_").agg(F.min("key_").alias("least_"), F.min("x_").alias("x_"), F.first("size_").alias("size_"), F.first("first_").alias("first_"))
-    texts = written(texts, "texts")
-    cells = texts.select("sig_", "size_", F.posexplode("first_").alias("at_", "cell_"))
-    many = cells.groupBy("cell_").agg(F.count("*").alias("n_")).where("n_ > 1")
-    cells = written(cells.join(many, "cell_").select("cell_", "sig_", "size_", "at_"), "shared")
+            rows.append((_signature(t), len(hashes), fingerprint(t, width), parities(hashes), first_shingles(hashes, *shared_order.value, similarity)))
+        return pd.DataFrame(rows, columns=["sig_", "size_", "fp", "signs_", "first_"])
+
+    taken = written(picked.select("key_", F.xxhash64("text_").alias("x_"), of("text_").alias("r_")).select("key_", "x_", "r_.*"), "first")
+    one = [F.first(c).alias(c) for c in ("size_", "fp", "signs_", "first_")]
+    held = written(taken.groupBy("sig_").agg(F.min("key_").alias("least_"), F.min("x_").alias("x_"), *one), "held")
+    rows = written(taken.select("key_", "x_", "sig_"), "rows")
+    forget(taken)
+    cells = held.select("sig_", F.explode("first_").alias("cell_")).withColumn("n_", F.count("*").over(Window.partitionBy("cell_")))
+    shared = written(cells.where("n_ > 1").select("cell_", "sig_"), "shared")
+    texts = written(held.drop("first_"), "texts")
+    forget(held)
     # in a large cluster, a text without edits of its own shares most of its first shingles and lies in the middle
-    weights = cells.groupBy("sig_").agg(F.count("*").alias("w_"))
-    cells = written(cells.join(weights, "sig_"), "cells")
+    weights = shared.groupBy("sig_").agg(F.count("*").alias("w_")).join(texts.select("sig_", "size_"), "sig_")
+    cells = written(shared.join(weights, "sig_"), "cells")
+    forget(shared)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sig = [_signature(t) for t in pdf["text_"]]
-            yield pd.DataFrame({"sig_": sig, "set_": [shingle_set(t, width) for t in pdf["text_"]]})
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf["text_"].iloc[at : at + BLOCK]
+                yield pd.DataFrame({"sig_": [_signature(t) for t in part], "set_": [shingle_set(t, width) for t in part]})
 
     def fits(a: str, b: str) -> Column:
         return (F.col(a) >= similarity * F.col(b) - 1e-9) & (F.col(b) >= similarity * F.col(a) - 1e-9)
@@ -283,21 +297,24 @@ def _similar(docs: DataFrame, key: str, text: str, width: int, similarity: float
         later = F.greatest(*[F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in (m, n)])
         return (1 + similarity) * (shared + later) >= similarity * (F.col(m) + F.col(n)) - 1e-9
 
-    def ahead(m: str, i: str, n: str, j: str) -> Column:
-        """Whether two sets whose first common shingle has these places in their orders have enough shingles from there on."""
-        from_there = F.least(F.col(m) - F.col(i), F.col(n) - F.col(j))
-        return (1 + similarity) * from_there >= similarity * (F.col(m) + F.col(n)) - 1e-9
+    def close(s: str, t: str, m: str, n: str) -> Column:
+        """Whether the parities of two sets of these sizes leave open that they are similar."""
+        apart = F.lit(0)
+        for i in range(SIGNS):
+            apart = apart + F.bit_count(F.col(s)[i].bitwiseXOR(F.col(t)[i]))
+        return (1 + similarity) * apart <= (1 - similarity) * (F.col(m) + F.col(n)) + 1e-9
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of two sizes that fit, without those that the first shingles refute."""
-        for end, first, size in (("a", "s", "m"), ("b", "t", "n")):
-            pairs = pairs.join(texts.select(F.col("sig_").alias(end), F.col("first_").alias(first), F.col("size_").alias(size)), end)
-        return pairs.where(enough(F.size(F.array_intersect("s", "t")), "m", "n")).select("a", "b")
+        """Pairs (a, b) without those that their sizes or parities refute."""
+        for end, signs, size in (("a", "s", "m"), ("b", "t", "n")):
+            pairs = pairs.join(texts.select(F.col("sig_").alias(end), F.col("signs_").alias(signs), F.col("size_").alias(size)), end)
+        return pairs.where(fits("m", "n") & close("s", "t", "m", "n")).select("a", "b")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = written(pairs, label)
         ends = pairs.select(F.col("a").alias("sig_")).union(pairs.select("b")).distinct()
-        one = texts.join(ends, "sig_", "left_semi").select("x_")
+        # two numbers a text of a pair, sent to the tasks so that the texts stay where they are
+        one = F.broadcast(texts.join(ends, "sig_", "left_semi").select("x_"))
         held = picked.withColumn("x_", F.xxhash64("text_")).join(one, "x_", "left_semi").select("text_").mapInPandas(sets, "sig_ long, set_ array<long>")
         held = written(held.groupBy("sig_").agg(F.first("set_").alias("set_")), "sets")
         both = pairs.join(held.select(F.col("sig_").alias("a"), F.col("set_").alias("s")), "a").join(held.select(F.col("sig_").alias("b"), F.col("set_").alias("t")), "b")
@@ -306,25 +323,35 @@ def _similar(docs: DataFrame, key: str, text: str, width: int, similarity: float
         forget(pairs, held)
         return out
 
-    def joined(links: DataFrame, label: str) -> DataFrame:
-        """The cells of two components or more under the links found so far, with each text's component."""
-        found = connected_components(links, "a", "b").withColumnRenamed("node", "sig_")
-        found = written(cells.join(found, "sig_", "left").withColumn("c_", F.coalesce("component", "sig_")).drop("component"), label)
-        apart = found.groupBy("cell_").agg(F.min("c_").alias("low_"), F.max("c_").alias("high_")).where("low_ < high_").select("cell_")
-        return found.join(apart, "cell_")
-
-    # the texts of a cell meet its head: a few pairs a text, which join most of a large cluster
+    def components(found: DataFrame) -> DataFrame:
+        """``sig_`` and ``c_``, the component, of every text under these links."""
+        found = connected_components(found, "a", "b").withColumnRenamed("node", "sig_").withColumnRenamed("component", "component_")
+        return written(texts.join(found, "sig_", "left").select("sig_", F.coalesce("component_", "sig_").alias("c_")), "linked")
+
+    # texts of one fingerprint meet the least of them, and those of linked fingerprints each other
+    prints = written(texts.groupBy("fp").agg(F.min("sig_").alias("p_")), "prints")
+    alike = texts.join(prints, "fp").where("sig_ <> p_").select(F.col("p_").alias("a"), F.col("sig_").alias("b"))
+    near = links(prints).join(prints.select(F.col("fp").alias("a"), F.col("p_").alias("p")), "a").join(prints.select(F.col("fp").alias("b"), F.col("p_").alias("q")), "b")
+    alike = alike.union(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    # the texts of a cell meet its head: a few pairs a text, which join most of a large cluster; those that share few cells are left for later
     top = cells.groupBy("cell_").agg(F.max(F.struct("w_", "sig_", "size_")).alias("h_"))
     star = cells.join(top, "cell_").where((F.col("sig_") != F.col("h_.sig_")) & fits("size_", "h_.size_"))
-    links = verified(likely(star.select(F.least("sig_", "h_.sig_").alias("a"), F.greatest("sig_", "h_.sig_").alias("b")).distinct()), "star")
-    # then the texts of a cell that are still in different components meet
-    rest = written(joined(links, "joined").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.col("at_").alias("i"), F.col("c_").alias("c")), "apart")
-    right = rest.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("i").alias("j"), F.col("c").alias("d"))
-    rest = rest.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n") & ahead("m", "i", "n", "j"))
-    rest = likely(rest.select("a", "b").distinct())
-    linked = connected_components(links.union(verified(rest, "rest")), "a", "b").withColumnRenamed("node", "sig_")
-    linked = linked.withColumnRenamed("component", "component_")
-    linked = written(texts.select("sig_", "least_").join(linked, "sig_", "left").select("sig_", "least_", F.coalesce("component_", "sig_").alias("c_")), "linked")
+    star = star.groupBy(F.least("sig_", "h_.sig_").alias("a"), F.greatest("sig_", "h_.sig_").alias("b")).agg(F.count("*").alias("k"), F.first("size_").alias("m"), F.first("h_.size_").alias("n"))
+    star = star.where(enough(2 * F.col("k"), "m", "n")).select("a", "b")
+    found = verified(likely(alike.union(star).distinct()), "star")
+    # then the texts of a cell that are still in different components meet; how often two do is what they share of their first shingles
+    known = components(found)
+    ends = Window.partitionBy("cell_")
+    rest = cells.join(known, "sig_").withColumn("low_", F.min("c_").over(ends)).withColumn("high_", F.max("c_").over(ends)).where("low_ < high_")
+    rest = rest.join(texts.select("sig_", "signs_"), "sig_").select("cell_", F.col("sig_").alias("a"), F.col("size_").alias("m"), F.col("c_").alias("c"), F.col("signs_").alias("s"))
+    rest = written(rest, "apart")
+    forget(cells, known)
+    right = rest.select("cell_", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"), F.col("s").alias("t"))
+    met = rest.join(right, "cell_").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits("m", "n") & close("s", "t", "m", "n"))
+    met = met.groupBy("a", "b", "m", "n").agg(F.count("*").alias("k")).where(enough(F.col("k"), "m", "n"))
+    linked = components(found.union(verified(met.select("a", "b"), "rest")))
+    forget(rest)
+    linked = written(texts.select("sig_", "least_").join(linked, "sig_"), "named")
     least = linked.groupBy("c_").agg(F.min("least_").alias("component"))
     named = linked.join(least, "c_").select("sig_", F.col("c_").alias("group_"), "component")
     return rows.join(named, "sig_").select("key_", "x_", "group_", "component")

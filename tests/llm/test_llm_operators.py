@@ -230,6 +230,28 @@ def test_links_keep_every_component(spark, block):
     assert partition(brute_components(prints, lambda a, b: (a, b) in found)) == partition(want)
 
 
+def test_similar_texts_take_the_links_of_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "x"]), " ".join(reversed(words)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: linked.append({(r["a"], r["b"]) for r in links(fps).collect()}) or links(fps))
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_texts(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    prints = [simhash.fingerprint(t, simhash.COPY_SHINGLE) for t in texts[:2]]
+    assert prints[0] == prints[1] or linked[0] & {tuple(prints), tuple(prints[::-1])}
+
+
+def test_parities_never_refute_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 10, 500, 5000):
+        whole = rng.integers(-(2**63), 2**63, n, np.int64)
+        part, more = whole[: n - n // 9], rng.integers(-(2**63), 2**63, n // 9, np.int64)
+        a, b = (simhash.parities(np.unique(x)).view(np.uint64) for x in (whole, np.concatenate([part, more])))
+        assert len(a) == simhash.SIGNS and np.bitwise_count(a ^ b).sum() <= 2 * (n // 9)
+    assert not simhash.parities(np.zeros(0, np.int64)).any()
+
+
 def brute_similar(texts):
     """The components of all pairs with a Jaccard similarity of 0.8 or more, and the number of pairs beyond 3 bits."""
     sets = {}
