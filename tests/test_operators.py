@@ -117,6 +117,22 @@ def test_jaccard_pairs_verifies_few_sets(spark, monkeypatch):
     assert len(want) == 36 + 10 and verified[0] < 10
 
 
+def test_cosine_pairs_send_each_row_no_more_than_the_packs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(150, 6)), np.repeat(rng.normal(size=(1, 6)), 50, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sorted((i, j) for i in range(200) for j in range(i + 1, 200) if unit[i] @ unit[j] >= 0.5)
+    made, written = [], pairs.written
+    monkeypatch.setattr(pairs, "written", lambda df, label: made.append((label, out := written(df, label))) or out)
+    for packs, most in ((3, 1 << 25), (1, 1 << 25), (32, 1)):
+        made.clear()
+        monkeypatch.setattr(pairs, "PACKS", packs)
+        monkeypatch.setattr(pairs, "PACK_BYTES", most)
+        assert sorted((r["src"], r["dst"]) for r in pairs.cosine_pairs(df, 0.5, block_rows=8).collect()) == want
+        assert most == 1 or dict(made)["packs"].count() <= packs
+
+
 def test_cosine_pairs_against_all_pairs(spark):
     x = np.random.default_rng(0).normal(size=(60, 4))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
