@@ -25,11 +25,17 @@ def wanted_tokens(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Dat
     return written(rows.join(wanted, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("n")), "tokens")
 
 
+def _by_document(tokens: DataFrame, key: str) -> DataFrame:
+    """A document's tokens in one partition. The queries' terms come to them as a rule, so that scores are summed and ranked where the tokens are,
+    and neither a hit nor a frequent token is shuffled."""
+    return tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, doc, score, rank): how many of a query's words, repeats counted, the document has; only positive scores."""
     q = written(tokens(queries, query, text), "terms")
-    d = wanted_tokens(docs, q, doc, text).select(doc, F.col("token").alias("_t"))
-    hits = q.join(d, F.col("token") == F.col("_t")).groupBy(query, doc).agg(F.sum("n").alias("score"))
+    d = _by_document(wanted_tokens(docs, q, doc, text), doc).select(doc, F.col("token").alias("_t"))
+    hits = d.join(q, F.col("token") == F.col("_t")).groupBy(query, doc).agg(F.sum("n").alias("score"))
     return top_k(hits, query, "score", k, doc)
 
 
@@ -39,10 +45,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     q = written(tokens(queries, query, text), "terms").select(query, "token", F.col("n").alias("qn"))
     d = wanted_tokens(docs, q, doc, text)
     size = d.where("token = ''").agg(F.count("*").alias("N"), F.avg("len").alias("avg")).first()
-    wanted = q.join(d.groupBy("token").agg(F.count("*").alias("df")), "token")
+    wanted = written(q.join(d.groupBy("token").agg(F.count("*").alias("df")), "token"), "wanted")
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / (size["avg"] or 1.0)))
     idf = F.log(1 + (size["N"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = wanted.join(d, "token").groupBy(query, doc).agg(F.round(F.sum(F.col("qn") * idf * tf), 9).alias("score"))
+    hits = _by_document(d, doc).join(wanted, "token").groupBy(query, doc).agg(F.round(F.sum(F.col("qn") * idf * tf), 9).alias("score"))
     return top_k(hits, query, "score", k, doc)
 
 

@@ -1,13 +1,14 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewright.operators import aggregate, graph, judge, pairs, sampling, schema, splitters, testset
-from gaugewright.plans import align, evaluate, model
+from gaugewright.operators import aggregate, graph, judge, pairs, retrieval, sampling, schema, splitters, testset
+from gaugewright.plans import align, evaluate, model, queries
 from gaugewright.sources import catalog, records
 from gaugewright.streaming import continuous
 
@@ -117,6 +118,30 @@ def test_jaccard_pairs_verifies_few_sets(spark, monkeypatch):
     assert len(want) == 36 + 10 and verified[0] < 10
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_of_keywords_are_summed_where_a_documents_tokens_are(spark):
+    docs = spark.createDataFrame([(i, f"the word{i % 7} of {i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the word3"), (2, "word5 the the")], "query_id long, text string")
+    for top in (retrieval.keyword_top_k, retrieval.bm25_top_k):
+        got = top(docs, asked, 3)
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id#", plan_of(got))
+        assert [r["doc_id"] for r in got.where("query_id = 1").orderBy("rank").collect()] == [3, 10, 17]
+
+
+def test_nearest_sends_no_blocks_through_the_driver(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>")
+    got = pairs.nearest(rows.where("id < 3"), rows, 1, block_rows=4)
+    assert "Broadcast" not in plan_of(got) and got.where("query_id = row_id").count() == 3
+
+
+def test_triples_compare_vectors_once(spark):
+    plan = plan_of(queries.queries()["graph_triples"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("MapInPandas") == 1
+
+
 def test_cosine_pairs_send_each_row_no_more_than_the_packs(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(150, 6)), np.repeat(rng.normal(size=(1, 6)), 50, axis=0)])
