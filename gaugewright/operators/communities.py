@@ -21,8 +21,10 @@ SHARES = (2, 8, 32)
 #: Rounds of refinement: with each, about half of the nodes that still stand alone may join others.
 REFINEMENTS = 4
 GAIN = 1e-9
-#: Edges of a component that a task takes whole, and of the components that go to a task together, about.
-SMALL = 20_000
+#: Edges of a component that a task takes whole, or of what the rounds have left of a larger one: about 300 MB.
+SMALL = 1_000_000
+#: Edges of the components that go to a task together, about.
+TOGETHER = 20_000
 
 
 @dataclass(frozen=True)
@@ -207,20 +209,15 @@ def _local_parts(near: list[dict[int, float]], k: list[float], c: list[int], twi
     return part
 
 
-def local_leiden(u: list, v: list, twice: float) -> dict:
-    """The community of each node of the edges (u, v; each pair once), numbered; ``twice`` is the degrees' sum of the whole graph."""
-    names = sorted({*u, *v})
-    place = {x: i for i, x in enumerate(names)}
-    near: list[dict[int, float]] = [{} for _ in names]
-    for a, b in zip(u, v, strict=True):
-        near[place[a]][place[b]] = near[place[b]][place[a]] = 1.0
-    k, c, node = [float(len(d)) for d in near], list(range(len(names))), list(range(len(names)))
+def _local_levels(near: list[dict[int, float]], k: list[float], c: list[int], twice: float) -> list[int]:
+    """The community of each node, from the communities ``c`` on; ``near`` holds the weights both ways and no loops."""
+    node = list(range(len(near)))
     while True:
         _local_moves(near, k, c, twice)
         part = _local_parts(near, k, c, twice)
         order = {x: i for i, x in enumerate(dict.fromkeys(part))}
         if len(order) == len(part):
-            return {x: c[node[i]] for i, x in enumerate(names)}
+            return [c[i] for i in node]
         node = [order[part[i]] for i in node]
         sums, merged, kept = [0.0] * len(order), [{} for _ in order], [0] * len(order)
         first: dict[int, int] = {}
@@ -234,27 +231,76 @@ def local_leiden(u: list, v: list, twice: float) -> dict:
         near, k, c = merged, sums, kept
 
 
-def _in_tasks(edges: DataFrame, twice: float, small: int) -> DataFrame:
-    """``id`` and ``c``: the communities of components of at most ``small`` edges, packed into tasks by hash."""
+def _near(u: list, v: list, w: list[float], names: list) -> list[dict[int, float]]:
+    """The neighbours of each of ``names`` by their places, whose numbers are shared."""
+    place = {x: i for i, x in enumerate(names)}
+    near: list[dict[int, float]] = [{} for _ in names]
+    for a, b, x in zip(map(place.__getitem__, u), map(place.__getitem__, v), w, strict=True):
+        near[a][b] = near[b][a] = x
+    return near
+
+
+def _parted(near: list[dict[int, float]], c: list[int]) -> list[int]:
+    """For each node the first one of its community that it reaches within it."""
+    first = [-1] * len(near)
+    for i in range(len(near)):
+        todo = [i] if first[i] < 0 else []
+        for x in todo:
+            if first[x] < 0:
+                first[x] = i
+                todo += [j for j in near[x] if first[j] < 0 and c[j] == c[x]]
+    return first
+
+
+def local_leiden(u: list, v: list, twice: float) -> dict:
+    """The community of each node of the edges (u, v; each pair once), by its least node; ``twice`` is the degrees' sum of the whole graph."""
+    names = sorted({*u, *v})
+    near = _near(u, v, [1.0] * len(u), names)
+    c = _local_levels(near, [float(len(d)) for d in near], list(range(len(names))), twice)
+    return {x: names[i] for x, i in zip(names, _parted(near, c), strict=True)}
+
+
+def _in_tasks(edges: DataFrame, twice: float) -> DataFrame:
+    """``id`` and ``c``: the connected communities of whole components, packed into tasks by hash; ``c`` is the least id in it."""
     kind = edges.schema["u"].dataType.simpleString()
     pairs = edges.where("u < v")
-    bins = max(1, pairs.count() // small)
+    bins = max(1, pairs.count() // TOGETHER)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v"])
         found = local_leiden(pdf["u"].tolist(), pdf["v"].tolist(), twice)
-        least: dict[int, object] = {}
-        for x, c in found.items():
-            least[c] = min(least.get(c, x), x)
-        return pd.DataFrame({"id": list(found), "c": [least[c] for c in found.values()]})
+        return pd.DataFrame({"id": list(found), "c": list(found.values())})
+
+    return pairs.select("u", "v", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")).groupBy("bin").applyInPandas(run, f"id {kind}, c {kind}")
 
-    return pairs.groupBy(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")).applyInPandas(run, f"id {kind}, c {kind}")
 
+def _rest_in_task(level: Level, labels: DataFrame) -> DataFrame:
+    """``id`` and ``c``: the communities of a level of few edges, from its labels on, by one task."""
+    kind = level.nodes.schema["id"].dataType.simpleString()
+    nodes = level.nodes.join(labels, "id").select(F.col("id").alias("u"), F.col("c").alias("v"), F.col("k").alias("w"), F.lit(True).alias("node"))
+    rows = nodes.unionByName(level.edges.where("u < v").select("u", "v", "w", F.lit(False).alias("node"))).withColumn("all", F.lit(0))
+    twice = level.twice
 
-def _in_rounds(level: Level) -> DataFrame:
-    """``id`` and ``c``: the communities of the level's nodes."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v"])
+        nodes, edges = pdf[pdf["node"]], pdf[~pdf["node"]]
+        names = nodes["u"].tolist()
+        named = {c: i for i, c in enumerate(dict.fromkeys(nodes["v"]))}
+        near = _near(edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist(), names)
+        c = _local_levels(near, nodes["w"].tolist(), [named[x] for x in nodes["v"]], twice)
+        return pd.DataFrame({"id": names, "c": [names[i] for i in _parted(near, c)]})
+
+    return rows.groupBy("all").applyInPandas(run, f"id {kind}, c {kind}")
+
+
+def _in_rounds(level: Level, small: int) -> DataFrame:
+    """``id`` and ``c``: the communities of the level's nodes; a level of at most ``small`` edges is left to a task."""
     members = level.nodes.select("id", F.col("id").alias("node"))
     labels = level.nodes.select("id", F.col("id").alias("c"))
     while True:
+        if level.edges.count() <= 2 * small:
+            labels = _rest_in_task(level, labels)
+            return members.join(labels.select(F.col("id").alias("node"), "c"), "node").select("id", "c")
         labels = _moved(level, labels)
         parts = written(_refined(level, labels), "refined")
         count, fewer = parts.agg(F.count("*"), F.countDistinct("part")).first()
@@ -269,20 +315,21 @@ def leiden(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``id`` and ``community`` (the least id in it) of every node with an edge (src, dst) to another one; edges count without direction.
 
     Communities are connected. The result is the same for the same edges; null ends, loops and repeated edges add nothing, and an
-    empty table gives an empty one. Components of at most ``small`` edges are dealt with in tasks."""
+    empty table gives an empty one. Components of at most ``small`` edges are dealt with in tasks, larger ones in rounds over tables until what
+    is left of them has no more."""
     whole = first_level(edges)
     component = connected(whole.edges).select(F.col("id").alias("u"), F.col("least").alias("component"))
     placed = written(whole.edges.join(component, "u"), "placed")
     large = placed.groupBy("component").agg((F.count("*") / 2).alias("n")).where(F.col("n") > small).select("component")
     large = written(large, "large")
-    found = _in_tasks(placed.join(large, "component", "left_anti"), whole.twice, small)
-    if not large.isEmpty():
-        part = written(placed.join(large, "component", "left_semi").select("u", "v", "w"), "edges")
-        nodes = whole.nodes.join(part.select(F.col("u").alias("id")), "id", "left_semi")
-        found = found.unionByName(_in_rounds(Level(part, written(nodes, "nodes"), whole.twice)))
-    found = written(found, "found")
-    u = found.select(F.col("id").alias("u"), F.col("c").alias("cu"))
-    v = found.select(F.col("id").alias("v"), F.col("c").alias("cv"))
-    inside = written(whole.edges.join(u, "u").join(v, "v").where("cu = cv").select("u", "v"), "inside")
+    found = written(_in_tasks(placed.join(large, "component", "left_anti"), whole.twice), "found").select("id", F.col("c").alias("community"))
+    if large.isEmpty():
+        return found
+    part = written(placed.join(large, "component", "left_semi").select("u", "v", "w"), "edges")
+    nodes = whole.nodes.join(part.select(F.col("u").alias("id")), "id", "left_semi")
+    label = written(_in_rounds(Level(part, written(nodes, "nodes"), whole.twice), small), "found")
+    u = label.select(F.col("id").alias("u"), F.col("c").alias("cu"))
+    v = label.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+    inside = written(part.join(u, "u").join(v, "v").where("cu = cv").select("u", "v"), "inside")
     least = connected(inside)
-    return found.join(least, "id", "left").select("id", F.coalesce("least", "id").alias("community"))
+    return found.unionByName(label.join(least, "id", "left").select("id", F.coalesce("least", "id").alias("community")))

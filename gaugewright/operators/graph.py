@@ -106,6 +106,8 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 #: A community that could hold fewer simple paths than this is listed whole; of others so many walks of each length are taken.
 MOST_PATHS = 1000
+#: Steps that a task extends paths by, about: a step may make hundreds of paths, which its bytes do not tell.
+STEPS = 5000
 
 
 def simple_paths(edges: DataFrame, depth: int, starts: DataFrame | None = None) -> DataFrame:
@@ -113,9 +115,11 @@ def simple_paths(edges: DataFrame, depth: int, starts: DataFrame | None = None)
     steps = written(neighbours(edges), "steps")
     level = steps if starts is None else steps.join(starts.select(F.col("id").alias("_id")), F.col("src") == F.col("_id"), "left_semi")
     level = level.select(F.col("src").alias("root"), F.array("src", "dst").alias("path"))
-    found = level
+    found, parts = level, max(64, steps.count() // STEPS)
+    dealt = steps.repartition(parts, "src")
     for _ in range(depth - 1):
-        grown = level.join(steps, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        ends = level.withColumn("src", F.element_at("path", -1)).repartition(parts, "src")
+        grown = ends.join(dealt, "src").where(~F.array_contains("path", F.col("dst")))
         level = written(grown.select("root", F.concat("path", F.array("dst")).alias("path")), "paths")
         found = found.union(level)
     return found

@@ -217,3 +217,30 @@ def test_n_indirect_clusters(spark, n, depth):
         graph.n_indirect_clusters(as_graph(spark, edges), n, depth, F.lit(False))
     with pytest.raises(ValueError):
         graph.n_indirect_clusters(as_graph(spark, edges), 0, depth)
+
+
+def test_leiden_of_a_component_that_fits_takes_no_rounds(spark, monkeypatch):
+    """More edges than 20 000 in one component: a task takes it, in place of some dozens of rounds over tables."""
+    edges = [(100 * g + a, 100 * g + b) for g in range(21) for a in range(46) for b in range(a)] + [(100 * g, 100 * g + 101) for g in range(20)]
+    assert len(edges) > 20_000
+    monkeypatch.setattr(communities, "_in_rounds", lambda *_: pytest.fail("a component that fits went through rounds"))
+    got = {r["id"]: r["community"] for r in communities.leiden(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {100 * g + a: 100 * g for g in range(21) for a in range(46)}
+
+
+def test_levels_that_fit_are_left_to_a_task(spark, monkeypatch):
+    """Rounds deal with the first level alone, where the next one is small."""
+    levels, keep = [], communities._moved
+    monkeypatch.setattr(communities, "_moved", lambda level, labels: levels.append(level) or keep(level, labels))
+    edges = ring_of_cliques(4, 5)
+    got = {r["id"]: r["community"] for r in communities.leiden(spark.createDataFrame(edges, "src long, dst long"), 10).collect()}
+    assert len(levels) == 1 and got == {10 * c + i: 10 * c for c in range(4) for i in range(5)}
+
+
+def test_paths_are_made_in_many_tasks(spark):
+    """A small table of steps makes many paths, so its bytes alone must not decide on the tasks."""
+    edges = as_graph(spark, list(itertools.combinations(range(60), 2))).edges
+    found = graph.simple_paths(edges, 2)
+    assert found.count() == 60 * 59 + 60 * 59 * 58
+    files = {r["f"] for r in found.where("size(path) = 3").select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files) > 8
