@@ -9,6 +9,9 @@ from gaugewright.llm import packing, quality_classifier, quality_rules, simhash
 from gaugewright.llm.queries import table, vocabulary_path
 from gaugewright.llm.staging import forget, forget_new, fresh, tables, written
 
+#: Characters that a task of the last stage encodes at once: an executor's heap is large by then, so its Python has less room.
+PACKED_CHARS = 1_000_000
+
 
 def filter_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their frequent lines."""
@@ -30,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in their sequences."""
-    return packing.pack(docs, vocabulary_path())
+    return packing.pack(docs, vocabulary_path(), batch_chars=PACKED_CHARS)
 
 
 STAGES = [

@@ -361,6 +361,18 @@ def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def text_parts(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in parts as ``chunks`` cuts them, each with its first row's number; only a part at a time becomes Python's."""
+    start = size = 0
+    for i, n in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
+        if size and size + n > most:
+            yield start, column[start:i].to_pylist()
+            start, size = i, 0
+        size += n
+    if start < len(column):
+        yield start, column[start:].to_pylist()
+
+
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
     offsets = np.cumsum([0, *(len(b) // 4 for b in encoded)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, chunks
+from .bpe import BATCH_CHARS, Encoder, text_parts
 from .staging import written
 
 CAPACITY = 4096
@@ -35,19 +35,19 @@ GAP = 0.5
 STALLED = 500
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: ``key``, start, length, ids_crc32, doc_tokens. A null text counts as empty; each document ends with ``end_id``."""
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """One row per piece: ``key``, start, length, ids_crc32, doc_tokens. A null text counts as empty; each document ends with ``end_id``. A task
+    encodes about ``batch_chars`` characters at once: fewer take less memory and more time."""
     kind = docs.schema[key].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                encoded = [e + end for e in encoder(texts[part])]
+            for first, texts in text_parts(batch.column(1), batch_chars):
+                encoded = [e + end for e in encoder(texts)]
                 rows, starts, lengths, sums, totals = [], [], [], [], []
-                for row, e in enumerate(encoded, part.start):
+                for row, e in enumerate(encoded, first):
                     n = len(e) // 4
                     for at in range(0, n, capacity):
                         rows.append(row)
@@ -163,14 +163,14 @@ def slots(plan: list[tuple[int, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, key: str = "doc_id", text: str = "text", batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Pack all documents: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset; one row per piece.
 
     Pieces in a sequence lie without gaps from offset 0 and hold ``capacity`` ids at most. Null and empty texts are one
     piece of the end id; repeated rows are packed as often as they occur; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    pieces = cut_pieces(docs, path, capacity, end_id, key, text).withColumn("piece", F.monotonically_increasing_id())
+    pieces = cut_pieces(docs, path, capacity, end_id, key, text, batch_chars).withColumn("piece", F.monotonically_increasing_id())
     pieces = written(pieces, "pieces")
     salts = max(64, pieces.count() // RANKED_TOGETHER)
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))

@@ -943,3 +943,19 @@ def test_pipeline(spark, tmp_path):
     clash = corpus_pipeline.filter_by_classifier(spark, docs.withColumn("score_", F.lit("kept")), sf_dir)
     assert {r["score_"] for r in clash.collect()} == {"kept"}
     assert set(queries.queries()) == {f"op{n}_{x}" for n, x in enumerate("html_extraction topk_search packing url_filters quality_classifier bpe quality_rules simhash language_id sharding phrases spelling_variants toxicity".split(), 1)}
+
+
+def test_packing_takes_texts_in_parts(spark):
+    """The parts' size changes the memory, not the pieces."""
+    import pyarrow as pa
+
+    from gaugewright.llm import bpe, packing
+    from gaugewright.llm.queries import vocabulary_path
+
+    texts = ["ab" * 30, None, "", "é" * 45, "c d", "x" * 200, "y"]
+    parts = list(bpe.text_parts(pa.array([None, *texts]).slice(1), 100))
+    assert [first for first, _ in parts] == [0, 3, 5, 6] and [t for _, part in parts for t in part] == texts
+    assert list(bpe.text_parts(pa.array([], pa.string()))) == []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = packing.cut_pieces(docs, vocabulary_path(), batch_chars=50)
+    assert sorted(few.collect()) == sorted(packing.cut_pieces(docs, vocabulary_path()).collect()) and few.count() == len(texts)
