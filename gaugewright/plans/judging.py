@@ -41,7 +41,8 @@ class Judge:
         rows = df.withColumn("_prompt", prompt.render(**inputs) if shown is None else prompt.render_each(shown, **inputs))
         rows = rows.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 1 else rows
         number = F.col("sample_no") if n > 1 else F.lit(0)
-        keyed = rows.withColumn("_hash", F.sha2(F.to_json(F.struct(F.lit(self.model).alias("m"), number.alias("n"), F.col("_prompt").alias("p"))).cast("binary"), 256))
+        digest = lambda n: F.sha2(F.to_json(F.struct(F.lit(self.model).alias("m"), n.alias("n"), F.col("_prompt").alias("p"))).cast("binary"), 256)
+        keyed = rows.withColumn("_hash", digest(number))
 
         bare = replace(self, cache=None)  # what goes to the tasks
 
@@ -51,7 +52,8 @@ class Judge:
                 replies, errors = bare._replies(client, pdf["_prompt"].tolist(), prompt)
                 yield pd.DataFrame({"_hash": pdf["_hash"], "reply": replies, "error": errors})
 
-        requests = keyed.select("_hash", "_prompt").dropDuplicates(["_hash"])
+        # told apart by themselves: a key with its prompt beside it would be aggregated by sorting all prompts
+        requests = rows.select("_prompt", number.alias("_number")).distinct().select(digest(F.col("_number")).alias("_hash"), "_prompt")
         known = None
         if self.cache is not None:
             requests = written(requests, "requests")

@@ -294,3 +294,17 @@ def test_long_texts_are_asked_about_part_by_part(spark, monkeypatch):
     out = generate.transformed(generate.document_nodes(docs), [[generate.extract("title", Kept(RuleModel, "rules"))]])
     assert {r["id"]: r["title"] for r in out.nodes.collect()} == {"1": "one two three four", "2": "short text"}
     assert heard == [[("five six seven eight",), ("nine ten",), ("one two three four",), ("short text",)], [("one two three four",)]]
+
+
+def test_requests_are_told_apart_without_sorting_prompts(spark, monkeypatch, capsys):
+    """Equal requests are made once, and no task sorts the prompts for that."""
+    from gaugewright.plans import judging
+
+    asked, keep = [], judging.written
+    monkeypatch.setattr(judging, "written", lambda df, label: asked.append(df) or keep(df, label))
+    df = spark.range(40).select("id", (F.col("id") % 4).cast("string").alias("response"))
+    for n in (1, 2):
+        out = Judge(RuleModel, "told apart").ask(df, judge_metrics.PROMPTS["statements"], n=n, text=F.col("response")).collect()
+        assert len(out) == 40 * n and all(r["out"]["statements"] == [r["response"]] for r in out)
+        asked[-1].explain()
+        assert "SortAggregate" not in capsys.readouterr().out and asked[-1].count() == 4 * n
