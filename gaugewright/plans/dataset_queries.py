@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..operators import aggregate, graph, retrieval, sampling, schema, testset
 from ..sources import catalog, records
-from ..sources.shared import new_path
+from ..sources.shared import new_path, spread
 from ..streaming import continuous
 from . import align, generate
 from .evaluate import METRICS, custom_metric, run_experiment
@@ -58,7 +58,7 @@ def csv_comparison(spark: SparkSession, d: str) -> DataFrame:
     reference = F.concat(F.lit("a,b\n"), size, F.lit(","), "p_brand", end, "p_partkey", F.lit(",x\n"))
     first = F.when(size % 3 == 0, size).otherwise(size + 1)
     response = F.concat(F.lit("A, b\n"), first, F.lit(","), "p_brand", end, "p_partkey", F.when(size % 2 == 0, F.lit(",x\n")).otherwise(F.lit(",y\n")), F.lit("7,z\n"))
-    rows = table(spark, d, "part").select("p_partkey", reference.alias("reference"), response.alias("response"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_size", "p_brand")).select("p_partkey", reference.alias("reference"), response.alias("response"))
     of = lambda mode, metric: F.round(records.compared_csv(F.col("reference"), F.col("response"), mode, metric), 6)
     score = F.nanvl(F.round(METRICS["data_compare_score"].score(), 6), F.lit(-1.0))
     return rows.select("p_partkey", score.alias("data_compare_score"), of("rows", "precision").alias("row_precision"), of("columns", "recall").alias("column_recall"))

@@ -88,3 +88,14 @@ def test_slices_of_checks(spark):
     assert got == {None: (True, 3, 1, 2.0), "easy": (False, 2, 1, 1.0), "hard": (False, 1, 0, 3.0)}
     assert rows(aggregate.error_kinds(checks)) == [("syntax", 2)]
     assert aggregate.validation_slices(checks.limit(0), "level").count() == 0
+
+
+def test_csv_rows_of_a_small_file_go_to_many_tasks(spark, tmp_path):
+    from gaugewright.plans import dataset_queries
+
+    path = f"file://{tmp_path}/part.parquet"
+    spark.range(1, 65, numPartitions=1).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "concat('b', id) AS p_brand").write.parquet(path)
+    got = dataset_queries.csv_comparison(spark, f"file://{tmp_path}")
+    assert got.select(F.spark_partition_id().alias("t")).distinct().count() > 8
+    agrees = {r["p_partkey"]: (int(r["p_partkey"] % 50 % 3 == 0) + int(r["p_partkey"] % 50 % 2 == 0), r["row_precision"]) for r in got.collect()}
+    assert len(agrees) == 64 and all(p == pytest.approx(k / 3, abs=1e-6) for k, p in agrees.values())
