@@ -80,8 +80,9 @@ SPLITTERS = {"headline_chunks": HeadlineChunks, "word_windows": WordWindows, "to
 
 
 def table_function(name: str):  # noqa: ANN201
-    """A splitter for lateral joins: its arguments are columns, those of the other side as ``.outer()``; it gives ``pos`` and ``chunk``."""
-    return F.udtf(SPLITTERS[name], returnType="pos int, chunk string", useArrow=True)
+    """A splitter for lateral joins: its arguments are columns, those of the other side as ``.outer()``; it gives ``pos`` and ``chunk``. Rows go
+    to Python in short runs, not as Arrow batches: a worker would hold thousands of texts at once, with their headlines and chunks."""
+    return F.udtf(SPLITTERS[name], returnType="pos int, chunk string", useArrow=False)
 
 
 def register_splitters(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 """BLEU over streams, results within tolerances, nested dates, table functions, usage by one parse."""
 
 import json
+import os
 import random
 
 import public_tokenizers
@@ -125,6 +126,19 @@ def test_splitters_in_sql(spark):
         tokens.token_windows(texts, path, 4, 4)
 
 
+def test_splitters_take_few_texts_at_once(spark, monkeypatch):
+    class Resident:
+        def eval(self, text, headlines, least, most):
+            with open("/proc/self/statm") as f:
+                yield 0, f.read().split()[1]
+
+    monkeypatch.setitem(splitters.SPLITTERS, "headline_chunks", Resident)
+    monkeypatch.setitem(spark.sparkContext.environment, "FRESH_WORKERS", "1")  # no worker that has grown in another test
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 20_000).alias("text")).withColumn("headlines", F.array("text"))
+    pages = splitters.headline_chunks(docs).select(F.max(F.col("chunk").cast("long"))).first()[0]
+    assert pages * os.sysconf("SC_PAGE_SIZE") < 200e6  # an Arrow batch takes it to 320e6
+
+
 def test_usage_is_parsed_once(spark):
     replies = [
         ("anthropic", {"model": "m", "usage": {"input_tokens": 3, "output_tokens": 4}}, (3, 4, "m")),
