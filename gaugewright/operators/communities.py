@@ -8,9 +8,12 @@ nodes. Every round is a few joins and groupings by node or community; what comes
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ SHARES = (2, 8, 32)
 #: Rounds of refinement: with each, about half of the nodes that still stand alone may join others.
 REFINEMENTS = 4
 GAIN = 1e-9
-#: Edges of a component that a task takes whole, or of what the rounds have left of a larger one: about 300 MB.
-SMALL = 1_000_000
+#: Edges of a component that a task takes whole, or of what the rounds have left of a larger one: about 400 MB.
+SMALL = 5_000_000
 #: Edges of the components that go to a task together, about.
 TOGETHER = 20_000
 
@@ -162,45 +165,106 @@ def connected(pairs: DataFrame) -> DataFrame:
             return held.select("id", "least")
 
 
-def _local_moves(near: list[dict[int, float]], k: list[float], c: list[int], twice: float) -> None:
+@dataclass(frozen=True)
+class Near:
+    """The neighbours of nodes by their places: those of place i are ``ends[start[i]:start[i + 1]]``, both ways and without loops. All weights are 1
+    where there is no ``weights``. Twelve bytes an edge and direction at most, where dictionaries take a hundred."""
+
+    start: np.ndarray
+    ends: np.ndarray
+    weights: np.ndarray | None
+
+    def of(self, i: int) -> tuple[list[int], Iterable[float]]:
+        a, b = self.start[i], self.start[i + 1]
+        return self.ends[a:b].tolist(), repeat(1.0) if self.weights is None else self.weights[a:b].tolist()
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))
+
+    def summed(self, to: np.ndarray, n: int) -> Near:
+        """The places merged as ``to`` says, into ``n``."""
+        key = to[self.rows()].astype(np.int64) * n + to[self.ends]
+        if self.weights is None:
+            key, w = np.unique(key, return_counts=True)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key, w = key[first], np.add.reduceat(self.weights[order], first) if len(first) else self.weights
+        apart = key // n != key % n
+        return _near_of_keys(key[apart], n, w[apart].astype(float))
+
+
+def _near_of_keys(key: np.ndarray, n: int, weights: np.ndarray | None = None) -> Near:
+    """Of sorted keys, place * n + place."""
+    start = np.searchsorted(key, np.arange(n + 1, dtype=np.int64) * n)
+    return Near(start, (key % n).astype(np.int32), weights)
+
+
+def _near(u: np.ndarray, v: np.ndarray, names: np.ndarray, w: np.ndarray | None = None) -> Near:
+    """Of edges, each there once, between the sorted ``names``."""
+    n = len(names)
+    u, v = (np.searchsorted(names, x) for x in (u, v))
+    key = np.concatenate([u * n + v, v * n + u])
+    del u, v
+    if w is None:
+        key.sort()
+        return _near_of_keys(key, n)
+    order = np.argsort(key, kind="stable")
+    return _near_of_keys(key[order], n, np.concatenate([w, w])[order])
+
+
+def _local_moves(near: Near, k: list[float], c: list[int], twice: float) -> None:
     """Nodes move one by one to the best community around, until none gains; who has a neighbour that left is asked again."""
-    total: dict[int, float] = {}
-    for i, x in enumerate(c):
-        total[x] = total.get(x, 0.0) + k[i]
-    todo, queued = list(range(len(c))), set(range(len(c)))
+    total = np.bincount(c, k, len(c)).tolist()
+    todo, queued = list(range(len(c))), bytearray(b"\1" * len(c))
     for i in todo:
-        queued.discard(i)
-        inside: dict[int, float] = {c[i]: 0.0}
-        for j, w in near[i].items():
-            inside[c[j]] = inside.get(c[j], 0.0) + w
-        worth = {x: w - k[i] * (total[x] - (k[i] if x == c[i] else 0.0)) / twice for x, w in inside.items()}
-        best = min(worth, key=lambda x: (-worth[x], x))
-        if worth[best] > worth[c[i]] + GAIN:
-            total[c[i]] -= k[i]
-            total[best] += k[i]
+        queued[i] = 0
+        ends, weights = near.of(i)
+        own, mine = c[i], k[i]
+        inside = {own: 0.0}
+        for j, w in zip(ends, weights):
+            x = c[j]
+            inside[x] = inside.get(x, 0.0) + w
+        share = mine / twice
+        stay = inside.pop(own) - share * (total[own] - mine)
+        best, most = own, stay + GAIN
+        for x, w in inside.items():
+            worth = w - share * total[x]
+            if worth > most or (worth == most and x < best != own):
+                best, most = x, worth
+        if best != own:
+            total[own] -= mine
+            total[best] += mine
             c[i] = best
-            again = [j for j in near[i] if c[j] != best and j not in queued]
-            todo += again
-            queued.update(again)
+            for j in ends:
+                if c[j] != best and not queued[j]:
+                    queued[j] = 1
+                    todo.append(j)
 
 
-def _local_parts(near: list[dict[int, float]], k: list[float], c: list[int], twice: float) -> list[int]:
+def _local_parts(near: Near, k: list[float], c: list[int], twice: float) -> list[int]:
     """The communities' parts: nodes that still stand alone join the best well-knit part of their community around them."""
-    part, size, all_k = list(range(len(c))), [1] * len(c), {}
+    part, size, all_k = list(range(len(c))), [1] * len(c), np.bincount(c, k, len(c)).tolist()
+    rows, label = near.rows(), np.asarray(c)
+    within = label[rows] == label[near.ends]
+    out = np.bincount(rows[within], None if near.weights is None else near.weights[within], len(c)).astype(float).tolist()
+    del rows, within
+    part_k = list(k)
     for i, x in enumerate(c):
-        all_k[x] = all_k.get(x, 0.0) + k[i]
-    part_k, out = k.copy(), [sum(w for j, w in near[i].items() if c[j] == c[i]) for i in range(len(c))]
-    well = lambda weight, mine, x: weight >= mine * (all_k[x] - mine) / twice
-    for i in range(len(c)):
-        if size[part[i]] > 1 or not well(out[i], k[i], c[i]):
+        if size[part[i]] > 1 or out[i] < k[i] * (all_k[x] - k[i]) / twice:
             continue
         inside: dict[int, float] = {}
-        for j, w in near[i].items():
-            if c[j] == c[i] and part[j] != part[i]:
-                inside[part[j]] = inside.get(part[j], 0.0) + w
-        gains = {x: w - k[i] * part_k[x] / twice for x, w in inside.items() if well(out[x], part_k[x], c[i])}
-        best = min(gains, key=lambda x: (-gains[x], x), default=None)
-        if best is not None and gains[best] > 0:
+        for j, w in zip(*near.of(i)):
+            if c[j] == x and (p := part[j]) != part[i]:
+                inside[p] = inside.get(p, 0.0) + w
+        best, most = -1, 0.0
+        for p, w in inside.items():
+            if out[p] >= part_k[p] * (all_k[x] - part_k[p]) / twice:
+                gain = w - k[i] * part_k[p] / twice
+                if gain > most or (gain == most and p < best):
+                    best, most = p, gain
+        if best >= 0:
             out[best] += out[i] - 2 * inside[best]
             size[best] += size[part[i]]
             size[part[i]] = 0
@@ -209,88 +273,69 @@ def _local_parts(near: list[dict[int, float]], k: list[float], c: list[int], twi
     return part
 
 
-def _local_levels(near: list[dict[int, float]], k: list[float], c: list[int], twice: float) -> list[int]:
-    """The community of each node, from the communities ``c`` on; ``near`` holds the weights both ways and no loops."""
-    node = list(range(len(near)))
+def _local_levels(near: Near, k: list[float], c: list[int], twice: float) -> np.ndarray:
+    """The community of each node, from the communities ``c`` on."""
+    node = np.arange(len(c))
     while True:
         _local_moves(near, k, c, twice)
-        part = _local_parts(near, k, c, twice)
-        order = {x: i for i, x in enumerate(dict.fromkeys(part))}
-        if len(order) == len(part):
-            return [c[i] for i in node]
-        node = [order[part[i]] for i in node]
-        sums, merged, kept = [0.0] * len(order), [{} for _ in order], [0] * len(order)
+        names, to = np.unique(_local_parts(near, k, c, twice), return_inverse=True)
+        if len(names) == len(c):
+            return np.asarray(c)[node]
+        node = to[node]
+        k = np.bincount(to, k, len(names)).tolist()
         first: dict[int, int] = {}
-        for i, x in enumerate(part):
-            mine = order[x]
-            sums[mine] += k[i]
-            kept[mine] = first.setdefault(c[i], mine)  # a community is named by its first part
-            for j, w in near[i].items():
-                if (other := order[part[j]]) != mine:
-                    merged[mine][other] = merged[mine].get(other, 0.0) + w
-        near, k, c = merged, sums, kept
-
-
-def _near(u: list, v: list, w: list[float], names: list) -> list[dict[int, float]]:
-    """The neighbours of each of ``names`` by their places, whose numbers are shared."""
-    place = {x: i for i, x in enumerate(names)}
-    near: list[dict[int, float]] = [{} for _ in names]
-    for a, b, x in zip(map(place.__getitem__, u), map(place.__getitem__, v), w, strict=True):
-        near[a][b] = near[b][a] = x
-    return near
-
-
-def _parted(near: list[dict[int, float]], c: list[int]) -> list[int]:
+        c = [first.setdefault(c[x], i) for i, x in enumerate(names.tolist())]  # a community is named by its first part
+        near = near.summed(to.astype(np.int32), len(names))
+
+
+def _parted(near: Near, c: np.ndarray) -> np.ndarray:
     """For each node the first one of its community that it reaches within it."""
-    first = [-1] * len(near)
-    for i in range(len(near)):
+    label, first = c.tolist(), [-1] * len(c)
+    for i in range(len(first)):
         todo = [i] if first[i] < 0 else []
         for x in todo:
             if first[x] < 0:
                 first[x] = i
-                todo += [j for j in near[x] if first[j] < 0 and c[j] == c[x]]
-    return first
+                todo += [j for j in near.of(x)[0] if first[j] < 0 and label[j] == label[x]]
+    return np.asarray(first, int)
 
 
-def local_leiden(u: list, v: list, twice: float) -> dict:
-    """The community of each node of the edges (u, v; each pair once), by its least node; ``twice`` is the degrees' sum of the whole graph."""
-    names = sorted({*u, *v})
-    near = _near(u, v, [1.0] * len(u), names)
-    c = _local_levels(near, [float(len(d)) for d in near], list(range(len(names))), twice)
-    return {x: names[i] for x, i in zip(names, _parted(near, c), strict=True)}
+def local_leiden(u: np.ndarray, v: np.ndarray, twice: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v; whole numbers, each pair once) and their communities, by the least node; ``twice`` is the degrees' sum of the whole graph."""
+    names = np.union1d(u, v)
+    near = _near(u, v, names)
+    c = _local_levels(near, np.diff(near.start).astype(float).tolist(), list(range(len(names))), twice)
+    return names, names[_parted(near, c)]
 
 
 def _in_tasks(edges: DataFrame, twice: float) -> DataFrame:
     """``id`` and ``c``: the connected communities of whole components, packed into tasks by hash; ``c`` is the least id in it."""
-    kind = edges.schema["u"].dataType.simpleString()
     pairs = edges.where("u < v")
     bins = max(1, pairs.count() // TOGETHER)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "v"])
-        found = local_leiden(pdf["u"].tolist(), pdf["v"].tolist(), twice)
-        return pd.DataFrame({"id": list(found), "c": list(found.values())})
+    def run(table: pa.Table) -> pa.Table:
+        names, c = local_leiden(table["u"].to_numpy(), table["v"].to_numpy(), twice)
+        return pa.table({"id": names, "c": c})
 
-    return pairs.select("u", "v", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")).groupBy("bin").applyInPandas(run, f"id {kind}, c {kind}")
+    return pairs.select("u", "v", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(run, "id long, c long")
 
 
 def _rest_in_task(level: Level, labels: DataFrame) -> DataFrame:
     """``id`` and ``c``: the communities of a level of few edges, from its labels on, by one task."""
-    kind = level.nodes.schema["id"].dataType.simpleString()
     nodes = level.nodes.join(labels, "id").select(F.col("id").alias("u"), F.col("c").alias("v"), F.col("k").alias("w"), F.lit(True).alias("node"))
     rows = nodes.unionByName(level.edges.where("u < v").select("u", "v", "w", F.lit(False).alias("node"))).withColumn("all", F.lit(0))
     twice = level.twice
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "v"])
-        nodes, edges = pdf[pdf["node"]], pdf[~pdf["node"]]
-        names = nodes["u"].tolist()
-        named = {c: i for i, c in enumerate(dict.fromkeys(nodes["v"]))}
-        near = _near(edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist(), names)
-        c = _local_levels(near, nodes["w"].tolist(), [named[x] for x in nodes["v"]], twice)
-        return pd.DataFrame({"id": names, "c": [names[i] for i in _parted(near, c)]})
+    def run(table: pa.Table) -> pa.Table:
+        u, v, w, node = (table[x].to_numpy() for x in ("u", "v", "w", "node"))
+        order = np.argsort(u[node])
+        names, named, k = (x[node][order] for x in (u, v, w))
+        near = _near(u[~node], v[~node], names, w[~node])
+        first: dict[int, int] = {}
+        c = [first.setdefault(x, i) for i, x in enumerate(named.tolist())]
+        return pa.table({"id": names, "c": names[_parted(near, _local_levels(near, k.tolist(), c, twice))]})
 
-    return rows.groupBy("all").applyInPandas(run, f"id {kind}, c {kind}")
+    return rows.groupBy("all").applyInArrow(run, "id long, c long")
 
 
 def _in_rounds(level: Level, small: int) -> DataFrame:
@@ -311,20 +356,35 @@ def _in_rounds(level: Level, small: int) -> DataFrame:
         labels = written(parts.groupBy(F.col("part").alias("id")).agg(F.first("c").alias("c")), "labels")
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ends of edges (src, dst) with their numbers (id, number) in the ids' order, from 0, and the edges between the numbers."""
+    ends = edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    placed = written(ends.orderBy("id").withColumn("at", F.monotonically_increasing_id()), "ids")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count("*")).collect())
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    starts = edges.sparkSession.createDataFrame(before, "part long, start long")
+    ids = written(placed.join(F.broadcast(starts), part == F.col("part")).select("id", (F.col("start") + place).alias("number")), "ids")
+    u, v = (ids.select(F.col("id").alias(x), F.col("number").alias(y)) for x, y in (("src", "u"), ("dst", "v")))
+    return ids, edges.select("src", "dst").join(u, "src").join(v, "dst").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+
+
 def leiden(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``id`` and ``community`` (the least id in it) of every node with an edge (src, dst) to another one; edges count without direction.
 
     Communities are connected. The result is the same for the same edges; null ends, loops and repeated edges add nothing, and an
     empty table gives an empty one. Components of at most ``small`` edges are dealt with in tasks, larger ones in rounds over tables until what
     is left of them has no more."""
+    ids, edges = _numbered(edges)
     whole = first_level(edges)
     component = connected(whole.edges).select(F.col("id").alias("u"), F.col("least").alias("component"))
     placed = written(whole.edges.join(component, "u"), "placed")
     large = placed.groupBy("component").agg((F.count("*") / 2).alias("n")).where(F.col("n") > small).select("component")
     large = written(large, "large")
     found = written(_in_tasks(placed.join(large, "component", "left_anti"), whole.twice), "found").select("id", F.col("c").alias("community"))
+    named = lambda df: df.join(ids.select(F.col("number").alias("id"), F.col("id").alias("name")), "id").join(ids.select(F.col("number").alias("community"), F.col("id").alias("least")), "community").select(F.col("name").alias("id"), F.col("least").alias("community"))
     if large.isEmpty():
-        return found
+        return named(found)
     part = written(placed.join(large, "component", "left_semi").select("u", "v", "w"), "edges")
     nodes = whole.nodes.join(part.select(F.col("u").alias("id")), "id", "left_semi")
     label = written(_in_rounds(Level(part, written(nodes, "nodes"), whole.twice), small), "found")
@@ -332,4 +392,4 @@ def leiden(edges: DataFrame, small: int = SMALL) -> DataFrame:
     v = label.select(F.col("id").alias("v"), F.col("c").alias("cv"))
     inside = written(part.join(u, "u").join(v, "v").where("cu = cv").select("u", "v"), "inside")
     least = connected(inside)
-    return found.unionByName(label.join(least, "id", "left").select("id", F.coalesce("least", "id").alias("community")))
+    return named(found.unionByName(label.join(least, "id", "left").select("id", F.coalesce("least", "id").alias("community"))))
