@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import prod
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .communities import leiden
+from .communities import SMALL, leiden
 
 
 @dataclass(frozen=True)
@@ -125,6 +129,121 @@ def simple_paths(edges: DataFrame, depth: int, starts: DataFrame | None = None)
     return found
 
 
+#: Steps of the communities that are packed together, about; paths that a task lists, about; cells of a table of neighbours; sets of a batch.
+PACKED, LISTED, CELLS, BATCH = 200_000, 4_000_000, 1 << 22, 1 << 16
+
+
+def _starts(ends: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(ends, np.arange(n + 1))
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """Steps (src, dst) as one row: the nodes' sorted names, and the places that each node leads to and is reached from."""
+    names = pc.unique(pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]))
+    names = names.take(pc.sort_indices(names))
+    u, v = (pc.index_in(table[c], value_set=names).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    n, row = len(names), {}
+    for way, key in (("out", u * n + v), ("into", v * n + u)):
+        key.sort()
+        row[way] = key
+    same, paths = bool(np.array_equal(row["out"], row["into"])), int(np.bincount(u, minlength=n) @ np.bincount(v, minlength=n))
+    parts = {way: [x.tobytes() for x in (_starts(key // n, n), (key % n).astype(np.int32))] for way, key in row.items()}
+    if same:  # every step goes both ways
+        parts["into"] = [b"", b""]
+    return pa.table({"names": pa.ListArray.from_arrays([0, n], names), "shares": pa.array([1 + paths // LISTED], "int32"), **{f"{way}_{what}": pa.array([x], "binary") for way, both in parts.items() for what, x in zip(("start", "ends"), both)}})
+
+
+def _of_middle(b: int, out: tuple[np.ndarray, np.ndarray], into: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y so that a path of two steps leads over ``b`` between them, and none over a smaller one of the three: so each set comes up once.
+    ``place`` is -1 everywhere, before and after."""
+    of = lambda steps, i: steps[1][steps[0][i] : steps[0][i + 1]]
+    near = of(out, b) if into is out else np.union1d(of(out, b), of(into, b))
+    d = len(near)
+    place[near] = np.arange(d)
+    to, back = (np.ones(d, bool) if into is out else np.isin(near, of(steps, b), assume_unique=True) for steps in (out, into))
+
+    def joined(steps: tuple[np.ndarray, np.ndarray], xs: np.ndarray) -> np.ndarray:
+        first, many = steps[0][xs], steps[0][xs + 1] - steps[0][xs]
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        column, row = place[steps[1][at]], np.repeat(np.arange(len(xs)), many)
+        found = np.zeros((len(xs), d), bool)
+        found[row[column >= 0], column[column >= 0]] = True
+        return found
+
+    for low in range(0, d, max(1, CELLS // max(1, d))):
+        xs = near[low : low + max(1, CELLS // d)]
+        i = slice(low, low + len(xs))
+        leads = joined(out, xs)  # from x to y
+        led = leads if into is out else joined(into, xs)  # from y to x
+        over_x = (to[i, None] & leads) | (back[i, None] & led)
+        over_y = (to & led) | (back & leads)
+        kept = (back[i, None] & to) | (to[i, None] & back)
+        kept &= ~(over_x & (xs < b)[:, None]) & ~(over_y & (near < b))
+        x, y = np.nonzero(kept & (np.arange(d) > np.arange(low, low + len(xs))[:, None]))
+        yield xs[x], near[y]
+    place[near] = -1
+
+
+def _listed(names: pa.Array, share: int, shares: int, out: tuple[np.ndarray, np.ndarray], into: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The sets of every ``shares``-th node, as the end of one step or the middle of two."""
+
+    def batches(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts)
+        for at in range(0, len(rows), BATCH):
+            some = rows[at : at + BATCH]
+            ends = np.arange(len(some) + 1, dtype=np.int32) * rows.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, names.take(pa.array(some.ravel())))], ["cluster"])
+
+    place, twos, threes, held = np.full(len(names), -1, np.int32), [], [], 0
+    for b in range(share, len(names), shares):
+        ends = np.concatenate([steps[1][steps[0][b] : steps[0][b + 1]] for steps in (out, into)])
+        later = np.unique(ends[ends > b])
+        twos.append(np.stack([np.full(len(later), b, np.int32), later], 1))
+        for x, y in _of_middle(b, out, into, place):
+            low, high = np.minimum(x, b), np.maximum(y, b)
+            threes.append(np.stack([low, x + y + b - low - high, high], 1).astype(np.int32))
+            held += len(x)
+            if held >= BATCH:
+                yield from batches(threes)
+                threes, held = [], 0
+    for parts in (twos, threes):
+        if parts:
+            yield from batches(parts)
+
+
+def sets_of_two_steps(steps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``cluster`` (sorted ids): the different node sets of paths of 1 or 2 of the ``steps`` (src, dst), each within one of ``groups`` (id, community).
+
+    The communities' steps are packed, each into a row, and go to as many tasks as their paths ask for. A task lists the paths over its own
+    nodes, and leaves out the sets that a path over a smaller node has too, so the sets need not meet to be told apart."""
+    kind = steps.schema["src"].dataType.simpleString()
+    steps = written(steps.join(groups.select(F.col("id").alias("src"), "community"), "src"), "steps")
+    size = written(steps.groupBy("community").agg(F.count("*").alias("n")), "sizes")
+    bins = max(1, steps.count() // PACKED)
+    key = F.when(F.col("n") > PACKED, F.xxhash64("community")).otherwise(F.pmod(F.xxhash64("community"), F.lit(bins)))
+    fit = size.where(F.col("n") <= 2 * SMALL).select("community", key.alias("key"))
+    ways = [f"{way}_{what}" for way in ("out", "into") for what in ("start", "ends")]
+    packs = steps.join(fit, "community").groupBy("key").applyInArrow(lambda _, table: _packed(table.select(["src", "dst"])), f"names array<{kind}>, shares int, " + ", ".join(f"{w} binary" for w in ways))
+    packs = written(packs, "packs")
+    tasks = max(1, packs.agg(F.sum("shares")).first()[0] or 0)
+    dealt = packs.withColumn("pack", F.monotonically_increasing_id()).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.repartition(min(tasks, 20_000), "pack", "share")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = lambda name: batch.column(name)[i]  # noqa: B023, E731
+                out, into = ((np.frombuffer(at(f"{w}_start").as_buffer(), np.int64), np.frombuffer(at(f"{w}_ends").as_buffer(), np.int32)) for w in ("out", "into"))
+                yield from _listed(at("names").values, at("share").as_py(), at("shares").as_py(), out, into if len(into[0]) else out)
+
+    found = dealt.select("names", "share", "shares", *ways).mapInArrow(run, f"cluster array<{kind}>")
+    large = size.where(F.col("n") > 2 * SMALL)
+    if large.isEmpty():
+        return found
+    paths = simple_paths(steps.join(large, "community", "left_semi").withColumn("bidirectional", F.lit(False)), 2)
+    return found.union(paths.select(F.array_sort("path").alias("cluster")).distinct())
+
+
 def _first_of_each(df: DataFrame, by: str, order: Column, n: int, parts: int = 64) -> DataFrame:
     """``df`` with ``turn`` (from 0): the first ``n`` rows of each ``by``. Parts of a large group are ranked before their first rows meet."""
     parted = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
@@ -188,10 +307,13 @@ def indirect_clusters(graph: Graph, depth: int = 3, predicate: Column | None = N
         large = written(label.join(size.where(bound >= most_paths), "community", "left_semi"), "large")
     ends = [whole.select(F.col("id").alias(e), F.col("community").alias(f"c_{e}")) for e in ("src", "dst")]
     inside = edges.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").select("src", "dst", "bidirectional")
+    as_sets = lambda paths: paths.select(F.array_sort(F.array_distinct("path")).alias("cluster")).where("size(cluster) > 1").distinct()
+    walks = random_walks(neighbours(edges), large, list(range(2, depth + 1)), most_paths, seed) if large is not None and not large.isEmpty() else None
+    if depth == 2:
+        found = sets_of_two_steps(neighbours(inside), whole)
+        return found if walks is None else found.union(as_sets(walks))
     found = simple_paths(inside, depth).select("path")
-    if large is not None and not large.isEmpty():
-        found = found.union(random_walks(neighbours(edges), large, list(range(2, depth + 1)), most_paths, seed))
-    return found.select(F.array_sort(F.array_distinct("path")).alias("cluster")).where("size(cluster) > 1").distinct()
+    return as_sets(found if walks is None else found.union(walks))
 
 
 def maximal_sets(sets: DataFrame, column: str = "cluster") -> DataFrame:

@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +247,49 @@ def test_paths_are_made_in_many_tasks(spark):
     assert found.count() == 60 * 59 + 60 * 59 * 58
     files = {r["f"] for r in found.where("size(path) = 3").select(F.input_file_name().alias("f")).distinct().collect()}
     assert len(files) > 8
+
+
+@pytest.mark.parametrize("bidirectional", [True, False])
+def test_sets_of_two_steps_come_up_once(spark, monkeypatch, bidirectional):
+    """Each set is told apart where it is made: no set is shuffled."""
+    monkeypatch.setattr(graph, "PACKED", 40)
+    edges = planted(5, groups=3, size=9, inside=0.7, outside=0.05) + [(900, 901), (901, 902), (901, 900)] + [(500, i) for i in range(501, 520)]
+    g = as_graph(spark, edges, bidirectional)
+    label = {r["id"]: r["community"] for r in communities.leiden(g.edges).collect()}
+    found = graph.indirect_clusters(g, 2, most_paths=None)
+    got, want = found.collect(), plain_sets(edges, label, 2, bidirectional)
+    assert {frozenset(r["cluster"]) for r in got} == want and len(got) == len(want)
+    assert all(r["cluster"] == sorted(r["cluster"]) for r in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(graph, "SMALL", 20)  # larger communities by joins
+    again = graph.indirect_clusters(g, 2, most_paths=None).collect()
+    assert {frozenset(r["cluster"]) for r in again} == want and len(again) == len(want)
+
+
+def test_a_component_of_a_million_edges_fits_a_task():
+    """Arrays hold it, in place of dictionaries, which took some 100 bytes an edge and direction."""
+    rng = np.random.default_rng(0)
+    u, v = rng.integers(0, 100_000, (2, 1_000_000))
+    u, v = np.divmod(np.unique(np.minimum(u, v) * 100_000 + np.maximum(u, v)), 100_000)
+    u, v = u[u < v], v[u < v]
+    tracemalloc.start()
+    near = communities._near(u, v, np.union1d(u, v))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(near.ends) == 2 * len(u) and held < 12e6 and most < 100e6
+
+
+@pytest.mark.parametrize("bidirectional", [True, False])
+def test_sets_of_a_hub_are_listed_in_pieces(monkeypatch, bidirectional):
+    monkeypatch.setattr(graph, "CELLS", 16)
+    monkeypatch.setattr(graph, "BATCH", 5)
+    edges = planted(6, groups=2, size=9, inside=0.7, outside=0.05) + [(500, i) for i in range(5, 30)] + [(i, 500) for i in range(5, 9)]
+    steps = sorted({s for a, b in edges for s in [(a, b), (b, a)][: 1 + bidirectional] if a != b})
+    row = graph._packed(pa.table({"src": [a for a, _ in steps], "dst": [b for _, b in steps]})).to_pylist()[0]
+    out, into = ((np.frombuffer(row[f"{w}_start"], np.int64), np.frombuffer(row[f"{w}_ends"], np.int32)) for w in ("out", "into"))
+    assert (len(into[0]) == 0) == bidirectional
+    batches = [b for share in range(3) for b in graph._listed(pa.array(row["names"]), share, 3, out, out if bidirectional else into)]
+    assert max(b.num_rows for b in batches) <= 5
+    got = [frozenset(x) for b in batches for x in b.column("cluster").to_pylist()]
+    assert set(got) == plain_sets(edges, defaultdict(int), 2, bidirectional) and len(got) == len(set(got))
