@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def test_overlap_pairs_of_copies_against_all_pairs(spark, monkeypatch):
     assert compared[0] <= 10 < len(want)
 
 
+def test_pairs_of_members_are_made_in_batches(spark, monkeypatch):
+    """Not row by row, and their score is rounded before: neither costs a step of Spark's for each pair."""
+    df = spark.createDataFrame([(f"n{i:02}", ["walnut", "plum"] if i % 3 else ["walnuts", "cherry", "pear"]) for i in range(30)], "id string, items array<string>")
+    got = pairs.overlap_pairs(df, 0.01, 0.85, 0, digits=3, overlapped=False)
+    want = {(f"n{i:02}", f"n{j:02}", 0.333 if i % 3 == j % 3 == 0 else 0.5 if i % 3 and j % 3 else 0.167) for i, j in itertools.combinations(range(30), 2)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = plan_of(got).split("Exchange")[0]
+    assert "MapInArrow" in plan and "Generate" not in plan and "round" not in plan
+    ids = [list(x) for x in (range(0, 100, 2), range(1, 80, 2))]
+    monkeypatch.setattr(pairs, "MET", 90)
+    batch = pa.RecordBatch.from_pydict({"ids1": pa.array([ids[0], ids[0]]), "ids2": pa.array([ids[1], ids[0]]), "alone": [False, True], "score": [0.5, 0.25]})
+    made = list(pairs._met(iter([batch]), ["score"]))
+    assert max(b.num_rows for b in made) <= 90
+    want = {(min(i, j), max(i, j), 0.5) for i in range(0, 100, 2) for j in range(1, 80, 2)} | {(i, j, 0.25) for i, j in itertools.combinations(range(0, 100, 2), 2)}
+    assert sorted(tuple(r.values()) for b in made for r in b.to_pylist()) == sorted(want)
+
+
 def test_jaccard_pairs_verifies_few_sets(spark, monkeypatch):
     """Unlike sets that share rare items are refuted without their items, and copies are compared once; every pair comes out."""
     rng = random.Random(2)
