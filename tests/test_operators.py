@@ -123,6 +123,21 @@ def test_pairs_of_members_are_made_in_batches(spark, monkeypatch):
     assert sorted(tuple(r.values()) for b in made for r in b.to_pylist()) == sorted(want)
 
 
+@pytest.mark.parametrize("items", [6000, 1_000_000])
+def test_sets_go_out_once_for_a_block_not_for_each_candidate(spark, monkeypatch, items):
+    """Forty near copies are 780 candidates; their sets are not shuffled with each of them. Groups of too many items are cut."""
+    monkeypatch.setattr(pairs, "ITEMS", items)
+    words = [str(x) for x in range(60)]
+    data = {f"n{i:02}": [*words, f"own{i}", f"group{i % 3}"] for i in range(40)} | {"other": [*words[:40], "x"], "none": []}
+    want = {(i, j): len(set(data[i]) & set(data[j])) / len(set(data[i]) | set(data[j])) for i, j in itertools.combinations(sorted(data), 2) if data[i] and data[j]}
+    want = {pair: x for pair, x in want.items() if x >= 0.8}
+    sent, whole = [], pairs._between_members
+    monkeypatch.setattr(pairs, "_between_members", lambda found, *more: sent.append(plan_of(found)) or whole(found, *more))
+    df = spark.createDataFrame(list(data.items()), "id string, items array<string>")
+    assert {(r["src"], r["dst"]): r["similarity"] for r in pairs.jaccard_pairs(df, 0.8).collect()} == want and len(want) == 780
+    assert "FlatMapCoGroupsInArrow" in sent[0] and "array_intersect" not in sent[0]
+
+
 def test_jaccard_pairs_verifies_few_sets(spark, monkeypatch):
     """Unlike sets that share rare items are refuted without their items, and copies are compared once; every pair comes out."""
     rng = random.Random(2)
